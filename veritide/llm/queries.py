@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritide.llm import bpe, chat, quality, secretscan, substring, urls
+from veritide.llm import bpe, chat, jaccard, quality, secretscan, substring, urls
 from veritide.shipping import ship
 
 TOKENIZERS = "/opt/tokenizers"
@@ -39,6 +39,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_digest(table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op7_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
 
@@ -52,8 +56,8 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_scan, op3_quality_rules, op4_substring_dedup, op7_chat_perspectives, op8_bpe_automaton, op9_url_filter)}
+    return {f.__name__: f for f in (op2_secret_scan, op3_quality_rules, op4_substring_dedup, op6_jaccard_join, op7_chat_perspectives, op8_bpe_automaton, op9_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": substring.ORACLE_SQL, "op7_chat_perspectives": chat.ORACLE_SQL}
+    return {"op4_substring_dedup": substring.ORACLE_SQL, "op6_jaccard_join": jaccard.ORACLE_SQL, "op7_chat_perspectives": chat.ORACLE_SQL}
