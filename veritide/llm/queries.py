@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritide.llm import bpe, chat, jaccard, quality, secretscan, substring, urls
+from veritide.llm import bpe, chat, jaccard, lines, quality, secretscan, substring, urls
 from veritide.shipping import ship
 
 TOKENIZERS = "/opt/tokenizers"
@@ -55,8 +55,12 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_scan, op3_quality_rules, op4_substring_dedup, op6_jaccard_join, op7_chat_perspectives, op8_bpe_automaton, op9_url_filter)}
+    return {f.__name__: f for f in (op2_secret_scan, op3_quality_rules, op4_substring_dedup, op6_jaccard_join, op7_chat_perspectives, op8_bpe_automaton, op9_url_filter, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
