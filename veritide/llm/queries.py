@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritide.llm import bpe, chat, jaccard, lines, quality, secretscan, substring, urls
+from veritide.llm import bpe, chat, decontam, jaccard, lines, quality, secretscan, substring, urls, warc
 from veritide.shipping import ship
 
 TOKENIZERS = "/opt/tokenizers"
@@ -27,6 +27,10 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
         return str(Path(TOKENIZERS, name))
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.item_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.secret_digest(secretscan.secret_spans(table(spark, sf_dir, "documents")))
 
@@ -39,6 +43,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_round_trip(table(spark, sf_dir, "pages")).drop("error")
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -59,9 +67,15 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_digest(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(ship(spark), sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_scan, op3_quality_rules, op4_substring_dedup, op6_jaccard_join, op7_chat_perspectives, op8_bpe_automaton, op9_url_filter, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_decontamination, op2_secret_scan, op3_quality_rules, op4_substring_dedup, op5_warc_round_trip, op6_jaccard_join, op7_chat_perspectives, op8_bpe_automaton, op9_url_filter, op10_line_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": substring.ORACLE_SQL, "op6_jaccard_join": jaccard.ORACLE_SQL, "op7_chat_perspectives": chat.ORACLE_SQL}
+    return {"op4_substring_dedup": substring.ORACLE_SQL, "op5_warc_round_trip": warc.ORACLE_SQL, "op6_jaccard_join": jaccard.ORACLE_SQL, "op7_chat_perspectives": chat.ORACLE_SQL}
