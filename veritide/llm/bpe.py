@@ -19,14 +19,27 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE = 400_000
-SCHEMA = "doc_id {kind}, n_tokens bigint, ids string, decoded string"
+CACHE = 300_000
+#: Runs of these code points need no library: composed already, lower-cased one by one, all letters beyond ASCII.
+PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+PRESPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+
+
+def byte_symbols() -> dict[int, int]:
+    """Symbols of the 256 bytes in byte-level vocabularies: visible Latin-1 stands for itself, the rest follows from 256 on."""
+    visible = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    rest = [b for b in range(256) if b not in visible]
+    return {b: b for b in visible} | {b: 256 + i for i, b in enumerate(rest)}
+
+
+SYMBOLS = byte_symbols()
 
 
 class Automaton:
@@ -38,14 +51,17 @@ class Automaton:
         self.split: dict[int, tuple[int, int, int]] = {}  # token: its merge's rank and two parts
         self.state: dict[int, int] = {}  # token: the state behind its arcs
         self.parent, self.lacks, self.since = [-1], [-1], [-1]  # of each state
-        self.longest = 1
         for rank, (left, right) in enumerate(merges):
             u, v, t = vocab[left], vocab[right], vocab[left + right]
             if t in self.split:
                 raise ValueError(f"two merges make {left + right!r}; the gadget needs one")
             self._gadget(rank, u, v, t)
-            self.longest = max(self.longest, len(left + right) - len(suffix) * right.endswith(suffix))
         self.arcs: dict[int, bool] = {}
+        self.gaps: dict[int, dict[int, int]] = {}
+        self.reach: dict[str, int] = {}  # length of the longest token by its first two symbols
+        for label in vocab:
+            body = label.removesuffix(suffix)
+            self.reach[body[:2]] = max(self.reach.get(body[:2], 1), len(body))
 
     def _gadget(self, rank: int, u: int, v: int, t: int) -> None:
         behind_v = self.state.get(v, 0)
@@ -58,11 +74,16 @@ class Automaton:
 
     def _missing(self, w: int) -> dict[int, int]:
         """The arcs that the state behind w lacks, with the rank from which on it does."""
-        out: dict[int, int] = {}
-        at = self.state.get(w, 0)
-        while at > 0:
-            out[self.lacks[at]] = min(self.since[at], out.get(self.lacks[at], self.since[at]))
-            at = self.parent[at]
+        out = self.gaps.get(w)
+        if out is None:
+            out = {}
+            at = self.state.get(w, 0)
+            while at > 0:
+                out[self.lacks[at]] = min(self.since[at], out.get(self.lacks[at], self.since[at]))
+                at = self.parent[at]
+            if len(self.gaps) >= 4096:
+                self.gaps.clear()
+            self.gaps[w] = out
         return out
 
     def follows(self, w: int, t: int) -> bool:
@@ -77,34 +98,52 @@ class Automaton:
                 if part not in self.split:
                     break
                 until, part, _ = self.split[part]
-            if len(self.arcs) > 2_000_000:
+            if len(self.arcs) > 500_000:
                 self.arcs.clear()
             self.arcs[key] = known
         return known
 
     def encode(self, word: str) -> list[int]:
-        """The tokens of a pre-split word of byte symbols."""
-        n = len(word)
+        """The tokens of a pre-split word of byte symbols: the one path of the automaton that spells it."""
+        vocab, suffix, n = self.vocab, self.suffix, len(word)
+        whole = vocab.get(word + suffix)
+        if whole is not None:
+            return [whole]
         if not n:
             return []
-        last: list[int] = [-1] * (n + 1)
-        start = [0] * (n + 1)
-        vocab, suffix = self.vocab, self.suffix
-        for end in range(1, n + 1):
-            tail = suffix if end == n else ""
-            for begin in range(max(0, end - self.longest), end):
-                t = vocab.get(word[begin:end] + tail)
-                if t is None or begin and (last[begin] < 0 or not self.follows(last[begin], t)):
-                    continue
-                last[end], start[end] = t, begin
-                break
-        out = []
-        while n > 0:
-            if last[n] < 0:
-                raise ValueError(f"no path for {word!r}")
-            out.append(last[n])
-            n = start[n]
-        return out[::-1]
+        reach, arcs, follows = self.reach, self.arcs, self.follows
+        path: list[int] = []
+        place, ends, dead = [0], [n], set()
+        while place:
+            begin, end = place[-1], ends[-1]
+            if end == n:
+                end = min(n, begin + reach.get(word[begin : begin + 2], 1))
+            last = path[-1] if path else -1
+            while end > begin:
+                t = vocab.get(word[begin:end] + suffix) if end == n else vocab.get(word[begin:end])
+                if t is not None and (end, t) not in dead:
+                    ok = last < 0 or arcs.get(last << 20 | t)
+                    if ok is None:
+                        ok = follows(last, t)
+                    if ok:
+                        break
+                end -= 1
+            if end == begin:
+                dead.add((begin, last))
+                place.pop()
+                ends.pop()
+                if not path:
+                    break
+                path.pop()
+                ends[-1] -= 1
+                continue
+            ends[-1] = end
+            path.append(t)
+            if end == n:
+                return path
+            place.append(end)
+            ends.append(n)
+        raise ValueError(f"no path for {word!r}")
 
 
 class Codec:
@@ -123,11 +162,24 @@ class Codec:
         self.labels = self.automaton.label | {i: t for t, i in self.special.items()}
         library = Tokenizer.from_file(path)
         self.normalize, self.presplit = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        sample = "Don't ÀÉß_x1,23 IT'LL a-b"
+        self.usual = False
+        by_library = [self.words_of_run(r) for r in sample.split()]
+        self.usual = True
+        self.usual = by_library == [self.words_of_run(r) for r in sample.split()]
         self.cache: dict[bytes, tuple[int, str, str]] = {}
+        self.older: dict[bytes, tuple[int, str, str]] = {}
         self.rare = sorted(self.special, key=len, reverse=True)
 
+    def words_of_run(self, run: str) -> list[str]:
+        """Pre-split words of a run without ASCII blanks, in byte symbols."""
+        if not self.usual or not PLAIN.fullmatch(run):
+            return [w for w, _ in self.presplit(self.normalize(run))]
+        words = PRESPLIT.findall(run.lower())
+        return words if run.isascii() else [w if w.isascii() else w.encode().decode("latin-1").translate(SYMBOLS) for w in words]
+
     def ids_of_run(self, run: str) -> list[int]:
-        return [i for w, _ in self.presplit(self.normalize(run)) for i in self.automaton.encode(w)]
+        return [i for w in self.words_of_run(run) for i in self.automaton.encode(w)]
 
     def _run(self, run: bytes) -> tuple[int, str, str]:
         ids = self.ids_of_run(run.decode())
@@ -135,7 +187,7 @@ class Codec:
 
     def _made(self, key: bytes, ids: list[int]) -> tuple[int, str, str]:
         if len(self.cache) >= CACHE:
-            self.cache.clear()
+            self.older, self.cache = self.cache, {}
         self.cache[key] = made = (len(ids), " ".join(map(str, ids)), " ".join(self.labels[i] for i in ids))
         return made
 
@@ -157,9 +209,11 @@ class Codec:
                 rest = rest[at + len(s) :]
         else:
             runs = raw.split()
-        have, made = self.cache.get, []
+        made = []
         for r in runs:
-            x = have(r)
+            x = self.cache.get(r)
+            if x is None and (x := self.older.get(r)) is not None:
+                self.cache[r] = x
             if x is None:
                 x = self._made(r, [self.special[r[9:].decode()]]) if r.startswith(b"\x00special ") else self._run(r)
             if x[0]:
