@@ -1 +1 @@
-"""."""
+"""Column functions over text, and scorer interfaces."""

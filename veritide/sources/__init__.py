@@ -1 +1 @@
-"""."""
+"""Where documents, drafts and reports come from and go to."""

@@ -1 +1 @@
-"""."""
+"""Continuous ingestion: the same change detection, driven by Structured Streaming."""
