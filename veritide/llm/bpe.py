@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veritide.llm.cluster import small_batches
+
 CACHE = 300_000
 #: Runs of these code points need no library: composed already, lower-cased one by one, all letters beyond ASCII.
 PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
@@ -260,6 +262,7 @@ def _mapped(docs: DataFrame, path: str, id_col: str, text_col: str, digest: bool
                 decoded.append(sha(back) if digest else back)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=names)
 
+    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, {names[2]} string, {names[3]} string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -9,6 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_ROWS = "1000"
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Arrow batches of a thousand rows where the session has Spark's default of ten thousand: texts can be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, BATCH_ROWS)
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where that is unset (tests), one of our own, set for the session."""
     sc = spark.sparkContext
@@ -26,6 +38,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of steps that nothing refers to any more.
+
+    The cleaner acts on what the driver's garbage collector finds, which on a driver with free memory can take
+    half an hour; until then the files of each finished step stay on the executors' disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows read from a reliable checkpoint, so that a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)

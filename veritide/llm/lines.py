@@ -1,15 +1,18 @@
 """Fuzzy line deduplication: MinHash bands, exact Jaccard verification, distributed union-find.
 
-A line's set is its SHINGLE-character shingles. One-permutation MinHash with rotation gives BINS
-minima; BANDS bands of them are its keys. At the threshold of PERCENT / 100 two lines share
-a key with probability over 0.998. Keys that a count-min sketch certifies to be single are dropped,
-and lines without any other key go no further. Lines that share keys meet in groups; exact
+A line's set is its SHINGLE-character shingles. One-permutation MinHash sorts their 32-bit hashes
+into CELLS cells, of which BINS with rotation for empty ones give the minima; BANDS bands of them are
+its keys. At the threshold of PERCENT / 100 two lines share a key with probability 0.99, above it
+more; unrelated lines, which share one shingle in fifty, hardly ever do. Keys that a count-min sketch
+certifies to be single are dropped, and lines without any other key go no further. Lines that share keys meet in groups; exact
 Jaccard tests within a group (the same metric search as the n-gram join) give components, and of
 each component the line of the smallest (document, place) stays.
 """
 
 from __future__ import annotations
 
+import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,32 +21,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritide.llm import sketch
-from veritide.llm.cluster import cut
+from veritide.llm.cluster import cut, release
 from veritide.llm.jaccard import class_of_points
 from veritide.llm.quality import let
 from veritide.llm.words import mix, slices
 
-SHINGLE, PERCENT, BINS, BANDS, MIN_CHARS = 5, 80, 48, 12, 20
-DEPTH, LEVELS = 1, (2,)
-EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
+SHINGLE, PERCENT, BINS, BANDS, MIN_CHARS = 8, 80, 60, 12, 20
+DEPTH, LEVELS, CELLS = 2, (2,), 64
+EMPTY = np.uint32(0xFFFFFFFF)
 SCHEMA = "id bigint, n bigint, f1 bigint, f2 bigint, keys array<bigint>, payload binary, doc_id bigint, line int"
-_SPACES = np.array([9, 10, 11, 12, 13, 32], dtype=np.uint32)
+
+
+def doubled(codes: np.ndarray, factors: tuple[int, ...]) -> np.ndarray:
+    """Sums over 2, 4, 8 neighbours: for every place a polynomial of the SHINGLE code points from there on (the last few are void)."""
+    h = codes + codes.dtype.type(1)
+    for step, factor in enumerate(factors):
+        wide = 1 << step
+        more = h * codes.dtype.type(factor)
+        more[:-wide] += h[wide:]
+        h = more
+    return h
 
 
 def shingles(codes: np.ndarray) -> np.ndarray:
-    """A hash for every place of codes, of the SHINGLE code points from there on (the last few are void)."""
-    n = len(codes)
-    h = np.zeros(n, dtype=np.uint64)
-    wide = codes.astype(np.uint64) + np.uint64(1)
-    for k in range(SHINGLE):
-        h[: n - k] += wide[k:] * np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64))
-    return mix(h)
+    """A 32-bit hash for every place of codes, of the shingle that starts there."""
+    h = doubled(codes, (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))
+    h ^= h >> np.uint32(16)
+    h *= np.uint32(0x85EBCA6B)
+    h ^= h >> np.uint32(13)
+    h *= np.uint32(0xC2B2AE35)
+    h ^= h >> np.uint32(16)
+    return h
 
 
 def line_set(payload: bytes) -> np.ndarray:
-    """The sorted shingle hashes of one line."""
-    codes = np.frombuffer(payload.decode().encode("utf-32-le"), dtype=np.uint32)
-    return np.unique(shingles(codes)[: max(1, len(codes) - SHINGLE + 1)])
+    """The sorted 64-bit shingle hashes of one line."""
+    codes = np.frombuffer(payload.decode().encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    h = mix(doubled(codes, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))[: max(1, len(codes) - SHINGLE + 1)])
+    h.sort()
+    return h[np.append(True, h[1:] != h[:-1])]
 
 
 class Lines:
@@ -58,58 +74,40 @@ class Lines:
         per_doc = np.array([t.count("\n") + 1 for t in values], dtype=np.int64)
         doc = np.repeat(np.arange(len(values)), per_doc)
         place = np.arange(len(start)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
-        blank = np.concatenate([[0], np.cumsum(np.isin(self.codes, _SPACES))])
+        blank = np.concatenate([[0], np.cumsum((self.codes == 32) | (self.codes >= 9) & (self.codes <= 13))])
         judged = (end - start >= MIN_CHARS) & (blank[end] - blank[start] < end - start)
         self.start, self.end, self.doc, self.place = start[judged], end[judged], doc[judged], place[judged]
 
     def keys(self) -> np.ndarray:
         """Band keys, one row a line."""
         count = self.end - self.start - SHINGLE + 1
-        sig = np.full(len(count) * BINS, EMPTY, dtype=np.uint64)
         if not len(count):
-            return sig.reshape(0, BINS)[:, :BANDS]
+            return np.zeros((0, BANDS), dtype=np.uint64)
         at = np.arange(count.sum()) + np.repeat(self.start - (np.cumsum(count) - count), count)
         h = shingles(self.codes)[at]
-        np.minimum.at(sig, np.repeat(np.arange(len(count)) * BINS, count) + (h % np.uint64(BINS)).astype(np.int64), h)
-        sig = sig.reshape(-1, BINS)
-        hole = sig == EMPTY
-        filled = sig.copy()
-        for step in range(1, BINS):
-            if not hole.any():
-                break
-            source = np.roll(sig, -step, axis=1)
-            take = hole & (source != EMPTY)
-            filled[take] = source[take] + np.uint64(step)
-            hole &= ~take
+        cell = np.repeat(np.arange(len(count), dtype=np.int64) * CELLS, count)
+        cell += h >> np.uint32(26)
+        sig = np.full(len(count) * CELLS, EMPTY, dtype=np.uint32)
+        np.minimum.at(sig, cell, h)
+        sig = sig.reshape(-1, CELLS)[:, :BINS]
+        column = np.arange(BINS)
+        near = np.where(sig == EMPTY, 4 * BINS, column)
+        turn = np.concatenate([near, near + BINS], axis=1)[:, ::-1]
+        source = np.minimum.accumulate(turn, axis=1)[:, ::-1][:, :BINS]  # the first cell from here on, around the end, that is not empty
+        filled = np.take_along_axis(sig, source % BINS, axis=1) + (source - column).astype(np.uint32)
         rows = BINS // BANDS
         out = np.zeros((len(count), BANDS), dtype=np.uint64)
         for r in range(rows):
-            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + filled[:, r::rows])
+            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + filled[:, r::rows].astype(np.uint64))
         return mix(out + np.arange(BANDS, dtype=np.uint64))
 
-    def prints(self) -> tuple[np.ndarray, np.ndarray]:
-        """128 bits of each line's code points in order."""
-        out = []
-        for seed in (0x8CB92BA72F3D8DD7, 0xAAF6C4CB3A1E7F65):
-            run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.codes.astype(np.uint64) * _power(seed, len(self.codes)))])
-            down = _power(pow(seed, -1, 1 << 64), len(self.codes) + 1)
-            out.append(mix((run[self.end] - run[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64)).view(np.int64))
-        return out[0], out[1]
-
     def text(self, i: int) -> bytes:
         return self.codes[self.start[i] : self.end[i]].tobytes().decode("utf-32-le").encode()
 
 
-_table: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    """base**i modulo 2**64 for i below n."""
-    if len(_table.get(base, ())) < n:
-        steps = np.full(max(n, 1 << 20), base, dtype=np.uint64)
-        steps[0] = 1
-        _table[base] = np.cumprod(steps)
-    return _table[base][:n]
+def fingerprint(payload: bytes) -> tuple[int, int]:
+    """128 bits of a line."""
+    return struct.unpack("<qq", hashlib.blake2b(payload, digest_size=16).digest())
 
 
 def _hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -133,11 +131,12 @@ def repeated_lines(rows: DataFrame) -> DataFrame:
                 able = np.flatnonzero(level.any(axis=1))
                 if not len(able):
                     continue
-                f1, f2 = (f[able] for f in lines.prints())
                 ids = part.column(0).to_numpy(zero_copy_only=False)
-                key_lists, payload = [], []
-                for x, i in enumerate(able.tolist()):
-                    both = (int(f1[x]), int(f2[x]))
+                prints, key_lists, payload = [], [], []
+                for i in able.tolist():
+                    text = lines.text(i)
+                    both = fingerprint(text)
+                    prints.append(both)
                     if both in seen:  # a copy in this task: the first one stands for it
                         key_lists.append([])
                         payload.append(None)
@@ -146,10 +145,11 @@ def repeated_lines(rows: DataFrame) -> DataFrame:
                         seen.clear()
                     seen.add(both)
                     key_lists.append(keys[i][level[i]].view(np.int64))
-                    payload.append(lines.text(i))
+                    payload.append(text)
+                f1, f2 = zip(*prints, strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(f1), pa.array(lines.end[able] - lines.start[able]), pa.array(f1), pa.array(f2), pa.array(key_lists, pa.list_(pa.int64())),
+                        pa.array(f1, pa.int64()), pa.array(lines.end[able] - lines.start[able]), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(key_lists, pa.list_(pa.int64())),
                         pa.array(payload, pa.binary()), pa.array(ids[lines.doc[able]], pa.int64()), pa.array(lines.place[able].astype(np.int32)),
                     ],
                     names=["id", "n", "f1", "f2", "keys", "payload", "doc_id", "line"],
@@ -168,18 +168,22 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """docs with repeated lines cut out of its texts, and two more columns: n_lines and n_removed.
 
     Lines end at LF. Lines shorter than MIN_CHARS or without a word are never judged. Null texts stay
-    null. Rows that repeat a doc_id are edited alike; rows with a null id are left as they are. A
+    null. Only documents that lose lines are shuffled. Rows that repeat a doc_id are edited alike; rows with a null id are left as they are. A
     document may lose all its lines; it stays, with an empty text.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     gone, key = "__veritide_gone", "__veritide_id"
-    cuts = repeated_lines(rows).groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("line").alias(gone))
-    joined = docs.join(cuts.hint("shuffle_hash"), F.col(id_col).cast("bigint") == F.col(key), "left")
+    cuts = cut(repeated_lines(rows).groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("line").alias(gone)))
+    release(docs.sparkSession)
+    touched = sketch.membership(cuts.select(key))
+    own = F.col(id_col).cast("bigint")
+    rest = docs.where(~touched(own)).withColumn(gone, F.lit(None).cast("array<int>"))
+    joined = rest.unionByName(docs.where(touched(own)).join(cuts.hint("shuffle_hash"), own == F.col(key), "left").select(*[F.col(f"`{c}`") for c in docs.columns], gone))
     lines = F.split(F.col(text_col), "\n")
-    rest = let(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(gone)), lambda i: F.get(x, i)), "\n"))
+    left = let(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(gone)), lambda i: F.get(x, i)), "\n"))
     n_lines = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("bigint")
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
-    out = joined.select(*others, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(rest).alias(text_col), n_lines.alias("__veritide_n"), F.coalesce(F.size(gone), F.lit(0)).cast("bigint").alias("__veritide_r"))
+    out = joined.select(*others, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(left).alias(text_col), n_lines.alias("__veritide_n"), F.coalesce(F.size(gone), F.lit(0)).cast("bigint").alias("__veritide_r"))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("__veritide_n").alias("n_lines"), F.col("__veritide_r").alias("n_removed"))
 
 

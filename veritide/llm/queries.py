@@ -3,28 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from veritide.llm import bpe, chat, decontam, jaccard, lines, quality, secretscan, substring, urls, warc
+from veritide.llm.cluster import small_batches
 from veritide.shipping import ship
 
-TOKENIZERS = "/opt/tokenizers"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(ship(spark)).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
-    """The vocabulary file's path on this machine."""
-    try:
-        import public_tokenizers
+    """Where this machine and the executors have the vocabulary file."""
+    import public_tokenizers
 
-        return str(public_tokenizers.path(name))
-    except ImportError:
-        return str(Path(TOKENIZERS, name))
+    return str(public_tokenizers.path(name))
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

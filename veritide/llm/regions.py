@@ -2,16 +2,16 @@
 
 Within one group, pivots split the documents into Voronoi regions; a document also joins every
 region whose pivot is at most 2r farther than its nearest (triangle inequality: a neighbour within r
-could live there). Regions are joined recursively, each with pivots of its own; one that no longer
-shrinks is searched document by document, skipping what the pivots' distances or the sizes rule out.
-Jaccard tests are exact integer comparisons.
+could live there). Regions are joined recursively, each with pivots of its own; where the windows
+hold nearly everything, a group is searched document by document, skipping what the pivots'
+distances or the sizes rule out. Jaccard tests are exact integer comparisons.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-LEAF, PIVOTS, DEPTH, EPS = 48, 8, 6, 1e-9
+FEW, LEAF, PIVOTS, DEPTH, EPS = 5, 48, 8, 6, 1e-9
 
 
 class Group:
@@ -23,6 +23,11 @@ class Group:
         flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
         _, self.flat = np.unique(flat, return_inverse=True)
         self.mark = np.zeros(int(self.flat.max()) + 1 if len(self.flat) else 1, dtype=np.int64)
+        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(self.flat, kind="stable")
+        self.holders = owner[order]
+        self.spread = np.bincount(self.flat, minlength=len(self.mark))
+        self.begin = np.cumsum(self.spread) - self.spread
         self.percent, self.r = percent, 1 - percent / 100
         self.parent = list(range(len(sets)))
 
@@ -41,10 +46,14 @@ class Group:
         return np.array([self.find(int(i)) for i in ids], dtype=np.int64)
 
     def common(self, p: int, ids: np.ndarray) -> np.ndarray:
-        """Shared elements of p and each of ids."""
+        """Shared elements of p and each of ids: by the holders of p's elements, or by looking through ids, as is shorter."""
         own = self.flat[self.offs[p] : self.offs[p + 1]]
+        size, spread = self.sizes[ids], self.spread[own]
+        if spread.sum() < size.sum():
+            ends = np.cumsum(spread)
+            at = np.arange(ends[-1]) + np.repeat(self.begin[own] - (ends - spread), spread)
+            return np.bincount(self.holders[at], minlength=len(self.sizes))[ids]
         self.mark[own] = 1
-        size = self.sizes[ids]
         ends = np.cumsum(size)
         at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.offs[ids] - (ends - size), size)
         total = np.concatenate([[0], np.cumsum(self.mark[self.flat[at]])])
@@ -59,6 +68,42 @@ class Group:
             self.union(p, int(i))
         return 1 - both / union
 
+    def parts(self, ids: np.ndarray) -> list[np.ndarray]:
+        """ids in groups that no link crosses, those of one left out.
+
+        The regions of one-element pivots once more, now with exact frequencies within the group: two linked
+        sets share one of their first elements in the order of rarity.
+        """
+        size = self.sizes[ids]
+        ends = np.cumsum(size)
+        item = self.flat[np.arange(ends[-1]) + np.repeat(self.offs[ids] - (ends - size), size)]
+        owner = np.repeat(np.arange(len(ids)), size)
+        count = np.bincount(item)
+        order = np.lexsort((item, count[item], owner))
+        item, owner = item[order], owner[order]
+        need = size + (-self.percent * size) // 100 + 1
+        first = (np.arange(len(item)) - (ends - size)[owner] < need[owner]) & (count[item] > 1)
+        item, owner = item[first], owner[first]
+        order = np.argsort(item, kind="stable")
+        item, owner = item[order], owner[order]
+        same = np.flatnonzero(item[1:] == item[:-1])
+        pairs = np.unique(np.stack([owner[same], owner[same + 1]], axis=1), axis=0)
+        label = list(range(len(ids)))
+
+        def find(x: int) -> int:
+            while label[x] != x:
+                label[x] = label[label[x]]
+                x = label[x]
+            return x
+
+        for a, b in pairs.tolist():
+            a, b = find(a), find(b)
+            label[max(a, b)] = min(a, b)
+        root = np.array([find(x) for x in range(len(ids))])
+        order = np.argsort(root, kind="stable")
+        cuts = np.flatnonzero(np.diff(root[order])) + 1
+        return [ids[x] for x in np.split(order, cuts) if len(x) > 1]
+
     def join(self, ids: np.ndarray, depth: int = 0) -> None:
         """Every link among ids is between members of one component afterwards."""
         if len(ids) <= LEAF or depth >= DEPTH:
@@ -75,17 +120,14 @@ class Group:
         dist = np.array(picks)
         nearest, least = dist.argmin(axis=0), dist.min(axis=0)
         window = dist <= least + 2 * self.r + EPS
-        for j in range(len(dist)):
-            inside = window[j] | (nearest == j)
-            if not (nearest == j).any():
-                continue
-            part = ids[inside]
-            if len(np.unique(self.roots(part))) < 2:
-                continue
-            if len(part) > 0.8 * len(ids):
-                self.search(part, dist[:, inside])
-            else:
-                self.join(part, depth + 1)
+        inside = [window[j] | (nearest == j) for j in range(len(dist)) if (nearest == j).any()]
+        if sum(int(x.sum()) ** 2 for x in inside) > 0.7 * len(ids) ** 2:
+            return self.search(ids, dist)  # the windows hold nearly everything: no region shrinks
+        for x in inside:
+            part = ids[x]
+            if len(np.unique(self.roots(part))) > 1:
+                for smaller in self.parts(part):
+                    self.join(smaller, depth + 1)
         return None
 
     def search(self, ids: np.ndarray, dist: np.ndarray | None = None) -> None:
@@ -106,16 +148,38 @@ class Group:
                 continue
             others = ids[i + 1 : to][open_]
             both = self.common(int(ids[i]), others)
-            linked = others[100 * both >= self.percent * (size[i] + self.sizes[others] - both)]
+            hit = 100 * both >= self.percent * (size[i] + self.sizes[others] - both)
+            linked = others[hit]
             if len(linked):
+                joined = np.unique(np.append(root[i + 1 : to][open_][hit], root[i]))
                 for x in linked:
                     self.union(int(ids[i]), int(x))
-                root = self.roots(ids)
+                root[np.isin(root, joined)] = self.find(int(ids[i]))
+
+
+def few(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """linked() for a handful of sets, pair by pair."""
+    root = list(range(len(sets)))
+    for j in range(1, len(sets)):
+        for i in range(j):
+            small, large = sorted((len(sets[i]), len(sets[j])))
+            if root[i] == root[j] or 100 * small < percent * large:
+                continue
+            both = np.concatenate([sets[i], sets[j]])
+            both.sort()
+            shared = int(np.count_nonzero(both[1:] == both[:-1]))
+            if 100 * shared >= percent * (small + large - shared):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return np.array(root, dtype=np.int64)
 
 
 def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
     """For each set the first index of its component under 100 * |x & y| >= percent * |x | y|."""
+    if len(sets) <= FEW:
+        return few(sets, percent)
     g = Group(sets, percent)
     everything = np.arange(len(sets))
-    g.join(everything)
+    for part in g.parts(everything) if len(sets) > 1 else ():
+        g.join(part)
     return g.roots(everything)

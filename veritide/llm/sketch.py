@@ -1,7 +1,7 @@
 """Count-min sketches over 64-bit hashes, merged from partition sketches.
 
-Every input partition counts its hashes in DEPTH rows of cells and sends its cells on in blocks of
-65,536; blocks are summed in parallel. What comes back is, for each of a few thresholds, one bit a
+Every input partition counts its hashes in rows of cells and sends its cells on in blocks of 65,536,
+each as gaps of one byte; blocks are summed in parallel. What comes back is, for each of a few thresholds, one bit a
 cell: "counted at least so often". A hash whose bit is clear in any row is certain to occur less
 often, so a prefilter on the bits loses nothing; collisions only let more pass.
 
@@ -15,10 +15,12 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veritide.llm.cluster import release, small_batches
 from veritide.llm.words import mix
 
 LOW, FLUSH, MOST_LOG2 = 16, 4_000_000, 30
@@ -58,8 +60,33 @@ class Planes:
         return out
 
 
+def binaries(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Runs of bytes as one binary array."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def gap_bytes(cells: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted cells as bytes, and where each cell's bytes end: the gap to the one before in its block, 255 for each full 255."""
+    low = (cells & np.uint32((1 << LOW) - 1)).astype(np.int32)
+    gap = np.diff(low, prepend=0)
+    gap[starts] = low[starts]
+    more, rest = gap // 255, gap % 255
+    ends = np.cumsum(more + 1)
+    out = np.full(ends[-1], 255, dtype=np.uint8)
+    out[ends - 1] = rest
+    return out, ends
+
+
+def gap_cells(data: np.ndarray) -> np.ndarray:
+    """The cells, within their block, of gap_bytes()."""
+    return np.cumsum(data, dtype=np.int64)[data != 255]
+
+
 def build(rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], log2: int, depth: int, thresholds: tuple[int, ...]) -> list[bytes]:
-    """The merged planes, one for each threshold, of all hashes of all batches of rows."""
+    """The merged planes, one for each threshold (255 at most), of all hashes of all batches of rows.
+
+    A merging task holds a byte a cell: 512 blocks, 32 MB.
+    """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -70,12 +97,10 @@ def build(rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarra
             block = cells >> LOW
             edge = np.flatnonzero(np.diff(block)) + 1
             starts = np.concatenate([[0], edge])
-            ends = np.concatenate([edge, [len(cells)]])
-            lows, few = cells.astype(np.uint16).tobytes(), np.minimum(counts, 255).astype(np.uint8).tobytes()
-            offs = np.concatenate([starts, ends[-1:]])
-            low_array = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer((offs * 2).astype(np.int32).tobytes()), pa.py_buffer(lows)])
-            few_array = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offs.astype(np.int32).tobytes()), pa.py_buffer(few)])
-            return pa.RecordBatch.from_arrays([pa.array(block[starts].astype(np.int32)), low_array, few_array], names=["block", "lows", "counts"])
+            gaps, ends = gap_bytes(cells, starts)
+            few = np.minimum(counts, 255).astype(np.uint8)
+            arrays = [binaries(gaps, np.concatenate([[0], ends[np.append(edge, len(cells)) - 1]])), binaries(few, np.append(starts, len(cells)))]
+            return pa.RecordBatch.from_arrays([pa.array(block[starts].astype(np.int32)), *arrays], names=["block", "gaps", "counts"])
 
         for batch in batches:
             for h in hashes(batch):
@@ -91,18 +116,22 @@ def build(rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarra
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for b, lows, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            for b, gaps, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 if b not in total:
-                    total[b] = np.zeros(1 << LOW, dtype=np.uint16)
-                at = np.frombuffer(lows.as_buffer(), dtype=np.uint16)
+                    total[b] = np.zeros(1 << LOW, dtype=np.uint8)
+                at = gap_cells(np.frombuffer(gaps.as_buffer(), dtype=np.uint8))
                 have = total[b]
-                have[at] = np.minimum(have[at].astype(np.int32) + np.frombuffer(counts.as_buffer(), dtype=np.uint8), 65535)
-        for b, counts in total.items():
-            planes = [np.packbits(counts >= t, bitorder="little").tobytes() for t in thresholds]
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *[pa.array([p if any(p) else None], pa.binary()) for p in planes]], names=["block", *[f"p{i}" for i in range(len(planes))]])
-
+                have[at] = np.minimum(have[at].astype(np.uint16) + np.frombuffer(counts.as_buffer(), dtype=np.uint8), 255)
+        names = ["block", *[f"p{i}" for i in range(len(thresholds))]]
+        found = list(total.items())
+        for at in range(0, len(found), 64):
+            part = found[at : at + 64]
+            planes = [[np.packbits(c >= t, bitorder="little").tobytes() for _, c in part] for t in thresholds]
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in part], pa.int32()), *[pa.array([x if any(x) else None for x in p], pa.binary()) for p in planes]], names=names)
+
+    small_batches(rows.sparkSession)
     blocks = (1 << log2) >> LOW
-    parts = rows.mapInArrow(partial, "block int, lows binary, counts binary").repartition(max(12, blocks // 1024), "block")
+    parts = rows.mapInArrow(partial, "block int, gaps binary, counts binary").repartition(max(12, blocks // 512), "block")
     merged = parts.mapInArrow(merge, "block int, " + ", ".join(f"p{i} binary" for i in range(len(thresholds))))
     planes = [bytearray(1 << (log2 - 3)) for _ in thresholds]
     width = 1 << (LOW - 3)
@@ -111,9 +140,37 @@ def build(rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarra
             for plane, bits in zip(planes, found, strict=True):
                 if bits is not None:
                     plane[b * width : (b + 1) * width] = bits
+    del parts, merged
+    release(rows.sparkSession)
     return [bytes(p) for p in planes]
 
 
+def members(ids: DataFrame) -> tuple[list[bytes], int]:
+    """A Bloom filter of a bigint column, and its size: the plane of cells counted at all."""
+    log2 = log2_cells(ids.count(), 16)
+
+    def own(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+
+    return build(ids, own, log2, 2, (1,)), log2
+
+
+def membership(ids: DataFrame) -> Callable[[Column | str], Column]:
+    """A test of bigint columns for membership in a one-column frame: surely false, or probably true; null is false.
+
+    The filter is a broadcast of bounded size; ids themselves go nowhere.
+    """
+    bits, log2 = members(ids.where(F.col(ids.columns[0]).isNotNull()))
+    shared = ids.sparkSession.sparkContext.broadcast(bits)
+
+    def run(values: pd.Series) -> pd.Series:
+        known = values.notna()
+        h = mix(values.fillna(0).to_numpy(dtype=np.int64).view(np.uint64))
+        return (pd.Series(Planes(shared.value, log2, 2).level(h) > 0)) & known.reset_index(drop=True)
+
+    return lambda column: F.pandas_udf(run, "boolean")(column)
+
+
 def text_size(rows: DataFrame, column: str = "text") -> int:
     """Bytes of text, to size a sketch by."""
     return int(rows.agg(F.sum(F.octet_length(column))).first()[0] or 0)

@@ -107,7 +107,7 @@ class Words:
         return b" ".join(words if keep is None else [w for w, k in zip(words, keep, strict=True) if k])
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about this many bytes of text, one row at least, so that scratch arrays stay small."""
     texts = batch.column(batch.schema.get_field_index(column))
     size = np.diff(np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1]) if len(texts) else np.zeros(0)
