@@ -11,10 +11,13 @@ from veritide.operators.claims import extract_claims
 from veritide.sources.files import check_path
 
 
-def extractor(name, content):
-    if content.startswith(b"broken"):
-        raise ValueError("unreadable")
-    return [(n, text, [text.split("\n")[0]]) for n, text in enumerate(content.decode().split("\f"), 1)]
+def make_extractor():
+    def extractor(name, content):  # nested, so that it travels to the workers by value
+        if content.startswith(b"broken"):
+            raise ValueError("unreadable")
+        return [(n, text, [text.split("\n")[0]]) for n, text in enumerate(content.decode().split("\f"), 1)]
+
+    return extractor
 
 
 @pytest.fixture()
@@ -24,7 +27,7 @@ def app(spark, tmp_path):
     (docs / "one.pdf").write_text("Methods\nThe sleep group slept 8 hours. Sleep is associated with recall.\fResults\nRecall rose in 20 of 40 people.")
     (docs / "two.PDF").write_text("Other\nTea may help focus. Coffee was not tested here.")
     (docs / "bad.pdf").write_text("broken")
-    return Application(spark, str(tmp_path / "data"), str(docs), extractor=extractor)
+    return Application(spark, str(tmp_path / "data"), str(docs), extractor=make_extractor())
 
 
 def test_ingest_search_verify_prune(app, tmp_path, capsys):
@@ -68,7 +71,7 @@ def test_stream_ingests_once(app, tmp_path, spark):
 
     seen = []
     for _ in range(2):
-        watch(app.store, app.documents, extractor, app.embedder, str(tmp_path / "ck"), report=lambda f: seen.append(f.count())).awaitTermination(120)
+        watch(app.store, app.documents, app.extractor, app.embedder, str(tmp_path / "ck"), report=lambda f: seen.append(f.count())).awaitTermination(120)
     assert seen == [3] and app.store.read("manifest").count() == 2
 
 

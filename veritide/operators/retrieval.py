@@ -82,11 +82,12 @@ def _scorer(queries: pa.Table, limit: int, schema: str, id_col: str):
             return
         q = unit_rows(vectors)
         best: list[tuple[np.ndarray, list]] = [(np.zeros(0), []) for _ in range(len(q))]
+        kind = None
         for batch in batches:
             batch = batch.filter(pa.compute.is_valid(batch.column(1)))
             if not len(batch):
                 continue
-            names = batch.column(0).to_pylist()
+            names, kind = batch.column(0).to_pylist(), batch.column(0).type
             scores = np.round(q @ unit_rows(batch.column(1)).T, 9)
             for i in range(len(q)):
                 ok = np.flatnonzero(~np.isnan(scores[i]))
@@ -98,7 +99,7 @@ def _scorer(queries: pa.Table, limit: int, schema: str, id_col: str):
                 best[i] = (s[order], [n[j] for j in order])
         for i, (s, n) in enumerate(best):
             if len(s):
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i].as_py()] * len(s), ids.type), pa.array(n), pa.array(s)], names=["query_id", id_col, "vector_score"])
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i].as_py()] * len(s), ids.type), pa.array(n, kind), pa.array(s)], names=["query_id", id_col, "vector_score"])
 
     return run
 
