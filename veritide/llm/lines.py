@@ -24,7 +24,7 @@ from veritide.llm import sketch
 from veritide.llm.cluster import cut, release
 from veritide.llm.jaccard import class_of_points
 from veritide.llm.quality import let
-from veritide.llm.words import mix, slices
+from veritide.llm.words import mix, slices, trim
 
 SHINGLE, PERCENT, BINS, BANDS, MIN_CHARS = 8, 80, 60, 12, 20
 DEPTH, LEVELS, CELLS = 2, (2,), 64
@@ -111,7 +111,7 @@ def fingerprint(payload: bytes) -> tuple[int, int]:
 
 
 def _hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    for part in slices(batch, "text", 1_000_000):
+    for part in slices(batch, "text"):
         yield Lines(part.column(1)).keys().ravel()
 
 
@@ -124,7 +124,7 @@ def repeated_lines(rows: DataFrame) -> DataFrame:
         planes = sketch.Planes(shared.value, log2, DEPTH)
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            for part in slices(batch, "text", 1_000_000):
+            for part in slices(batch, "text"):
                 lines = Lines(part.column(1))
                 keys = lines.keys()
                 level = planes.level(keys.ravel()).reshape(keys.shape) > 0
@@ -154,6 +154,7 @@ def repeated_lines(rows: DataFrame) -> DataFrame:
                     ],
                     names=["id", "n", "f1", "f2", "keys", "payload", "doc_id", "line"],
                 )
+        trim()
 
     found = cut(rows.mapInArrow(points, SCHEMA))
     classes = class_of_points(found, line_set, PERCENT)
@@ -175,7 +176,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gone, key = "__veritide_gone", "__veritide_id"
     cuts = cut(repeated_lines(rows).groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("line").alias(gone)))
     release(docs.sparkSession)
-    touched = sketch.membership(cuts.select(key))
+    touched = sketch.Membership(cuts.select(key))
     own = F.col(id_col).cast("bigint")
     rest = docs.where(~touched(own)).withColumn(gone, F.lit(None).cast("array<int>"))
     joined = rest.unionByName(docs.where(touched(own)).join(cuts.hint("shuffle_hash"), own == F.col(key), "left").select(*[F.col(f"`{c}`") for c in docs.columns], gone))

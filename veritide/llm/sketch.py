@@ -21,9 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritide.llm.cluster import release, small_batches
-from veritide.llm.words import mix
+from veritide.llm.words import mix, trim
 
-LOW, FLUSH, MOST_LOG2 = 16, 4_000_000, 30
+LOW, FLUSH, MOST_LOG2 = 16, 2_500_000, 30
 
 
 def log2_cells(items: int, per_item: float, most: int = MOST_LOG2) -> int:
@@ -93,12 +93,17 @@ def build(rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarra
         size = 0
 
         def flush() -> pa.RecordBatch:
-            cells, counts = np.unique(np.concatenate(held), return_counts=True)
+            cells = np.concatenate(held)
+            held.clear()
+            cells.sort()
+            at = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
+            few = np.minimum(np.diff(at, append=len(cells)), 255).astype(np.uint8)
+            cells = cells[at]
+            del at
             block = cells >> LOW
             edge = np.flatnonzero(np.diff(block)) + 1
             starts = np.concatenate([[0], edge])
             gaps, ends = gap_bytes(cells, starts)
-            few = np.minimum(counts, 255).astype(np.uint8)
             arrays = [binaries(gaps, np.concatenate([[0], ends[np.append(edge, len(cells)) - 1]])), binaries(few, np.append(starts, len(cells)))]
             return pa.RecordBatch.from_arrays([pa.array(block[starts].astype(np.int32)), *arrays], names=["block", "gaps", "counts"])
 
@@ -112,6 +117,8 @@ def build(rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarra
                     held, size = [], 0
         if size:
             yield flush()
+        held = []
+        trim()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -128,6 +135,8 @@ def build(rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarra
             part = found[at : at + 64]
             planes = [[np.packbits(c >= t, bitorder="little").tobytes() for _, c in part] for t in thresholds]
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in part], pa.int32()), *[pa.array([x if any(x) else None for x in p], pa.binary()) for p in planes]], names=names)
+        del total, found
+        trim()
 
     small_batches(rows.sparkSession)
     blocks = (1 << log2) >> LOW
@@ -155,20 +164,23 @@ def members(ids: DataFrame) -> tuple[list[bytes], int]:
     return build(ids, own, log2, 2, (1,)), log2
 
 
-def membership(ids: DataFrame) -> Callable[[Column | str], Column]:
-    """A test of bigint columns for membership in a one-column frame: surely false, or probably true; null is false.
+class Membership:
+    """A test of bigints for membership in a one-column frame: surely false, or probably true; null is false.
 
     The filter is a broadcast of bounded size; ids themselves go nowhere.
     """
-    bits, log2 = members(ids.where(F.col(ids.columns[0]).isNotNull()))
-    shared = ids.sparkSession.sparkContext.broadcast(bits)
 
-    def run(values: pd.Series) -> pd.Series:
-        known = values.notna()
+    def __init__(self, ids: DataFrame):
+        bits, self.log2 = members(ids.where(F.col(ids.columns[0]).isNotNull()))
+        self.bits = ids.sparkSession.sparkContext.broadcast(bits)
+
+    def test(self, values: pd.Series) -> pd.Series:
+        """For use in workers."""
         h = mix(values.fillna(0).to_numpy(dtype=np.int64).view(np.uint64))
-        return (pd.Series(Planes(shared.value, log2, 2).level(h) > 0)) & known.reset_index(drop=True)
+        return pd.Series(Planes(self.bits.value, self.log2, 2).level(h) > 0) & values.notna().reset_index(drop=True)
 
-    return lambda column: F.pandas_udf(run, "boolean")(column)
+    def __call__(self, column: Column | str) -> Column:
+        return F.pandas_udf(lambda values: self.test(values), "boolean")(column)
 
 
 def text_size(rows: DataFrame, column: str = "text") -> int:

@@ -5,7 +5,8 @@ in a document of a smaller id. First pass: partition sketches of all windows are
 whose estimate stays below two occurs once and cannot repeat. Second pass: only windows estimated
 twice or more are grouped exactly, by 96 bits of hash. Within one task a window's later
 documents are decided at once, so only its first document there is shuffled, and a passage that a
-third of all documents share costs one row per task.
+third of all documents share costs one row per task. Only documents that lose words, and the few that a
+Bloom filter of their ids takes for such, are shuffled to be edited; the others are read in place.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritide.llm import sketch
-from veritide.llm.words import Words, slices
+from veritide.llm.cluster import cut, release
+from veritide.llm.words import Words, slices, trim
 
-WINDOW, DEPTH, PER_WINDOW, FLUSH = 13, 2, 8, 2_000_000
+WINDOW, DEPTH, PER_WINDOW, FLUSH = 13, 2, 3.5, 1_000_000
 _CHECK = np.uint64(0xFFFFFFFF00000000)
 
 
@@ -32,6 +34,8 @@ def _hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
 
 def _runs(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc, first, last + 1) of runs of consecutive window starts; input sorted by doc and place."""
+    if not len(doc):
+        return doc, at, at
     new = np.ones(len(doc), dtype=bool)
     new[1:] = (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)
     first = np.flatnonzero(new)
@@ -40,7 +44,7 @@ def _runs(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def repeated_windows(rows: DataFrame, planes: list[bytes], log2: int) -> DataFrame:
-    """(doc_id, first, last): runs of window starts, last exclusive, of windows that also start in a smaller doc_id. rows: doc_id bigint, text."""
+    """(doc_id, run): runs of window starts of windows that also start in a smaller doc_id, as first << 32 | last, last exclusive. rows: doc_id bigint, text."""
     shared = rows.sparkSession.sparkContext.broadcast(planes)
 
     def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,6 +86,8 @@ def repeated_windows(rows: DataFrame, planes: list[bytes], log2: int) -> DataFra
                     held, size = [], 0
         if size:
             yield flush()
+        held = []
+        trim()
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Input sorted by key, check bits and document: a window's rows are neighbours, its least document first."""
@@ -91,7 +97,7 @@ def repeated_windows(rows: DataFrame, planes: list[bytes], log2: int) -> DataFra
             opened = batch.column(3).to_numpy(zero_copy_only=False)
             done = ~opened
             key, check, wdoc, at = key[opened], check[opened], doc[opened], (packed[opened] & 0xFFFFFFFF)
-            out_doc, out_first, out_last = doc[done], packed[done] >> 32, packed[done] & 0xFFFFFFFF
+            out_doc, out_run = doc[done], packed[done]
             if len(key):
                 new = np.ones(len(key), dtype=bool)
                 new[1:] = (key[1:] != key[:-1]) | (check[1:] != check[:-1])
@@ -102,21 +108,21 @@ def repeated_windows(rows: DataFrame, planes: list[bytes], log2: int) -> DataFra
                 later = wdoc > least
                 before = (key[-1], check[-1], least[-1])
                 out_doc = np.concatenate([out_doc, wdoc[later]])
-                out_first, out_last = np.concatenate([out_first, at[later]]), np.concatenate([out_last, at[later] + 1])
+                out_run = np.concatenate([out_run, at[later] << 32 | at[later] + 1])
             if len(out_doc):
-                yield pa.RecordBatch.from_arrays([pa.array(out_doc), pa.array(out_first.astype(np.int32)), pa.array(out_last.astype(np.int32))], names=["doc_id", "first", "last"])
+                yield pa.RecordBatch.from_arrays([pa.array(out_doc), pa.array(out_run)], names=["doc_id", "run"])
 
     found = rows.mapInArrow(survivors, "key bigint, packed bigint, doc_id bigint, open boolean")
     check = F.when(F.col("open"), F.shiftright("packed", 32)).otherwise(F.lit(0))
     parts = found.repartition("key").withColumn("check", check.cast("int")).sortWithinPartitions("key", "check", "doc_id")
-    return parts.mapInArrow(settle, "doc_id bigint, first int, last int")
+    return parts.mapInArrow(settle, "doc_id bigint, run bigint")
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_log2: int = sketch.MOST_LOG2) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) for every row; kept is the remaining words joined by one space.
 
-    Null or empty text has no words. Rows that repeat a doc_id are judged alike and are one document;
-    rows with a null id are never judged and keep all words.
+    Null or empty text has no words. Rows that repeat a doc_id are one document: the same
+    places go from each of them. Rows with a null id are never judged and keep all words.
     """
     return _edited(docs, id_col, text_col, most_log2, False)
 
@@ -131,7 +137,9 @@ def _edited(docs: DataFrame, id_col: str, text_col: str, most_log2: int, digest:
     known = rows.where("doc_id is not null")
     log2 = sketch.log2_cells(sketch.text_size(known) // 6, PER_WINDOW, most_log2)
     planes = sketch.build(known, _hashes, log2, DEPTH, (2,))
-    gone = repeated_windows(known, planes, log2).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("gone"))
+    gone = cut(repeated_windows(known, planes, log2).groupBy("doc_id").agg(F.collect_list("run").alias("gone")))
+    release(rows.sparkSession)
+    touched = sketch.Membership(gone.select("doc_id"))
     name = "kept_sha256" if digest else "kept"
 
     def edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,10 +149,10 @@ def _edited(docs: DataFrame, id_col: str, text_col: str, most_log2: int, digest:
                 words = (text.as_py() or "").encode().split()
                 total = len(words)
                 if spans.is_valid and total:
-                    flat = spans.values.flatten()
+                    runs = spans.values.to_numpy()
                     mark = np.zeros(total + 1, dtype=np.int32)
-                    np.add.at(mark, flat[0].to_numpy(), 1)
-                    np.add.at(mark, np.minimum(flat[1].to_numpy() + WINDOW - 1, total), -1)
+                    np.add.at(mark, np.minimum(runs >> 32, total), 1)
+                    np.add.at(mark, np.minimum((runs & 0xFFFFFFFF) + WINDOW - 1, total), -1)
                     stay = np.cumsum(mark[:-1]) == 0
                     words = [words[i] for i in np.flatnonzero(stay)]
                 joined = b" ".join(words)
@@ -153,7 +161,15 @@ def _edited(docs: DataFrame, id_col: str, text_col: str, most_log2: int, digest:
                 kept.append(hashlib.sha256(joined).hexdigest() if digest else joined.decode())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", name])
 
-    return rows.join(gone.hint("shuffle_hash"), "doc_id", "left").mapInArrow(edit, f"doc_id bigint, n_words bigint, n_removed bigint, {name} string")
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stay = pa.array(~touched.test(batch.column(0).to_pandas(integer_object_nulls=True)).to_numpy())
+            rest = batch.filter(stay)
+            yield from edit(iter([rest.append_column("gone", pa.nulls(len(rest), pa.list_(pa.int64())))]))
+
+    schema = f"doc_id bigint, n_words bigint, n_removed bigint, {name} string"
+    joined = rows.where(touched("doc_id")).join(gone.hint("shuffle_hash"), "doc_id", "left")
+    return rows.mapInArrow(untouched, schema).unionByName(joined.mapInArrow(edit, schema))
 
 
 ORACLE_SQL = r"""

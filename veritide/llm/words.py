@@ -8,6 +8,7 @@ over the mixed word hashes. Two independent bases give 128 bits where identity m
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -107,7 +108,15 @@ class Words:
         return b" ".join(words if keep is None else [w for w, k in zip(words, keep, strict=True) if k])
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+def trim() -> None:
+    """Gives freed memory back to the system at the end of a task: workers live on between tasks, beside others."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if give_back:
+        give_back(0)
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = 500_000) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about this many bytes of text, one row at least, so that scratch arrays stay small."""
     texts = batch.column(batch.schema.get_field_index(column))
     size = np.diff(np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1]) if len(texts) else np.zeros(0)
