@@ -27,8 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritide.llm.cluster import small_batches
+from veritide.llm.words import trim
 
-CACHE = 300_000
+CACHE = 120_000
 #: Runs of these code points need no library: composed already, lower-cased one by one, all letters beyond ASCII.
 PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
 PRESPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
@@ -261,6 +262,7 @@ def _mapped(docs: DataFrame, path: str, id_col: str, text_col: str, digest: bool
                 ids.append(sha(joined) if digest else joined)
                 decoded.append(sha(back) if digest else back)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=names)
+        trim()
 
     small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
