@@ -216,6 +216,18 @@ def test_jaccard_join(spark, sf, edge, nothing):
     same(spark, queries.op6_jaccard_join, jaccard.ORACLE_SQL, sf)
 
 
+def test_copies_in_any_order_stay_linked(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = lambda at: " ".join(base[:at] + ["x"] + base[at + 1 :])
+    rows = [(10, near(0)), (7, " ".join(base)), (5, near(59)), (3, " ".join(base)), (2, "another text of six words"), (2, " ".join(base[30:])), (1, "alone")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    got = sorted(tuple(r) for r in jaccard.jaccard_components(frame).collect())
+    assert got == [(1, 1, 1), (2, 1, 2), (2, 26, 2), (3, 56, 3), (5, 56, 3), (7, 56, 3), (10, 56, 3)]
+    points = jaccard.document_points(frame.select("doc_id", "text")).cache()
+    dealt = jaccard.class_of_points(points, lambda b: np.frombuffer(b, np.uint64), 75, cap=1).collect()
+    assert {r["component"] for r in dealt} >= {3} and not {r["component"] for r in dealt} & {5, 7, 10}
+
+
 @pytest.mark.parametrize("leaf", [2, 6, 48])
 def test_regions_find_all_components(leaf, monkeypatch):
     monkeypatch.setattr(regions, "LEAF", leaf)
