@@ -277,6 +277,17 @@ def test_line_dedup(spark, edge, nothing):
     assert lines.line_dedup(nothing).count() == 0
 
 
+def test_lines_of_fifty_characters_link_with_their_variants(spark):
+    rng = random.Random(11)
+    docs = {}
+    for i in range(150):
+        x = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(52 + i % 27))
+        at = rng.randrange(len(x))
+        docs |= {i: x, 1000 + i: x[:at] + "#" + x[at + 1 :]}
+    out = {r["doc_id"]: r["n_removed"] for r in lines.line_dedup(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")).collect()}
+    assert all(out[i] == 0 and out[1000 + i] == 1 for i in range(150))
+
+
 def test_tiles_are_matches_without_overlap_and_complete():
     rng = random.Random(8)
     for _ in range(150):

@@ -1,9 +1,9 @@
 """Fuzzy line deduplication: MinHash bands, exact Jaccard verification, distributed union-find.
 
-A line's set is its SHINGLE-character shingles. One-permutation MinHash sorts their 32-bit hashes
-into CELLS cells, of which BINS with rotation for empty ones give the minima; BANDS bands of them are
-its keys. At the threshold of PERCENT / 100 two lines share a key with probability 0.99, above it
-more; unrelated lines, which share one shingle in fifty, hardly ever do. Keys that a count-min sketch
+A line's set is its SHINGLE-character shingles. BINS / BANDS one-permutation MinHashes of BANDS cells
+each, with rotation for empty cells, give the minima; a band takes one cell of each, so its minima are
+of different shingles on short lines too, and BANDS bands are a line's keys. At the threshold of
+PERCENT / 100 two lines share a key with probability over 0.998, above it more. Keys that a count-min sketch
 certifies to be single are dropped, and lines without any other key go no further. Lines that share keys meet in groups; exact
 Jaccard tests within a group (the same metric search as the n-gram join) give components, and of
 each component the line of the smallest (document, place) stays.
@@ -26,26 +26,29 @@ from veritide.llm.jaccard import class_of_points
 from veritide.llm.quality import let
 from veritide.llm.words import mix, slices, trim
 
-SHINGLE, PERCENT, BINS, BANDS, MIN_CHARS = 8, 80, 60, 12, 20
-DEPTH, LEVELS, CELLS = 2, (2,), 64
+SHINGLE, PERCENT, BINS, BANDS, MIN_CHARS = 5, 80, 48, 12, 20
+DEPTH, LEVELS = 2, (2,)
 EMPTY = np.uint32(0xFFFFFFFF)
 SCHEMA = "id bigint, n bigint, f1 bigint, f2 bigint, keys array<bigint>, payload binary, doc_id bigint, line int"
 
 
-def doubled(codes: np.ndarray, factors: tuple[int, ...]) -> np.ndarray:
-    """Sums over 2, 4, 8 neighbours: for every place a polynomial of the SHINGLE code points from there on (the last few are void)."""
-    h = codes + codes.dtype.type(1)
-    for step, factor in enumerate(factors):
+def windows(codes: np.ndarray, factors: tuple[int, int, int]) -> np.ndarray:
+    """For every place a polynomial of the SHINGLE = 5 code points from there on (the last few are void): sums over 2 and 4 neighbours, and the fifth."""
+    one = codes + codes.dtype.type(1)
+    h = one
+    for step, factor in enumerate(factors[:2]):
         wide = 1 << step
         more = h * codes.dtype.type(factor)
         more[:-wide] += h[wide:]
         h = more
+    h = h * codes.dtype.type(factors[2])
+    h[:-4] += one[4:]
     return h
 
 
 def shingles(codes: np.ndarray) -> np.ndarray:
     """A 32-bit hash for every place of codes, of the shingle that starts there."""
-    h = doubled(codes, (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))
+    h = windows(codes, (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))
     h ^= h >> np.uint32(16)
     h *= np.uint32(0x85EBCA6B)
     h ^= h >> np.uint32(13)
@@ -57,7 +60,7 @@ def shingles(codes: np.ndarray) -> np.ndarray:
 def line_set(payload: bytes) -> np.ndarray:
     """The sorted 64-bit shingle hashes of one line."""
     codes = np.frombuffer(payload.decode().encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-    h = mix(doubled(codes, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))[: max(1, len(codes) - SHINGLE + 1)])
+    h = mix(windows(codes, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))[: max(1, len(codes) - SHINGLE + 1)])
     h.sort()
     return h[np.append(True, h[1:] != h[:-1])]
 
@@ -85,20 +88,22 @@ class Lines:
             return np.zeros((0, BANDS), dtype=np.uint64)
         at = np.arange(count.sum()) + np.repeat(self.start - (np.cumsum(count) - count), count)
         h = shingles(self.codes)[at]
-        cell = np.repeat(np.arange(len(count), dtype=np.int64) * CELLS, count)
-        cell += h >> np.uint32(26)
-        sig = np.full(len(count) * CELLS, EMPTY, dtype=np.uint32)
-        np.minimum.at(sig, cell, h)
-        sig = sig.reshape(-1, CELLS)[:, :BINS]
-        column = np.arange(BINS)
-        near = np.where(sig == EMPTY, 4 * BINS, column)
-        turn = np.concatenate([near, near + BINS], axis=1)[:, ::-1]
-        source = np.minimum.accumulate(turn, axis=1)[:, ::-1][:, :BINS]  # the first cell from here on, around the end, that is not empty
-        filled = np.take_along_axis(sig, source % BINS, axis=1) + (source - column).astype(np.uint32)
-        rows = BINS // BANDS
+        first = np.repeat(np.arange(len(count), dtype=np.int64) * BANDS, count)
+        column = np.arange(BANDS)
         out = np.zeros((len(count), BANDS), dtype=np.uint64)
-        for r in range(rows):
-            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + filled[:, r::rows].astype(np.uint64))
+        for r in range(BINS // BANDS):
+            own = (h ^ np.uint32(0x9E3779B9 * (r + 1) & 0xFFFFFFFF)) * np.uint32(0x2C1B3C6D)
+            own ^= own >> np.uint32(15)
+            own *= np.uint32(0x297A2D39)
+            own ^= own >> np.uint32(15)
+            sig = np.full(len(count) * BANDS, EMPTY, dtype=np.uint32)
+            np.minimum.at(sig, first + ((own >> np.uint32(16)) * np.uint32(BANDS) >> np.uint32(16)), own)
+            sig = sig.reshape(-1, BANDS)
+            near = np.where(sig == EMPTY, 4 * BANDS, column)
+            turn = np.concatenate([near, near + BANDS], axis=1)[:, ::-1]
+            source = np.minimum.accumulate(turn, axis=1)[:, ::-1][:, :BANDS]  # the first cell from here on, around the end, that is not empty
+            filled = np.take_along_axis(sig, source % BANDS, axis=1) + (source - column).astype(np.uint32)
+            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + filled.astype(np.uint64))
         return mix(out + np.arange(BANDS, dtype=np.uint64))
 
     def text(self, i: int) -> bytes:
