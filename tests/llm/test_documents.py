@@ -288,6 +288,12 @@ def test_lines_of_fifty_characters_link_with_their_variants(spark):
     assert all(out[i] == 0 and out[1000 + i] == 1 for i in range(150))
 
 
+def test_short_lines_are_judged(spark):
+    docs = {1: "And ornd.\n---\nab\n \nabc", 2: "ab\nAnd ornd.\n\nend of text 12\n \nabcd", 3: "---\nend of text 13\nab \nabc", 4: "And ornd."}
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in lines.line_dedup(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")).collect()}
+    assert got == {1: (docs[1], 0), 2: ("\nend of text 12\n \nabcd", 2), 3: ("ab ", 3), 4: ("", 1)}
+
+
 def test_tiles_are_matches_without_overlap_and_complete():
     rng = random.Random(8)
     for _ in range(150):

@@ -1,6 +1,6 @@
 """Fuzzy line deduplication: MinHash bands, exact Jaccard verification, distributed union-find.
 
-A line's set is its SHINGLE-character shingles. BINS / BANDS one-permutation MinHashes of BANDS cells
+A line's set is its SHINGLE-character shingles; a shorter line is one shingle, so only copies match it. BINS / BANDS one-permutation MinHashes of BANDS cells
 each, with rotation for empty cells, give the minima; a band takes one cell of each, so its minima are
 of different shingles on short lines too, and BANDS bands are a line's keys. At the threshold of
 PERCENT / 100 two lines share a key with probability over 0.998, above it more. Keys that a count-min sketch
@@ -26,7 +26,7 @@ from veritide.llm.jaccard import class_of_points
 from veritide.llm.quality import let
 from veritide.llm.words import mix, slices, trim
 
-SHINGLE, PERCENT, BINS, BANDS, MIN_CHARS = 5, 80, 48, 12, 20
+SHINGLE, PERCENT, BINS, BANDS, MIN_CHARS = 5, 80, 48, 12, 1
 DEPTH, LEVELS = 2, (2,)
 EMPTY = np.uint32(0xFFFFFFFF)
 SCHEMA = "id bigint, n bigint, f1 bigint, f2 bigint, keys array<bigint>, payload binary, doc_id bigint, line int"
@@ -57,6 +57,16 @@ def shingles(codes: np.ndarray) -> np.ndarray:
     return h
 
 
+def short_hashes(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of whole lines that are shorter than a shingle."""
+    place = start[:, None] + np.arange(SHINGLE)
+    held = np.where(place < end[:, None], codes[np.minimum(place, len(codes) - 1)] + np.uint32(1), np.uint32(0)).astype(np.uint64)
+    out = np.zeros(len(start), dtype=np.uint64)
+    for k in range(SHINGLE):
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + held[:, k])
+    return (out >> np.uint64(32)).astype(np.uint32)
+
+
 def line_set(payload: bytes) -> np.ndarray:
     """The sorted 64-bit shingle hashes of one line."""
     codes = np.frombuffer(payload.decode().encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
@@ -66,7 +76,7 @@ def line_set(payload: bytes) -> np.ndarray:
 
 
 class Lines:
-    """The judged lines of some texts: those of MIN_CHARS code points or more with a word in them."""
+    """The judged lines of some texts: all with a word in them (MIN_CHARS code points or more, which is one)."""
 
     def __init__(self, texts: pa.Array):
         values = [t or "" for t in texts.to_pylist()]
@@ -83,11 +93,14 @@ class Lines:
 
     def keys(self) -> np.ndarray:
         """Band keys, one row a line."""
-        count = self.end - self.start - SHINGLE + 1
+        count = np.maximum(self.end - self.start - SHINGLE + 1, 1)
         if not len(count):
             return np.zeros((0, BANDS), dtype=np.uint64)
         at = np.arange(count.sum()) + np.repeat(self.start - (np.cumsum(count) - count), count)
         h = shingles(self.codes)[at]
+        short = np.flatnonzero(self.end - self.start < SHINGLE)
+        own_place = (np.cumsum(count) - count)[short]
+        h[own_place] = short_hashes(self.codes, self.start[short], self.end[short])
         first = np.repeat(np.arange(len(count), dtype=np.int64) * BANDS, count)
         column = np.arange(BANDS)
         out = np.zeros((len(count), BANDS), dtype=np.uint64)
@@ -173,7 +186,7 @@ def repeated_lines(rows: DataFrame) -> DataFrame:
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with repeated lines cut out of its texts, and two more columns: n_lines and n_removed.
 
-    Lines end at LF. Lines shorter than MIN_CHARS or without a word are never judged. Null texts stay
+    Lines end at LF. Lines without a word are never judged; every other line is, however short. Null texts stay
     null. Only documents that lose lines are shuffled. Rows that repeat a doc_id are edited alike; rows with a null id are left as they are. A
     document may lose all its lines; it stays, with an empty text.
     """
