@@ -1,7 +1,9 @@
 """Archives, URLs, chats and the pipeline."""
 
 import hashlib
+import math
 import random
+from collections import Counter
 
 import pytest
 import zstandard
@@ -85,6 +87,51 @@ def test_url_model_on_urls_it_has_not_seen(spark):
     assert right >= 190
 
 
+def models_by_force(labelled):
+    """Exact counts of (order, context, next) and (order, context) by verdict."""
+    out = {}
+    for want in ("allow", "block"):
+        pair, context = out[want] = Counter(), Counter()
+        for t, said in labelled:
+            for c, x in steps(t) if said == want else ():
+                for order in range(urls.ORDERS):
+                    pair[order, c[len(c) - order :], x] += 1
+                    context[order, c[len(c) - order :]] += 1
+    return out
+
+
+def score_by_force(models, text):
+    """Difference of the mean log-likelihoods."""
+    total = {}
+    for want, (pair, context) in models.items():
+        total[want] = 0
+        for c, x in steps(text):
+            p = 1 / 256
+            for order in range(urls.ORDERS):
+                key = (order, c[len(c) - order :])
+                p = (pair[(*key, x)] + urls.SMOOTHING * p) / (context[key] + urls.SMOOTHING)
+            total[want] += math.log(p)
+    return (total["allow"] - total["block"]) / len(steps(text))
+
+
+def steps(text):
+    padded = [-1] * (urls.ORDERS - 1) + list(text.encode()) + [0]
+    return [(tuple(padded[i : i + urls.ORDERS - 1]), padded[i + urls.ORDERS - 1]) for i in range(len(text.encode()) + 1)]
+
+
+def test_url_scores_past_65536_grams(spark):
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    rows = [(i, f"http://{word(20)}.{'net/de' if i % 2 else 'org/es'}/{word(20)}") for i in range(4000)] + [(9000 + i, f"http://{word(12)}.info/{word(12)}é") for i in range(20)] + [(9100, rows_url := "http://x.info/"), (9101, rows_url)]
+    labelled = [("".join(parts(u)), verdict_by_rule(*parts(u))[1]) for i, u in rows if i < 9000]
+    assert len({(c, x) for t, _ in labelled for c, x in steps(t)}) > 65_536
+    got = {r["page_id"]: r for r in urls.judge_urls(spark.createDataFrame(rows, "page_id bigint, url string")).collect()}
+    assert len(got) == len(rows)
+    models = models_by_force(labelled)
+    for i, u in rows[4000:]:
+        assert got[i]["score"] == pytest.approx(score_by_force(models, "".join(parts(u))), abs=1e-9)
+
+
 def test_perspectives(spark, sf):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi é"), (1, 2, "bob", None), (1, 3, None, "me"), (1, 3, None, "me"), (2, None, "ann", "x"), (3, 0, "system", "only"), (4, 600, "ann", "late"), (4, 0, "bob", ""), (None, 0, "ann", "lost")]
     frame = spark.createDataFrame([(*r, "y") for r in rows], "conv_id bigint, turn bigint, role string, text string, part string")

@@ -6,8 +6,10 @@ to the one below by additive smoothing. A URL without a rule is accepted when it
 log-likelihood difference reaches a threshold calibrated on held-out scores: each of two folds is
 scored by the models of the other, and the threshold is the one of best balanced accuracy.
 
-Counts live in hashed tables of fixed size (CELLS cells an order, fold and class), so that the
-models that go to every executor have a size that no corpus changes.
+Counts are exact rows of a distributed table, one for each distinct gram (an order-4 context and the
+next character, packed into 45 bits), so they grow with the corpus and nothing collides. The lower orders are
+sums over grams with the same end. Each gram gets its log-likelihood differences once; blocks of about
+BLOCK distinct URLs fetch those of their grams by a join. The driver gets a histogram of BINS bins.
 """
 
 from __future__ import annotations
@@ -16,12 +18,15 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veritide.llm.words import mix
+from veritide.llm.cluster import cut
+from veritide.llm.jaccard import grouped
 
-ORDERS, CELLS, SMOOTHING, BINS, SPAN = 5, 1 << 16, 0.5, 400, 4.0
+ORDERS, SMOOTHING, BINS, SPAN, BLOCK, WIDTH = 5, 0.5, 400, 4.0, 1000, 9
+SUMS = ("b0", "a0", "b1", "a1")  # block and allow by fold
+SCORES = ("s0", "s1", "s")  # of the models without fold 0, without fold 1, and of all
 RULES = (
     ("block", "com", "/en/"),
     ("allow", "example.com", "/en/7"),
@@ -52,59 +57,94 @@ def rule_of(host: Column, path: Column, rules: Iterable[tuple[str, str, str]] =
     return name, verdict
 
 
-def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of each character, cells of its context by order, cells of context and character by order)."""
+def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, gram) of each byte and of the end of each text: WIDTH bits a character, its context above it; 0 lies before the text."""
     raw = texts.cast(pa.binary()).fill_null(b"").to_pylist()
     sizes = np.array([len(x) + 1 for x in raw], dtype=np.int64)
-    data = np.frombuffer(b"".join(x + b"\x00" for x in raw), dtype=np.uint8).astype(np.uint64) + np.uint64(1)
+    data = np.frombuffer(b"".join(x + b"\x00" for x in raw), dtype=np.uint8).astype(np.int64) + 1
     row = np.repeat(np.arange(len(raw)), sizes)
     first = np.repeat(np.cumsum(sizes) - sizes, sizes)
     at = np.arange(len(data))
-    context = np.zeros(len(data), dtype=np.uint64)
-    contexts, pairs = [], []
-    for order in range(ORDERS):
-        if order:
-            back = at - order
-            before = np.where(back >= first, data[np.maximum(back, 0)], np.uint64(0))
-            context = mix(context * np.uint64(0x9E3779B97F4A7C15) + before + np.uint64(order))
-        contexts.append((context % np.uint64(CELLS)).astype(np.int64))
-        pairs.append((mix(context ^ (data * np.uint64(0xC2B2AE3D27D4EB4F))) % np.uint64(CELLS)).astype(np.int64))
-    return row, np.array(contexts), np.array(pairs)
-
-
-class Model:
-    """Counts by order of contexts and of contexts with the next character."""
-
-    def __init__(self, counts: np.ndarray):
-        self.context, self.pair = counts[0].astype(np.float64), counts[1].astype(np.float64)
-
-    def score(self, rows: int, grams_: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-        """Mean log-likelihood of a character, by row."""
-        row, contexts, pairs = grams_
-        p = np.full(len(row), 1 / 256)
-        for order in range(ORDERS):
-            p = (self.pair[order][pairs[order]] + SMOOTHING * p) / (self.context[order][contexts[order]] + SMOOTHING)
-        size = np.bincount(row, minlength=rows)
-        return np.bincount(row, weights=np.log(np.minimum(p, 1.0)), minlength=rows) / np.maximum(size, 1)
+    out = data.copy()
+    for back in range(1, ORDERS):
+        before = at - back
+        out |= np.where(before >= first, data[np.maximum(before, 0)], 0) << (WIDTH * back)
+    return row, out
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (text, class, fold) to sums by cell; one dense table of fixed size per task."""
-    table = np.zeros(2 * 2 * 2 * ORDERS * CELLS, dtype=np.int64)
-    view = table.reshape(2, 2, 2, ORDERS, CELLS)  # fold, class, context or pair, order, cell
+    """Rows (text, label, fold, n) to sums by gram, a batch at a time; label is null where no rule says."""
     for batch in batches:
-        row, contexts, pairs = grams(batch.column(0))
-        label, fold = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
+        row, gram = grams(batch.column(0))
+        label, fold, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+        found, place = np.unique(gram, return_inverse=True)
+        sums = []
         for f in (0, 1):
             for c in (0, 1):
-                mine = (label[row] == c) & (fold[row] == f)
-                for order in range(ORDERS):
-                    view[f, c, 0, order] += np.bincount(contexts[order][mine], minlength=CELLS)
-                    view[f, c, 1, order] += np.bincount(pairs[order][mine], minlength=CELLS)
-    cell = np.flatnonzero(table)
-    for at in range(0, len(cell), 100_000):
-        part = cell[at : at + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), pa.array(table[part])], names=["cell", "n"])
+                weight = np.where((label == c) & (fold == f), n, 0)[row]
+                sums.append(pa.array(np.bincount(place, weights=weight, minlength=len(found)).astype(np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array(found), *sums], names=["gram", *SUMS])
+
+
+def gram_scores(texts: DataFrame) -> DataFrame:
+    """(gram, s0, s1, s): log-likelihood differences of every gram of texts (text, label, fold, n)."""
+    counts = texts.select("text", "label", "fold", "n").mapInArrow(_count, "gram bigint, " + ", ".join(f"{c} bigint" for c in SUMS))
+    out = cut(counts.groupBy("gram").agg(*[F.sum(c).alias(c) for c in SUMS]))
+    total = lambda name, by=None: [(F.sum(c).over(by) if by is not None else F.sum(c)).alias(f"{name}_{c}") for c in SUMS]
+    base = out
+    for order in range(ORDERS):
+        for name, key in (
+            (f"c{order}", F.shiftright("gram", WIDTH).bitwiseAND(F.lit((1 << WIDTH * order) - 1))),
+            (f"p{order}", F.col("gram").bitwiseAND(F.lit((1 << WIDTH * (order + 1)) - 1))),
+        ):
+            if name == f"p{ORDERS - 1}":
+                out = out.select("*", *[F.col(c).alias(f"{name}_{c}") for c in SUMS])
+            elif name in ("c0", "p0", "c1", "p1", "c2"):  # 66,049 keys at most, each of many grams
+                small = base.groupBy(key.alias("k")).agg(*total(name))
+                out = out.withColumn("k", key).join(F.broadcast(small), "k").drop("k")
+            else:  # keys of at most 66,049 grams each
+                out = out.withColumn("k", key).select("*", *total(name, Window.partitionBy("k"))).drop("k")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            has = {n: batch.column(n).to_numpy(zero_copy_only=False).astype(np.float64) for n in batch.schema.names if n != "gram"}
+            found = []
+            for folds in ((1,), (0,), (0, 1)):
+                log = []
+                for c in "ba":
+                    p = np.full(len(batch), 1 / 256)
+                    for order in range(ORDERS):
+                        pair, context = (sum(has[f"{x}{order}_{c}{f}"] for f in folds) for x in "pc")
+                        p = (pair + SMOOTHING * p) / (context + SMOOTHING)
+                    log.append(np.log(p))
+                found.append(pa.array(log[1] - log[0]))
+            yield pa.RecordBatch.from_arrays([batch.column("gram"), *found], names=["gram", *SCORES])
+
+    return out.drop(*SUMS).mapInArrow(score, "gram bigint, " + ", ".join(f"{c} double" for c in SCORES))
+
+
+def text_scores(texts: DataFrame) -> DataFrame:
+    """(host, path, label, fold, n, held_out, score) for texts (host, path, text, label, fold, n), one row a text."""
+    blocks = max(1, -(-texts.count() // BLOCK))
+    dealt = texts.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(blocks)).cast("int"))
+
+    def needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in grouped(batches, ("block",)):
+            found = np.unique(grams(rows["text"].combine_chunks())[1])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), rows["block"][0].as_py(), dtype=np.int32)), pa.array(found)], names=["block", "gram"])
+
+    def add(rows: pa.Table, known: pa.Table) -> pa.Table:
+        known = known.sort_by("gram")
+        row, gram = grams(rows["text"].combine_chunks())
+        at = np.searchsorted(known["gram"].to_numpy(), gram)
+        size = np.bincount(row, minlength=len(rows))
+        s0, s1, s = (np.bincount(row, weights=known[c].to_numpy()[at], minlength=len(rows)) / size for c in SCORES)
+        held = np.where(rows["fold"].to_numpy() == 0, s0, s1)
+        return rows.select(["host", "path", "label", "fold", "n"]).append_column("held_out", pa.array(held)).append_column("score", pa.array(s))
+
+    wanted = dealt.select("block", "text").repartition("block").sortWithinPartitions("block").mapInArrow(needs, "block int, gram bigint")
+    known = wanted.join(gram_scores(texts), "gram").select("block", "gram", *SCORES)
+    return dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(add, "host string, path string, label int, fold int, n bigint, held_out double, score double")
 
 
 def _text(host: str, path: str) -> Column:
@@ -115,56 +155,34 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """(page_id, host, path, rule, verdict, score) for every row; score is null where a rule decides.
 
     Without labelled rows of both verdicts, or with neither host nor path, the model says allow.
-    Ties with the threshold are allowed. The driver gets two bounded things: table cells (at most
-    8 * ORDERS * CELLS sums) and histograms of BINS bins.
+    Ties with the threshold are allowed. The driver gets three counts and a histogram of BINS bins a verdict.
     """
-    spark = pages.sparkSession
     url = F.col(url_col)
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     name, say = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.select("page_id", "host", "path", name.alias("rule"), say.alias("said"))
-    labelled = rows.where("said is not null").select(
-        _text("host", "path").alias("text"), (F.col("said") == "allow").cast("int").alias("label"), F.pmod(F.xxhash64("host", "path"), F.lit(2)).cast("int").alias("fold")
+    once = rows.groupBy("host", "path").agg(F.first("said").alias("said"), F.count("*").alias("n"))
+    texts = cut(
+        once.select(
+            "host", "path", _text("host", "path").alias("text"), (F.col("said") == "allow").cast("int").alias("label"), F.pmod(F.xxhash64("host", "path"), F.lit(2)).cast("int").alias("fold"), "n"
+        )
     )
-    cells = labelled.mapInArrow(_count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    table = np.zeros(2 * 2 * 2 * ORDERS * CELLS, dtype=np.int64)
-    table[cells["cell"].to_numpy(dtype=np.int64)] = cells["n"].to_numpy(dtype=np.int64)
-    view = table.reshape(2, 2, 2, ORDERS, CELLS)
-    seen = view[:, :, 0, 0].sum(axis=(0, 2))
-    if not seen.all():
+    if texts.where("label is not null").select("label").distinct().count() < 2:
         return rows.select("page_id", "host", "path", "rule", F.coalesce("said", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("score"))
-    shared = spark.sparkContext.broadcast(view.astype(np.int32) if table.max() < 2**31 else view)
-
-    def held_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = [[Model(shared.value[1 - f, c]) for c in (0, 1)] for f in (0, 1)]
-        counts = np.zeros((2, BINS), dtype=np.int64)
-        for batch in batches:
-            g = grams(batch.column(0))
-            label, fold = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
-            both = [m[1].score(len(label), g) - m[0].score(len(label), g) for m in models]
-            bins = bin_of(np.where(fold == 0, both[0], both[1]))
-            for c in (0, 1):
-                counts[c] += np.bincount(bins[label == c], minlength=BINS)
-        c, b = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(counts[c, b])], names=["label", "bin", "n"])
-
-    found = labelled.mapInArrow(held_out, "label int, bin int, n bigint").groupBy("label", "bin").agg(F.sum("n").alias("n")).collect()
-    limit = threshold({(r["label"], r["bin"]): r["n"] for r in found})
+    scored = cut(text_scores(texts))
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = [Model(shared.value[0, c] + shared.value[1, c]) for c in (0, 1)]
+    def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = pa.array([h + p for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)], pa.string())
-            g = grams(text)
-            score = models[1].score(len(batch), g) - models[0].score(len(batch), g)
-            said = batch.column(4).to_pylist()
-            blank = [not t for t in text.to_pylist()]
-            verdict = [s or ("allow" if b or x >= limit else "block") for s, x, b in zip(said, score, blank, strict=True)]
-            scores = pa.array([None if s else float(x) for s, x in zip(said, score, strict=True)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(verdict, pa.string()), scores], names=["page_id", "host", "path", "rule", "verdict", "score"])
-
-    kind = dict(rows.dtypes)["page_id"]
-    return rows.mapInArrow(judge, f"page_id {kind}, host string, path string, rule string, verdict string, score double")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bin_of(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.int32)), batch.column(2)], names=["label", "bin", "n"])
+
+    held = scored.where("label is not null").select("label", "held_out", "n").mapInArrow(bins, "label int, bin int, n bigint")
+    limit = threshold({(r["label"], r["bin"]): r["n"] for r in held.groupBy("label", "bin").agg(F.sum("n").alias("n")).collect()})
+    model = scored.where("label is null").select(F.col("host").alias("h"), F.col("path").alias("p"), "score")
+    judged = rows.where("said is null").join(model, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left")
+    blank = _text("host", "path") == ""
+    verdict = F.when(blank | (F.col("score") >= limit), "allow").otherwise("block")
+    ruled = rows.where("said is not null").select("page_id", "host", "path", "rule", F.col("said").alias("verdict"), F.lit(None).cast("double").alias("score"))
+    return ruled.unionByName(judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score"))
 
 
 def bin_of(score: np.ndarray) -> np.ndarray:
