@@ -90,6 +90,24 @@ def test_secret_scan(spark, sf, edge, nothing):
         assert scanned[r["doc_id"]] == hashlib.sha256(",".join(base).encode()).hexdigest()
 
 
+def test_secrets_under_any_name_and_in_paths(spark):
+    rng = random.Random(12)
+
+    def draw(k):
+        while True:
+            key = "".join(rng.choice(secretscan.ENCODINGS[k][1]) for _ in range(48))
+            if key[0].isalnum() and key[-1].isalnum() and min(secretscan.battery(key)[:3]) >= 0.1 and secretscan.encoding_of(key)[0] == secretscan.ENCODINGS[k][0]:
+                return key
+
+    plain, slash, dash = draw(5), draw(6), draw(7)
+    cases = [("AUTH=", plain, ""), ("sig=", slash, "=="), ("a=b&x_y=", dash, "&z=1"), ("my-app/", plain, ""), ("my/app/", dash, "/end"), ("my-app_", slash, "-x"), ("NAME=my-app/", plain, "=")]
+    rows = [(i, f"see {a}{key}{z} now") for i, (a, key, z) in enumerate(cases)]
+    got = {r["doc_id"]: [(s["span_start"], s["span_end"], s["kind"]) for s in r["spans"]] for r in secretscan.secret_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for i, (a, key, z) in enumerate(cases):
+        (start, end, kind), = got[i]
+        assert kind == "random" and start <= 4 + len(a) and end >= 4 + len(a) + len(key) and end - start <= len(key) + 8, (a, got[i])
+
+
 def test_randomness_battery():
     rng = random.Random(4)
     draw = lambda n: "".join(rng.choice(secretscan.ENCODINGS[6][1]) for _ in range(n))

@@ -1,8 +1,11 @@
 """Secret scans: fixed patterns, and a randomness test battery with length-aware false-discovery control.
 
 Base patterns find assignments, access keys and long hex runs. The battery then looks at every other
-run of 20 or more characters of an encoded alphabet. For such a token it infers the encoding (the
-smallest of hex, base32, base36, base62, base64 that holds it), and asks two things:
+run of 20 or more characters of an encoded alphabet. "=" ends a piece of a run, so names before it and
+padding are no part of the next piece. Where no alphabet holds a piece ("/" or "+" beside "-" or "_"), its
+longest sub-runs of each alphabet are looked at, and of those that overlap the one of the strongest evidence.
+For such a token it infers the encoding (the smallest of hex, base32, base36, base62, base64 that holds it),
+and asks two things:
 
 * is it compatible with uniform random characters? Chi-squared uniformity over the alphabet, a runs
   test about the middle of the alphabet, and the lag-1 serial correlation must all not reject, at a
@@ -34,6 +37,7 @@ ASSIGN_HINTS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_ke
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+PIECE = re.compile(r"[A-Za-z0-9+/_-]+=*")
 KINDS = ("assign", "access", "hex", "random")
 MIN_TOKEN, ALPHA, BATTERY_ALPHA, STEPS = 20, 0.01, 0.03, 60
 BANDS = (20, 24, 32, 48, 64)
@@ -53,6 +57,8 @@ ENCODINGS = (
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 )
 
+SUB_RUNS = tuple(re.compile(rf"[{re.escape(a)}]{{{MIN_TOKEN},}}=*") for _, a in ENCODINGS)
+
 
 def normal_tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
@@ -127,21 +133,40 @@ def length_band(n: int) -> int:
     return sum(n >= b for b in BANDS) - 1
 
 
+def tested_tokens(piece: str) -> list[tuple[int, int, bool, float]]:
+    """(start, end, whether it passes as random, p-value of "text") of the tokens of a piece; none overlap."""
+
+    def judged(start: int, end: int) -> tuple[int, int, bool, float] | None:
+        tested = battery(piece[start:end])
+        return tested and (start, end, min(tested[:3]) >= BATTERY_ALPHA / 3, tested[3])
+
+    body = set(piece.rstrip("="))
+    if any(body <= set(a) for _, a in ENCODINGS):
+        found = judged(0, len(piece))
+        return [found] if found else []
+    spans = {m.span() for run in SUB_RUNS for m in run.finditer(piece)}
+    out: list[tuple[int, int, bool, float]] = []
+    for one in sorted((x for x in (judged(*s) for s in spans) if x), key=lambda x: (not x[2], x[3], x[0], x[1])):
+        if not any(s < one[1] and one[0] < e for s, e, *_ in out):
+            out.append(one)
+    return sorted(out)
+
+
 def candidate_spans(text: str, raw: bytes, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
     """(start, end, kind, band, grid step) of every tested token; step -1 where the battery rejects randomness."""
     out = []
     if b"x" * MIN_TOKEN not in raw.translate(_marks):
         return out
     for m in TOKEN.finditer(text):
-        if any(s < m.end() and m.start() < e for s, e, _ in base):
-            continue
-        tested = battery(m.group())
-        if tested is None:
-            continue
-        *randomness, text_p = tested
-        passed = min(randomness) >= BATTERY_ALPHA / 3
-        step = min(STEPS, int(-2 * math.log2(max(text_p, 2.0**-100)))) if passed else -1
-        out.append((m.start(), m.end(), 3, length_band(m.end() - m.start()), step))
+        for piece in PIECE.finditer(m.group()):
+            if len(piece.group()) < MIN_TOKEN:
+                continue
+            for a, b, passed, text_p in tested_tokens(piece.group()):
+                start, end = m.start() + piece.start() + a, m.start() + piece.start() + b
+                if any(s < end and start < e for s, e, _ in base):
+                    continue
+                step = min(STEPS, int(-2 * math.log2(max(text_p, 2.0**-100)))) if passed else -1
+                out.append((start, end, 3, length_band(end - start), step))
     return out
 
 
