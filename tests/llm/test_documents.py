@@ -325,6 +325,12 @@ def test_tiles_are_matches_without_overlap_and_complete():
         assert not any(tuple(text[i : i + 3]) in left and all(free[0][i : i + 3]) for i in range(len(text) - 2))
 
 
+def test_free_head_of_a_match_is_tiled_too():
+    item = list(range(18))
+    text = item[4:12] + [98] + item[:8] + [99] + item[4:8]
+    assert sum(k for *_, k in decontam.tile(text, item)) == 12
+
+
 def test_decontamination(spark, sf, edge, nothing):
     rng = random.Random(9)
     word = lambda: f"w{rng.randrange(10**6)}"

@@ -64,6 +64,7 @@ def tile(text: list[int], item: list[int], least: int = LEAST) -> list[tuple[int
         if longest > 2 * search:
             search = longest
             continue
+        before = len(out)
         for k in sorted(found, reverse=True):
             for i, j in found[k]:
                 if all(free_text[i : i + k]) and all(free_item[j : j + k]):
@@ -73,7 +74,7 @@ def tile(text: list[int], item: list[int], least: int = LEAST) -> list[tuple[int
             search //= 2
         elif search > least:
             search = least
-        else:
+        elif len(out) == before:  # until then, what is left of matches that overlap a tile is searched again
             return sorted(out)
 
 
