@@ -1,4 +1,4 @@
-"""Cutting lineage in the cluster's shared folder, and connected components."""
+"""Cutting lineage in the cluster's shared folder, joins on hot keys, and connected components."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 
 BATCH_ROWS = "1000"
+#: A key with more than one row in SHARE is hot; there are SHARE such keys at most.
+SHARE = 1000
 
 
 def small_batches(spark: SparkSession) -> SparkSession:
@@ -22,11 +24,13 @@ def small_batches(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests), one of our own, set for the session."""
+    """The folder of spark.checkpoint.dir. Where that is unset, a local session gets one of its own; a cluster has none that all machines see, so it raises."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if configured is None and current is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="veritide-"))
     elif current is None:
         sc.setCheckpointDir(configured)
@@ -54,28 +58,57 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread_join(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """rows joined to facts, which have one row a key at most; how is inner or left.
+
+    Keys that hold more than one row in SHARE (SHARE keys at most, so their facts can be broadcast) don't go to
+    one task: rows of hot keys stay where they are. rows are read twice and should be a checkpoint or a scan.
+    counts, where known, has each key's rows as __n.
+    """
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("__n")) if counts is None else counts
+    total = rows.count()
+    hot = counts.where(F.col("__n") > max(total // SHARE, 1)).select(*keys).dropna().collect()
+    if not hot:
+        return rows.join(facts, keys, how)
+    known = F.broadcast(rows.sparkSession.createDataFrame(hot, rows.select(*keys).schema))
+    cold = rows.join(known, keys, "left_anti").join(facts, keys, how)
+    own = F.broadcast(facts.join(known, keys, "left_semi"))
+    warm = rows.join(known, keys, "left_semi").join(own, keys, how)
+    return cold.unionByName(warm)
+
+
+def _least(rows: DataFrame) -> DataFrame:
+    """rows (a, b) with m, the least b of a."""
+    found = cut(rows.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("__n")))
+    return spread_join(rows, found.select("a", "m"), ["a"], counts=found)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Distributed union-find: (node, component) for every node of edges (a, b); component is the least node reached.
 
-    Alternates large-star and small-star steps until no edge changes. Each step is a join and an
-    aggregation on node ids, so no task needs a component as a whole. Loops and nulls are ignored;
-    an empty input gives an empty result.
+    Alternates large-star and small-star steps until no edge changes. Each step is an aggregation on
+    node ids and a join that leaves the rows of hot nodes (centres of large stars) in place, so no task
+    needs a component or the edges of one node as a whole. Loops and nulls are ignored; an empty input
+    gives an empty result.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     pairs = cut(pairs)
     before = None
     while True:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        small = small.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        pairs = cut(small)
+        large = _least(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+        large = cut(large.distinct())
+        small = _least(large)
+        star = small.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        pairs = cut(star.distinct())
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
     stars = pairs.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
+
+
+def partitions(spark: SparkSession, rows: int, per: int) -> int:
+    """Shuffle partitions for so many rows, of about per rows each; the session's number at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per))

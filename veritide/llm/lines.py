@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from veritide.llm import sketch
 from veritide.llm.cluster import cut, release
-from veritide.llm.jaccard import class_of_points
 from veritide.llm.quality import let
+from veritide.llm.space import class_of_points
 from veritide.llm.words import mix, slices, trim
 
 SHINGLE, PERCENT, BINS, BANDS, MIN_CHARS = 5, 80, 48, 12, 1

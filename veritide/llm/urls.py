@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritide.llm.cluster import cut
-from veritide.llm.jaccard import grouped
+from veritide.llm.space import grouped
 
 ORDERS, SMOOTHING, BINS, SPAN, BLOCK, WIDTH = 5, 0.5, 400, 4.0, 1000, 9
 SUMS = ("b0", "a0", "b1", "a1")  # block and allow by fold
