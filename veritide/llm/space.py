@@ -8,10 +8,12 @@ no link. A point has few regions, since the elements of near copies choose the s
 
 Levels below. A region of at most cap members is joined in one task (regions.py). In a larger one,
 dealt to tasks in chunks, all distances to PIVOTS further pivots are taken. Members within r of a pivot are linked
-to it. Members caught by the main pivots (the connected ones that catch most) are passive: they are known
-to be linked with one another, and only pairs with an active member are left. Then, region by region:
+to it. Members caught by the main pivots (the connected ones that catch most, then those connected with what is
+passive already) are passive: they are known to be linked with one another, and only pairs with an active
+member are left. Then, region by region:
 
 * few active members, or nothing else has helped: blocks of active members meet chunks of the region;
+* many members became passive: further pivots, chosen among the active ones;
 * the cells shrink it: each member goes to the Voronoi cell of its nearest pivot and, as a boundary
   member, to those whose pivot is at most 2r farther. Cells are regions of the next level;
 * else its members choose pivots once more through their first elements, now in the order of exact
@@ -35,7 +37,7 @@ from veritide.llm.cluster import components, cut, partitions, release, spread_jo
 from veritide.llm.regions import EPS, linked
 from veritide.llm.words import trim
 
-CAP, PIVOTS, LEVELS, SHRINK, FEW_REGIONS = 256, 6, 6, 0.5, 200_000
+CAP, PIVOTS, LEVELS, SHRINK, STAY, FEW_REGIONS = 256, 6, 8, 0.5, 0.7, 200_000
 MEMBER = "rid bigint, pid bigint, f1 bigint, hint bigint, keyed boolean, payload binary"
 COLUMNS = ("rid", "pid", "f1", "hint", "keyed", "payload")
 Decode = Callable[[bytes], np.ndarray]
@@ -105,11 +107,12 @@ def join_regions(members: DataFrame, decode: Decode, percent: int, cap: int = CA
     """Links (a, b) of pids, enough to connect all members linked within a region. members: MEMBER, as a checkpoint."""
     links = []
     for depth in range(LEVELS + 1):
-        sizes = cut(members.groupBy("rid").agg(F.count("*").alias("n")))
+        sizes = cut(members.groupBy("rid").agg(F.count("*").alias("n"), F.count("hint").alias("passive")).where("n > passive").drop("passive"))
         total = sizes.agg(F.count("*").alias("regions"), F.count_if(F.col("n") > cap).alias("big"), F.sum("n").alias("members"), F.sum(F.when(F.col("n") > cap, F.col("n"))).alias("large")).first()
         if trace is not None and total["members"]:
             trace.append((total["regions"], total["big"], total["members"]))
         big = sizes.where(F.col("n") > cap)
+        # members of regions without an active member are harmless here: one hint makes them one component
         small = members if not total["big"] else _by_region(members, big, total["big"], "left_anti")
         links.append(_solve(small.withColumns({"active": F.lit(True), "b": F.lit(0), "t": F.lit(0)}), decode, percent, total["members"] or 0))
         if not total["big"]:
@@ -164,18 +167,18 @@ def _divide(large: DataFrame, total, decode: Decode, percent: int, cap: int, dep
     dealt = one.unionByName(two).repartition(partitions(spark, total["large"], 50_000), "rid", "chunk").sortWithinPartitions("rid", "chunk", "j")
     measured = cut(dealt.mapInArrow(_measurer(decode, percent), MEMBER + ", caught bigint, near int, window bigint, pivots array<bigint>"))
     links = [measured.select(F.col("pid").alias("a"), F.explode("pivots").alias("b"))]
-    counts = measured.groupBy("rid", "caught", "near", "window", "keyed").agg(F.count("*").alias("n"))
+    counts = measured.groupBy("rid", "caught", "near", "window", "keyed").agg(F.count("*").alias("n"), F.max("hint").cast("string").alias("hint"))  # text: pandas would make it a float
     last = depth == LEVELS - 1
 
     def decide(rows: pd.DataFrame) -> pd.DataFrame:
         return _plan(rows, half, last)
 
-    facts = counts.groupBy("rid").applyInPandas(decide, "rid bigint, main bigint, first int, plan int, live bigint, n_active bigint, n_all bigint")
-    hints = pivots.select("rid", F.col("j").alias("first"), F.col("pid").alias("main_pid"))
-    facts = cut(facts.join(hints, ["rid", "first"]))
+    facts = counts.groupBy("rid").applyInPandas(decide, "rid bigint, main bigint, first int, known bigint, plan int, live bigint, n_active bigint, n_all bigint")
+    hints = pivots.select("rid", F.col("j").alias("first"), "pid")
+    facts = cut(facts.join(hints, ["rid", "first"], "left").withColumn("main_pid", F.coalesce("known", "pid")).drop("pid", "known"))
     rows = _by_region(measured, facts.where("plan > 0"), total["big"], "inner")
     active = F.col("caught").bitwiseAND(F.col("main")) == 0
-    rows = rows.withColumns({"active": active, "hint": F.when(active, F.col("hint")).otherwise(F.col("main_pid"))})
+    rows = rows.withColumns({"active": active, "hint": F.when(~active, F.col("main_pid"))})
     # blocks of active members by chunks of the region
     flat = rows.where("plan = 1")
     blocks, parts = F.ceil(F.col("n_active") / half).cast("int"), F.ceil(F.col("n_all") / half).cast("int")
@@ -188,7 +191,8 @@ def _divide(large: DataFrame, total, decode: Decode, percent: int, cap: int, dep
     inner = rows.where("plan = 2").withColumn("c", F.explode(cells)).withColumn("rid", F.xxhash64("rid", "c", F.lit(depth)))
     # pivots chosen once more, through elements
     again = _rekeyed(rows.where("plan = 3"), decode, percent, depth)
-    return links, cut(inner.select(*COLUMNS).unionByName(again.select(*COLUMNS)))
+    stay = rows.where("plan = 4")
+    return links, cut(inner.select(*COLUMNS).unionByName(again.select(*COLUMNS)).unionByName(stay.select(*COLUMNS)))
 
 
 def _bit(name: str, c) -> F.Column:
@@ -219,7 +223,8 @@ def _measurer(decode: Decode, percent: int):
             bits = np.int64(1) << np.arange(k, dtype=np.int64)[:, None]
             window = dist <= dist.min(axis=0) + 2 * r + EPS
             own = rows.slice(k).combine_chunks().select(COLUMNS)
-            own = own.append_column("caught", pa.array((hit * bits).sum(axis=0)))
+            passive = own["hint"].is_valid().to_numpy(zero_copy_only=False).astype(np.int64)
+            own = own.append_column("caught", pa.array((hit * bits).sum(axis=0) | passive << PIVOTS))
             own = own.append_column("near", pa.array(dist.argmin(axis=0).astype(np.int32)))
             own = own.append_column("window", pa.array((window * bits).sum(axis=0)))
             own = own.append_column("pivots", pa.array([pids[:k][hit[:, i]] for i in range(len(members))], pa.list_(pa.int64())))
@@ -230,7 +235,10 @@ def _measurer(decode: Decode, percent: int):
 
 
 def _plan(rows: pd.DataFrame, half: int, last: bool) -> pd.DataFrame:
-    """How one region goes on, from its counts by (caught, near, window): 0 done, 1 blocks, 2 cells, 3 new pivots. rows: 2**15 at most."""
+    """How one region goes on, from its counts by (caught, near, window): 0 done, 1 blocks, 2 cells, 3 pivots through elements, 4 further pivots.
+
+    Bit PIVOTS of caught tells passive members, which share one hint. rows: 2**16 at most.
+    """
     caught, near, window, n = (rows[c].to_numpy(dtype=np.int64) for c in ("caught", "near", "window", "n"))
     groups: list[int] = []
     for mask in np.unique(caught[caught > 0]).tolist():
@@ -238,7 +246,8 @@ def _plan(rows: pd.DataFrame, half: int, last: bool) -> pd.DataFrame:
             groups.remove(other)
             mask |= other
         groups.append(mask)
-    main = max(groups, key=lambda g: (n[caught & g > 0].sum(), g), default=0)
+    main = max(groups, key=lambda g: (g >> PIVOTS, n[caught & g > 0].sum(), g), default=0)
+    before = int(n[caught >> PIVOTS == 0].sum())
     active = caught & main == 0
     n_active, n_all = int(n[active].sum()), int(n.sum())
     live = cost = 0
@@ -252,12 +261,14 @@ def _plan(rows: pd.DataFrame, half: int, last: bool) -> pd.DataFrame:
         plan = 0
     elif n_active <= half or last:
         plan = 1
+    elif n_active <= STAY * before:
+        plan = 4
     elif cost <= SHRINK * n_active * n_all:
         plan = 2
     else:
         plan = 1 if keyed else 3
-    first = (main & -main).bit_length() - 1
-    return pd.DataFrame({"rid": [rows["rid"].iloc[0]], "main": [main], "first": [first], "plan": [plan], "live": [live], "n_active": [n_active], "n_all": [n_all]})
+    first, known = (main & -main).bit_length() - 1, next((h for h in rows["hint"] if isinstance(h, str)), None)
+    return pd.DataFrame({"rid": [rows["rid"].iloc[0]], "main": [main], "first": [first], "known": pd.array([None if known is None else int(known)], dtype="Int64"), "plan": [plan], "live": [live], "n_active": [n_active], "n_all": [n_all]})
 
 
 def _rekeyed(rows: DataFrame, decode: Decode, percent: int, depth: int) -> DataFrame:
