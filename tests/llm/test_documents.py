@@ -375,10 +375,10 @@ def test_bpe_equals_the_library(spark, sf, edge, nothing):
     odd += ["".join(rng.choice("abcdefghijklmnoprstuvwyzABC '.,!<|>12éßñ\n\t") for _ in range(rng.randint(0, 60))) for _ in range(400)]
     texts = odd + [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     coder = bpe.Codec(path)
-    for x in texts:
+    for x, (n, ids, back) in zip(texts, [(n, bytes(a).decode(), bytes(b).decode()) for n, a, b in coder.encode(pa.array(texts))], strict=True):
         want = library.encode(x, add_special_tokens=False).ids
-        n, ids, back = coder.encode(x)
         assert (n, ids, back) == (len(want), " ".join(map(str, want)), library.decode(want, skip_special_tokens=False)), x
         assert coder.decode(want) == back
+    assert [n for n, _, _ in coder.encode(pa.array([None, ""], pa.string()))] == [0, 0]
     assert {r["n_tokens"] for r in bpe.bpe_tokens(edge, path).where("doc_id in (3, 4, 5)").collect()} == {0}
     assert bpe.bpe_tokens(edge, path).count() == edge.count() and bpe.bpe_digests(nothing, path).count() == 0
