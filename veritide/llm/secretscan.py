@@ -5,19 +5,21 @@ run of 20 or more characters of an encoded alphabet. "=" ends a piece of a run,
 padding are no part of the next piece. Where no alphabet holds a piece ("/" or "+" beside "-" or "_"), its
 longest sub-runs of each alphabet are looked at, and of those that overlap the one of the strongest evidence.
 For such a token it infers the encoding (the smallest of hex, base32, base36, base62, base64 that holds it),
-and asks two things:
-
-* is it compatible with uniform random characters? Chi-squared uniformity over the alphabet, a runs
-  test about the middle of the alphabet, and the lag-1 serial correlation must all not reject, at a
-  level shared among the three (Bonferroni);
-* could prose or a name of that length pass by luck? The chi-squared statistic under a text-like
-  letter distribution grows with length; its lower tail is the p-value of "no secret here". Short
-  tokens get weak p-values, long ones strong ones.
-
-The second p-values go through Benjamini-Hochberg over the whole corpus, separately in bands of
-length, since a batch of short identifiers must not lend its discoveries to, or take them from, long
-keys. P-values are rounded up to a grid of half powers of two, so what is gathered from the
-corpus for the thresholds is one count per band and grid step, whatever the corpus size.
+and weighs two things:
+
+* The battery: chi-squared uniformity over the alphabet (null tables simulated by alphabet size and
+  length, since expected counts can be below one), a runs test about the middle of the alphabet, and the lag-1 serial
+  correlation, combined by Fisher's method to one p-value f of "uniform random characters of this encoding".
+* The likelihood ratio of that random source to a text-like one, in which lower case, upper case, digits and signs
+  come in stretches and letters have the frequencies of prose. By Markov's inequality text reaches a
+  ratio of x with probability 1 / x at most, so text reaches ratio times f of x no more often.
+
+So 1 / (ratio * f) is a p-value of "no secret here" that all three tests enter; long tokens get small ones,
+short ones weak ones, and what is neither text nor random is held back by f. These p-values
+go through Benjamini-Hochberg over the whole corpus, separately in bands of length, since a batch of
+short identifiers must not lend its discoveries to, or take them from, long keys. They are
+rounded up to a grid of half powers of two, so what is gathered from the corpus for the thresholds is one count
+per band and grid step, whatever the corpus size.
 """
 
 from __future__ import annotations
@@ -25,7 +27,9 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +43,8 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 PIECE = re.compile(r"[A-Za-z0-9+/_-]+=*")
 KINDS = ("assign", "access", "hex", "random")
-MIN_TOKEN, ALPHA, BATTERY_ALPHA, STEPS = 20, 0.01, 0.03, 60
+MIN_TOKEN, ALPHA, STEPS = 20, 0.01, 60
+SIMULATED, LONG, STRETCH, EVEN = 2000, 256, 0.8, 0.15
 BANDS = (20, 24, 32, 48, 64)
 LAYOUT = "span_start int, span_end int, kind int, band int, step int"
 SCHEMA = f"doc_id bigint, spans array<struct<{LAYOUT.replace(' int', ':int')}>>"
@@ -81,8 +86,56 @@ def encoding_of(token: str) -> tuple[str, str] | None:
     return next(((n, a) for n, a in ENCODINGS if seen <= set(a)), None)
 
 
+#: Letters of English prose, in thousandths, from a to z.
+PROSE = (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)
+
+
+@lru_cache(4096)
+def simulated(k: int, n: int) -> np.ndarray:
+    """Sorted sums of squared counts of n uniform draws from k, the same in every process."""
+    counts = np.random.default_rng(k * 1000 + n).multinomial(n, np.full(k, 1 / k), SIMULATED)
+    return np.sort((counts * counts).sum(axis=1))
+
+
+def uniform_p(counts: list[int], n: int) -> float:
+    """Chi-squared test of uniformity; for long tokens the limit distribution."""
+    k, squares = len(counts), sum(c * c for c in counts)
+    if n > LONG:
+        return chi2_tail(squares * k / n - n, k - 1)
+    null = simulated(k, n)
+    return (SIMULATED - int(np.searchsorted(null, squares)) + 1) / (SIMULATED + 1)
+
+
+def kind_of(c: str) -> str:
+    return "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "+"
+
+
+def text_source() -> dict[str, float]:
+    """Probability of each character within its kind, in text: letters as in prose with a share EVEN spread evenly, others alike."""
+    out = {}
+    for kind in "aA0+":
+        own = [c for c in CHARACTERS if kind_of(c) == kind]
+        out |= {c: EVEN / len(own) + (1 - EVEN) * (PROSE[ord(c.lower()) - 97] / 1000 if kind in "aA" else 1 / len(own)) for c in own}
+    return out
+
+
+CHARACTERS = sorted({c for _, a in ENCODINGS for c in a})
+SOURCE = text_source()
+
+
+def log_ratio(body: str, alphabet: str) -> float:
+    """Log-likelihood of uniform characters of the alphabet less that of text with stretches of one kind, shared among the encodings that could have been inferred."""
+    out, before = -len(body) * math.log(len(alphabet)) - math.log(len(ENCODINGS)), ""
+    for c in body:
+        kind = kind_of(c)
+        step = 1 / 4 if not before else STRETCH if kind == before else (1 - STRETCH) / 3
+        out -= math.log(step * SOURCE[c])
+        before = kind
+    return out
+
+
 def battery(token: str) -> tuple[float, float, float, float] | None:
-    """P-values of uniformity, runs and serial correlation under randomness, and of "text" under a text-like source."""
+    """P-values of uniformity, runs and serial correlation under randomness, and of "no secret" (see above)."""
     found = encoding_of(token)
     if not found:
         return None
@@ -93,8 +146,7 @@ def battery(token: str) -> tuple[float, float, float, float] | None:
     counts = [0] * k
     for c in code:
         counts[c] += 1
-    stat = sum(c * c for c in counts) * k / n - n
-    uniform = chi2_tail(stat, k - 1)
+    uniform = uniform_p(counts, n)
     high = [c >= k / 2 for c in code]
     n1 = sum(high)
     n2 = n - n1
@@ -109,11 +161,10 @@ def battery(token: str) -> tuple[float, float, float, float] | None:
     spread = sum((c - mid) ** 2 for c in code)
     serial = sum((a - mid) * (b - mid) for a, b in zip(code, code[1:], strict=False)) / spread if spread else 1.0
     serial_p = 2 * normal_tail(abs(serial + 1 / n) * math.sqrt(n))
-    # Text repeats itself: the chance that two of its characters agree is about 1/15, however large the alphabet.
-    shift = n * (k / 15 - 1) if k > 16 else n * 0.6
-    mean, var = k - 1 + shift, 2 * (k - 1) + 4 * shift
-    text_p = normal_tail((mean - stat) / math.sqrt(var))
-    return uniform, runs_p, serial_p, text_p
+    half = -sum(math.log(max(p, 1e-300)) for p in (uniform, min(1, runs_p), min(1, serial_p)))
+    fisher = -half + math.log(1 + half + half * half / 2)  # log of the tail of chi-squared with 6 degrees of freedom at 2 * half
+    no_secret = math.exp(max(-700.0, min(0.0, -log_ratio(body, alphabet) - fisher)))
+    return uniform, runs_p, serial_p, no_secret
 
 
 def base_spans(text: str, raw: bytes) -> list[tuple[int, int, int]]:
@@ -133,27 +184,27 @@ def length_band(n: int) -> int:
     return sum(n >= b for b in BANDS) - 1
 
 
-def tested_tokens(piece: str) -> list[tuple[int, int, bool, float]]:
-    """(start, end, whether it passes as random, p-value of "text") of the tokens of a piece; none overlap."""
+def tested_tokens(piece: str) -> list[tuple[int, int, float]]:
+    """(start, end, p-value of "no secret") of the tokens of a piece; none overlap."""
 
-    def judged(start: int, end: int) -> tuple[int, int, bool, float] | None:
+    def judged(start: int, end: int) -> tuple[int, int, float] | None:
         tested = battery(piece[start:end])
-        return tested and (start, end, min(tested[:3]) >= BATTERY_ALPHA / 3, tested[3])
+        return tested and (start, end, tested[3])
 
     body = set(piece.rstrip("="))
     if any(body <= set(a) for _, a in ENCODINGS):
         found = judged(0, len(piece))
         return [found] if found else []
     spans = {m.span() for run in SUB_RUNS for m in run.finditer(piece)}
-    out: list[tuple[int, int, bool, float]] = []
-    for one in sorted((x for x in (judged(*s) for s in spans) if x), key=lambda x: (not x[2], x[3], x[0], x[1])):
-        if not any(s < one[1] and one[0] < e for s, e, *_ in out):
+    out: list[tuple[int, int, float]] = []
+    for one in sorted((x for x in (judged(*s) for s in spans) if x), key=lambda x: (x[2], x[0], x[1])):
+        if not any(s < one[1] and one[0] < e for s, e, _ in out):
             out.append(one)
     return sorted(out)
 
 
 def candidate_spans(text: str, raw: bytes, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
-    """(start, end, kind, band, grid step) of every tested token; step -1 where the battery rejects randomness."""
+    """(start, end, kind, band, grid step) of every tested token."""
     out = []
     if b"x" * MIN_TOKEN not in raw.translate(_marks):
         return out
@@ -161,11 +212,11 @@ def candidate_spans(text: str, raw: bytes, base: list[tuple[int, int, int]]) ->
         for piece in PIECE.finditer(m.group()):
             if len(piece.group()) < MIN_TOKEN:
                 continue
-            for a, b, passed, text_p in tested_tokens(piece.group()):
+            for a, b, p in tested_tokens(piece.group()):
                 start, end = m.start() + piece.start() + a, m.start() + piece.start() + b
                 if any(s < end and start < e for s, e, _ in base):
                     continue
-                step = min(STEPS, int(-2 * math.log2(max(text_p, 2.0**-100)))) if passed else -1
+                step = min(STEPS, int(-2 * math.log2(max(p, 2.0**-100))))
                 out.append((start, end, 3, length_band(end - start), step))
     return out
 
