@@ -382,3 +382,77 @@ def test_bpe_equals_the_library(spark, sf, edge, nothing):
     assert [n for n, _, _ in coder.encode(pa.array([None, ""], pa.string()))] == [0, 0]
     assert {r["n_tokens"] for r in bpe.bpe_tokens(edge, path).where("doc_id in (3, 4, 5)").collect()} == {0}
     assert bpe.bpe_tokens(edge, path).count() == edge.count() and bpe.bpe_digests(nothing, path).count() == 0
+
+
+def hosts_by_force(counts):
+    """Bad rules of each host: posterior mean less two standard deviations above both limits; counts: host to (rows, failures by rule)."""
+    out = {h: set() for h in counts}
+    for k, rule in enumerate(quality.SOFT):
+        rates = [x[1][k] / x[0] for x in counts.values()]
+        mean = sum(rates) / len(rates)
+        var = sum((r - mean) ** 2 for r in rates) / len(rates)
+        noise = mean * (1 - mean) * sum(1 / x[0] for x in counts.values()) / len(counts)
+        strength = min(max(mean * (1 - mean) / max(var - noise, 1e-9) - 1, 1.0), 1e6)
+        a, b = max(mean, 1e-6) * strength, max(1 - mean, 1e-6) * strength
+        for h, (n, failed) in counts.items():
+            post = (failed[k] + a) / (n + a + b)
+            if post - 2 * (post * (1 - post) / (n + a + b + 1)) ** 0.5 > max(quality.RATE, 2 * mean):
+                out[h].add(rule)
+    return out
+
+
+def test_host_verdicts_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(31)
+    good, marks = " ".join(f"word{i}" for i in range(60)), " #" * 30
+    long = " ".join("x" * 14 for _ in range(60))
+    rows = []
+    for h in range(30):
+        share, own = rng.choice([0.02, 0.02, 0.05, 0.05, 0.9]), rng.choice([good + marks, long, "\n".join([good] * 2 + ["a b"])])
+        for _ in range(rng.choice([1, 3, 30, 200])):
+            rows.append((len(rows), (own if rng.random() < share else good), None if h == 0 else f"h{h}"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(5)
+    fails = {r["doc_id"]: [r[x] for x in quality.SOFT] + [r["base_failed"]] for r in quality.document_measures(docs).collect()}
+    counts = {}
+    for i, _, h in rows:
+        n, failed = counts.get(h or "", (0, [0, 0, 0]))
+        counts[h or ""] = (n + 1, [a + b for a, b in zip(failed, fails[i], strict=False)])
+    bad = hosts_by_force(counts)
+    assert any(bad.values())
+    want = {i: not fails[i][3] and not any(fails[i][k] for k, r in enumerate(quality.SOFT) if r in bad[h or ""]) for i, _, h in rows}
+    assert {r["doc_id"]: r["kept"] for r in quality.quality_verdicts(docs).collect()} == want
+    monkeypatch.setattr(quality, "BROADCAST_HOSTS", 0)
+    assert {r["doc_id"]: r["kept"] for r in quality.quality_verdicts(docs).collect()} == want
+    assert {r["doc_id"] for r in quality.quality_filter(docs).collect()} == {i for i, k in want.items() if k}
+
+
+def test_tiles_leave_no_common_passage():
+    rng = random.Random(32)
+    for _ in range(20_000):
+        text, item = ([rng.randrange(3) for _ in range(rng.randint(0, 40))] for _ in range(2))
+        free_text, free_item = [True] * len(text), [True] * len(item)
+        for i, j, k in decontam.tile(text, item):
+            assert text[i : i + k] == item[j : j + k] and all(free_text[i : i + k]) and all(free_item[j : j + k]) and k >= decontam.LEAST
+            free_text[i : i + k] = free_item[j : j + k] = [False] * k
+        runs = lambda x, free: {tuple(x[i : i + decontam.LEAST]) for i in range(len(x) - decontam.LEAST + 1) if all(free[i : i + decontam.LEAST])}
+        assert not runs(text, free_text) & runs(item, free_item)
+
+
+def test_regions_on_several_levels(spark):
+    """Hot groups: one of near copies chained far apart, one of far texts over a common passage; cap small, so that levels are distributed."""
+    rng = random.Random(33)
+    texts = family(rng, 150, 60, 3) + family(rng, 120, 40, 6)
+    common = [f"c{i}" for i in range(30)]
+    pool = [[f"p{k}_{i}" for i in range(10)] for k in range(12)]
+    texts += [" ".join(common + [w for k in rng.sample(range(12), 3) for w in pool[k]]) for _ in range(150)]
+    rng.shuffle(texts)
+    sets = {i: shingles(t) for i, t in enumerate(texts)}
+    want = by_links(sets, jaccard_at(75))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(6)
+    for cap, log2 in ((12, 28), (40, 18)):
+        trace = []
+        got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(frame, cap=cap, most_log2=log2, trace=trace).collect()}
+        assert got == want
+        assert len(trace) >= 2 and trace[0][1] > 0
+    plain = regions.Group([np.array(sorted(hash(x) & (1 << 62) - 1 for x in s), dtype=np.uint64) for s in [shingles(t) for t in family(rng, 60, 60, 2) + family(rng, 60, 60, 2)]], 75)
+    plain.join(np.arange(120))
+    assert sum(plain.cells.values()) >= 2

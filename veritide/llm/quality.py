@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritide.llm.cluster import cut
+from veritide.llm.cluster import cut, fresh_path, spread_join
 
 MIN_WORDS, REPEAT_PERCENT, RATE = 50, 50, 0.2
 SOFT = ("symbols", "word_length", "dup_lines")
@@ -55,18 +55,25 @@ def measures(text: Column) -> Column:
     return F.struct(by_words.alias("w"), by_lines.alias("x"), long(F.regexp_count(text, F.lit("[#*$%&|<>]")), "n_symbols"))
 
 
+def flags(m: str) -> dict[str, Column]:
+    """Rule failures of a measures() column."""
+    w, x = F.col(f"{m}.w"), F.col(f"{m}.x")
+    return {
+        "base_failed": (w["n_words"] < MIN_WORDS) | (100 * w["n_repeat_words"] > REPEAT_PERCENT * w["n_words"]),
+        "symbols": 10 * F.col(f"{m}.n_symbols") > w["n_words"],
+        "word_length": (w["word_chars"] < 3 * w["n_words"]) | (w["word_chars"] > 10 * w["n_words"]),
+        "dup_lines": 10 * x["n_dup_lines"] > 3 * x["n_lines"],
+    }
+
+
+def host_of(host_col: str) -> Column:
+    return F.coalesce(F.col(host_col).cast("string"), F.lit(""))
+
+
 def document_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """doc_id, host (null: empty) and the measures and rule failures of every row."""
-    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), measures(F.col(text_col)).alias("m"))
-    flat = base.select("doc_id", "host", "m.w.n_words", "m.w.word_chars", "m.n_symbols", "m.x.n_dup_lines", "m.w.n_repeat_words", "m.x.n_lines")
-    return flat.withColumns(
-        {
-            "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")),
-            "symbols": 10 * F.col("n_symbols") > F.col("n_words"),
-            "word_length": (F.col("word_chars") < 3 * F.col("n_words")) | (F.col("word_chars") > 10 * F.col("n_words")),
-            "dup_lines": 10 * F.col("n_dup_lines") > 3 * F.col("n_lines"),
-        }
-    )
+    base = docs.select(F.col(id_col).alias("doc_id"), host_of(host_col).alias("host"), measures(F.col(text_col)).alias("m"))
+    return base.select("doc_id", "host", "m.w.n_words", "m.w.word_chars", "m.n_symbols", "m.x.n_dup_lines", "m.w.n_repeat_words", "m.x.n_lines", *[c.alias(n) for n, c in flags("m").items()])
 
 
 def host_verdicts(measured: DataFrame) -> DataFrame:
@@ -75,7 +82,7 @@ def host_verdicts(measured: DataFrame) -> DataFrame:
     hosts = cut(hosts)
     rate = lambda r: F.col(r) / F.col("n")
     moments = hosts.agg(F.avg(1 / F.col("n")).alias("inv"), *[f(rate(r)).alias(f"{k}_{r}") for r in SOFT for k, f in (("mean", F.avg), ("var", F.var_pop))]).first()
-    flags = {}
+    bad = {}
     for r in SOFT:
         mean, var = moments[f"mean_{r}"] or 0.0, moments[f"var_{r}"] or 0.0
         noise = mean * (1 - mean) * (moments["inv"] or 0.0)
@@ -83,50 +90,45 @@ def host_verdicts(measured: DataFrame) -> DataFrame:
         a, b = max(mean, 1e-6) * strength, max(1 - mean, 1e-6) * strength
         post = (F.col(r) + a) / (F.col("n") + a + b)
         low = post - 2 * F.sqrt(post * (1 - post) / (F.col("n") + a + b + 1))
-        flags[f"bad_{r}"] = low > max(RATE, 2 * mean)
-    bad = hosts.withColumns(flags).select("host", *flags)
-    return bad.where(" or ".join(flags))
+        bad[f"bad_{r}"] = low > max(RATE, 2 * mean)
+    return hosts.withColumns(bad).select("host", *bad).where(" or ".join(bad))
 
 
-def _with_hosts(rows: DataFrame, bad: DataFrame) -> DataFrame:
-    """Host flags joined to rows by host; broadcast only when there are few flagged hosts."""
-    few = len(bad.limit(BROADCAST_HOSTS + 1).collect()) <= BROADCAST_HOSTS
-    return rows.join(F.broadcast(bad) if few else bad, "host", "left")
+def _rejected(rows: DataFrame, bad: DataFrame) -> DataFrame:
+    """rows (host, rule failures, ..., as a checkpoint or a scan) with host_rejected. Host flags are broadcast while few, else joined with hot hosts split off."""
+    bad = cut(bad)
+    joined = rows.join(F.broadcast(bad), "host", "left") if bad.count() <= BROADCAST_HOSTS else spread_join(rows, bad, ["host"], "left")
+    fails = F.lit(False)
+    for r in SOFT:
+        fails = fails | (F.coalesce(F.col(f"bad_{r}"), F.lit(False)) & F.coalesce(F.col(r), F.lit(False)))
+    return joined.withColumn("host_rejected", fails)
 
 
 def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """One row per input row: its measures, base_failed and kept. Null text has no words; repeated rows are judged alike."""
+    """One row per input row: its measures, base_failed, kept and host_rejected.
+
+    Null and empty texts have no words and fail; a null host is the empty one; repeated rows count and are judged
+    each for itself; rows with a null id are judged like others; an empty table gives none.
+    """
     measured = cut(document_measures(docs, id_col, text_col, host_col))
-    joined = _with_hosts(measured, host_verdicts(measured))
-    rejected = F.lit(False)
-    for r in SOFT:
-        rejected = rejected | (F.coalesce(F.col(f"bad_{r}"), F.lit(False)) & F.col(r))
-    return joined.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & ~rejected).alias("kept"), F.coalesce(rejected, F.lit(False)).alias("host_rejected"),
-    )
+    kept = (~F.col("base_failed") & ~F.col("host_rejected")).alias("kept")
+    return _rejected(measured, host_verdicts(measured)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept, "host_rejected")
 
 
 def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The rows that quality_verdicts() keeps, with all their columns. Texts are measured again rather than shuffled."""
-    measured = document_measures(docs, id_col, text_col, host_col)
-    bad = host_verdicts(measured)
-    mark = "__veritide_quality"
-    w = F.col(f"{mark}.w")
-    rows = docs.withColumn(mark, measures(F.col(text_col)))
-    rows = rows.where(~((w["n_words"] < MIN_WORDS) | (100 * w["n_repeat_words"] > REPEAT_PERCENT * w["n_words"])))
-    if not bad.isEmpty():
-        m = F.col(mark)
-        fails = {
-            "symbols": 10 * m["n_symbols"] > w["n_words"],
-            "word_length": (w["word_chars"] < 3 * w["n_words"]) | (w["word_chars"] > 10 * w["n_words"]),
-            "dup_lines": 10 * m["x"]["n_dup_lines"] > 3 * m["x"]["n_lines"],
-        }
-        few = len(bad.limit(BROADCAST_HOSTS + 1).collect()) <= BROADCAST_HOSTS
-        names = {c: f"__veritide_{c}" for c in bad.columns}
-        bad = bad.select(*[F.col(c).alias(n) for c, n in names.items()])
-        rejected = F.lit(False)
-        for r in SOFT:
-            rejected = rejected | (F.coalesce(F.col(names[f"bad_{r}"]), F.lit(False)) & fails[r])
-        rows = rows.join(F.broadcast(bad) if few else bad, F.coalesce(F.col(host_col).cast("string"), F.lit("")) == F.col(names["host"]), "left").where(~rejected)
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows that quality_verdicts() keeps, with all their columns.
+
+    Texts are measured once: rows that pass the base rules are written with their failures to the shared folder,
+    and those that don't with their failures only. Nulls, repeats and empty tables as in quality_verdicts().
+    """
+    mark, path = "__veritide_quality", fresh_path(docs.sparkSession, "quality")
+    measured = docs.withColumn(f"{mark}_m", measures(F.col(text_col)))
+    own = F.struct(host_of(host_col).alias("host"), *[c.alias(n) for n, c in flags(f"{mark}_m").items()])
+    marked = measured.withColumn(mark, own).drop(f"{mark}_m")
+    text = F.when(~F.col(f"{mark}.base_failed"), F.col(f"`{text_col}`")).alias(text_col)
+    marked.select(*[text if c == text_col else F.col(f"`{c}`") for c in docs.columns], mark).write.parquet(path)
+    rows = docs.sparkSession.read.parquet(path)
+    bad = host_verdicts(rows.select(f"{mark}.*"))
+    rows = rows.where(~F.col(f"{mark}.base_failed"))
+    inner = _rejected(rows.select(f"{mark}.*", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(mark)), bad)
+    return inner.where("not host_rejected").select(f"{mark}.*")
