@@ -1,11 +1,14 @@
 """Fuzzy line deduplication: MinHash bands, exact Jaccard verification, distributed union-find.
 
-A line's set is its SHINGLE-character shingles; a shorter line is one shingle, so only copies match it. BINS / BANDS one-permutation MinHashes of BANDS cells
-each, with rotation for empty cells, give the minima; a band takes one cell of each, so its minima are
-of different shingles on short lines too, and BANDS bands are a line's keys. At the threshold of
-PERCENT / 100 two lines share a key with probability over 0.998, above it more. Keys that a count-min sketch
-certifies to be single are dropped, and lines without any other key go no further. Lines that share keys meet in groups; exact
-Jaccard tests within a group (the same metric search as the n-gram join) give components, and of
+A line's set is its SHINGLE-character shingles; a shorter line is one shingle, so only copies match it. Rows
+of one-permutation MinHashes, with rotation for empty cells, give the minima; a band takes one
+cell of each row, so its minima are of different shingles on short lines too, and the bands are a line's keys.
+Lines of up to 30 shingles have 12 bands of 4 minima, those of 24 or more have 16 of 5 (fewer chance matches), those
+between have both: two lines at the threshold of PERCENT / 100 differ in size by a fifth at most, so they always have a
+kind of bands in common. At the threshold two lines share a key with probability over 0.998 (0.993 measured
+on lines of 13 characters), above it more. Keys that a count-min sketch certifies to be single are dropped, and
+lines without any other key go no further. Lines that share keys meet in the regions of pivots, where exact
+Jaccard tests (space.py, as for the n-gram join) give links; union-find makes components of them, and of
 each component the line of the smallest (document, place) stays.
 """
 
@@ -26,8 +29,10 @@ from veritide.llm.quality import let
 from veritide.llm.space import class_of_points
 from veritide.llm.words import mix, slices, trim
 
-SHINGLE, PERCENT, BINS, BANDS, MIN_CHARS = 5, 80, 48, 12, 1
-DEPTH, LEVELS = 2, (2,)
+SHINGLE, PERCENT, MIN_CHARS = 5, 80, 1
+#: least and most shingles of a line, minima a band, bands; neighbours overlap by the threshold
+KINDS = ((1, 30, 4, 12), (24, 1 << 40, 5, 16))
+DEPTH, LEVELS, PER_LINE, PER_KEY, SLICE = 2, (2,), 16, 8, 120_000
 EMPTY = np.uint32(0xFFFFFFFF)
 SCHEMA = "id bigint, n bigint, f1 bigint, f2 bigint, keys array<bigint>, payload binary, doc_id bigint, line int"
 
@@ -91,33 +96,44 @@ class Lines:
         judged = (end - start >= MIN_CHARS) & (blank[end] - blank[start] < end - start)
         self.start, self.end, self.doc, self.place = start[judged], end[judged], doc[judged], place[judged]
 
-    def keys(self) -> np.ndarray:
-        """Band keys, one row a line."""
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """(line, band key) of all lines, a line's keys side by side."""
         count = np.maximum(self.end - self.start - SHINGLE + 1, 1)
-        if not len(count):
-            return np.zeros((0, BANDS), dtype=np.uint64)
-        at = np.arange(count.sum()) + np.repeat(self.start - (np.cumsum(count) - count), count)
-        h = shingles(self.codes)[at]
-        short = np.flatnonzero(self.end - self.start < SHINGLE)
-        own_place = (np.cumsum(count) - count)[short]
-        h[own_place] = short_hashes(self.codes, self.start[short], self.end[short])
-        first = np.repeat(np.arange(len(count), dtype=np.int64) * BANDS, count)
-        column = np.arange(BANDS)
-        out = np.zeros((len(count), BANDS), dtype=np.uint64)
-        for r in range(BINS // BANDS):
-            own = (h ^ np.uint32(0x9E3779B9 * (r + 1) & 0xFFFFFFFF)) * np.uint32(0x2C1B3C6D)
-            own ^= own >> np.uint32(15)
-            own *= np.uint32(0x297A2D39)
-            own ^= own >> np.uint32(15)
-            sig = np.full(len(count) * BANDS, EMPTY, dtype=np.uint32)
-            np.minimum.at(sig, first + ((own >> np.uint32(16)) * np.uint32(BANDS) >> np.uint32(16)), own)
-            sig = sig.reshape(-1, BANDS)
-            near = np.where(sig == EMPTY, 4 * BANDS, column)
-            turn = np.concatenate([near, near + BANDS], axis=1)[:, ::-1]
-            source = np.minimum.accumulate(turn, axis=1)[:, ::-1][:, :BANDS]  # the first cell from here on, around the end, that is not empty
-            filled = np.take_along_axis(sig, source % BANDS, axis=1) + (source - column).astype(np.uint32)
+        h = shingles(self.codes) if len(count) else np.zeros(0, np.uint32)
+        owner, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for number, (least, most, rows, bands) in enumerate(KINDS):
+            own = np.flatnonzero((count >= least) & (count <= most))
+            if len(own):
+                found = self._bands(h, own, count[own], rows, bands) ^ np.uint64(0x5851F42D4C957F2D * number & (1 << 64) - 1)
+                owner.append(np.repeat(own, bands))
+                keys.append(found.ravel())
+        line, key = np.concatenate(owner), np.concatenate(keys)
+        by = np.argsort(line, kind="stable")
+        return line[by], key[by]
+
+    def _bands(self, shingle: np.ndarray, own: np.ndarray, count: np.ndarray, rows: int, bands: int) -> np.ndarray:
+        """Band keys, one row a line of own."""
+        at = np.arange(count.sum()) + np.repeat(self.start[own] - (np.cumsum(count) - count), count)
+        h = shingle[at]
+        short = np.flatnonzero(self.end[own] - self.start[own] < SHINGLE)
+        h[(np.cumsum(count) - count)[short]] = short_hashes(self.codes, self.start[own[short]], self.end[own[short]])
+        first = np.repeat(np.arange(len(count), dtype=np.int64) * bands, count)
+        column = np.arange(bands)
+        out = np.zeros((len(count), bands), dtype=np.uint64)
+        for r in range(rows):
+            mine = (h ^ np.uint32(0x9E3779B9 * (r + 1) & 0xFFFFFFFF)) * np.uint32(0x2C1B3C6D)
+            mine ^= mine >> np.uint32(15)
+            mine *= np.uint32(0x297A2D39)
+            mine ^= mine >> np.uint32(15)
+            sig = np.full(len(count) * bands, EMPTY, dtype=np.uint32)
+            np.minimum.at(sig, first + ((mine >> np.uint32(16)) * np.uint32(bands) >> np.uint32(16)), mine)
+            sig = sig.reshape(-1, bands)
+            near = np.where(sig == EMPTY, 4 * bands, column)
+            turn = np.concatenate([near, near + bands], axis=1)[:, ::-1]
+            source = np.minimum.accumulate(turn, axis=1)[:, ::-1][:, :bands]  # the first cell from here on, around the end, that is not empty
+            filled = np.take_along_axis(sig, source % bands, axis=1) + (source - column).astype(np.uint32)
             out = mix(out * np.uint64(0x9E3779B97F4A7C15) + filled.astype(np.uint64))
-        return mix(out + np.arange(BANDS, dtype=np.uint64))
+        return mix(out + np.arange(bands, dtype=np.uint64))
 
     def text(self, i: int) -> bytes:
         return self.codes[self.start[i] : self.end[i]].tobytes().decode("utf-32-le").encode()
@@ -129,29 +145,30 @@ def fingerprint(payload: bytes) -> tuple[int, int]:
 
 
 def _hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    for part in slices(batch, "text"):
-        yield Lines(part.column(1)).keys().ravel()
+    for part in slices(batch, "text", SLICE):
+        yield Lines(part.column(1)).keys()[1]
 
 
 def repeated_lines(rows: DataFrame) -> DataFrame:
     """(doc_id, line): places, from 0, of the lines that go. rows: doc_id bigint, text."""
-    log2 = sketch.log2_cells(sketch.text_size(rows) // 100 * BANDS, 4, 28)
+    log2 = sketch.log2_cells(sketch.text_size(rows) // 100 * PER_LINE, PER_KEY)
     shared = rows.sparkSession.sparkContext.broadcast(sketch.build(rows, _hashes, log2, DEPTH, LEVELS))
 
     def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = sketch.Planes(shared.value, log2, DEPTH)
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 lines = Lines(part.column(1))
-                keys = lines.keys()
-                level = planes.level(keys.ravel()).reshape(keys.shape) > 0
-                able = np.flatnonzero(level.any(axis=1))
+                line, keys = lines.keys()
+                hit = planes.level(keys) > 0
+                line, keys = line[hit], keys[hit].view(np.int64)
+                able, begin, n_keys = np.unique(line, return_index=True, return_counts=True)
                 if not len(able):
                     continue
                 ids = part.column(0).to_numpy(zero_copy_only=False)
                 prints, key_lists, payload = [], [], []
-                for i in able.tolist():
+                for i, a, n in zip(able.tolist(), begin.tolist(), n_keys.tolist(), strict=True):
                     text = lines.text(i)
                     both = fingerprint(text)
                     prints.append(both)
@@ -162,7 +179,7 @@ def repeated_lines(rows: DataFrame) -> DataFrame:
                     if len(seen) >= 1_000_000:
                         seen.clear()
                     seen.add(both)
-                    key_lists.append(keys[i][level[i]].view(np.int64))
+                    key_lists.append(keys[a : a + n])
                     payload.append(text)
                 f1, f2 = zip(*prints, strict=True)
                 yield pa.RecordBatch.from_arrays(

@@ -90,8 +90,8 @@ class Group:
             picks.append(self.measure(int(ids[p]), ids))
             far = np.minimum(far, picks[-1])
             p = int(np.argmax(far))
-            if far[p] <= 0:
-                break
+            if far[p] <= self.r:
+                break  # every member is linked to a pivot
         if not self.open(ids):
             return
         dist = np.array(picks)

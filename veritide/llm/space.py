@@ -78,20 +78,21 @@ def class_of_points(points: DataFrame, decode: Decode, percent: int, cap: int =
 
     points (id, f1, f2, keys, payload) has one row per copy; keys are null where no partner is possible. A row
     without payload is a copy of one with it. Points are known by (f1, f2) throughout: the copy that has the
-    payload need not have the least id, and rows of several points may have one id. Sets have distinct
-    128-bit fingerprints, but for a chance of one in 2**128 a pair. trace, if given, gets a tuple of each level:
+    payload need not have the least id, and rows of several points may have one id. Fingerprints of different sets
+    differ, but for a chance of one in 2**128 a pair; of two that share a key, their f1, but for one in 2**64. trace, if given, gets a tuple of each level:
     regions, those above cap, members.
     """
     spark = points.sparkSession
     able = points.where("payload is not null")
-    by_key = cut(able.select("f1", "f2", F.explode("keys").alias("key")))
-    led = by_key.groupBy("key").agg(F.min("f1").alias("rid"), F.max("f1").alias("x"), F.min("f2").alias("y"), F.max("f2").alias("z"), F.count("*").alias("__n"))
-    led = cut(led.where("rid <> x or y <> z"))
-    member = spread_join(by_key.select("f1", "f2", "key"), led.select("key", "rid"), ["key"], counts=led.select("key", "__n"))
-    homes = cut(member.groupBy("f1", "f2").agg(F.collect_set("rid").alias("rids")))
+    by_key = able.select("f1", F.explode("keys").alias("key"))
+    led = by_key.groupBy("key").agg(F.min("f1").alias("rid"), F.max("f1").alias("last"), F.count("*").alias("__n"))
+    led = cut(led.where("rid <> last").drop("last"))
+    member = spread_join(by_key, led.select("key", "rid"), ["key"], counts=led.select("key", "__n"))
+    homes = cut(member.groupBy("f1").agg(F.collect_set("rid").alias("rids")))
+    release(spark)
     met = sketch.Membership(homes.select("f1"))
     payloads = able.where(met("f1")).groupBy("f1", "f2").agg(F.first("payload").alias("payload"))
-    base = cut(payloads.join(homes, ["f1", "f2"]).withColumn("pid", F.monotonically_increasing_id()))
+    base = cut(payloads.join(homes, "f1").withColumn("pid", F.monotonically_increasing_id()))
     release(spark)
     members = base.select(F.explode("rids").alias("rid"), "pid", "f1", F.lit(None).cast("bigint").alias("hint"), F.lit(False).alias("keyed"), "payload")
     near = components(join_regions(members, decode, percent, cap, trace))
