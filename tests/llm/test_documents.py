@@ -453,6 +453,7 @@ def test_regions_on_several_levels(spark):
         got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(frame, cap=cap, most_log2=log2, trace=trace).collect()}
         assert got == want
         assert len(trace) >= 2 and trace[0][1] > 0
-    plain = regions.Group([np.array(sorted(hash(x) & (1 << 62) - 1 for x in s), dtype=np.uint64) for s in [shingles(t) for t in family(rng, 60, 60, 2) + family(rng, 60, 60, 2)]], 75)
-    plain.join(np.arange(120))
-    assert sum(plain.cells.values()) >= 2
+    tight = [set(rng.sample(range(k * 100, k * 100 + 100), 95)) for k in range(3) for _ in range(60)]
+    plain = regions.Group([np.array(sorted(x), dtype=np.uint64) for x in tight], 85)
+    plain.join(np.arange(180))
+    assert sum(plain.cells.values()) >= 2 and len(set(plain.roots(np.arange(180)).tolist())) == len(set(by_links(dict(enumerate(tight)), jaccard_at(85)).values()))

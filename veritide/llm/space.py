@@ -87,7 +87,9 @@ def class_of_points(points: DataFrame, decode: Decode, percent: int, cap: int =
     by_key = able.select("f1", F.explode("keys").alias("key"))
     led = by_key.groupBy("key").agg(F.min("f1").alias("rid"), F.max("f1").alias("last"), F.count("*").alias("__n"))
     led = cut(led.where("rid <> last").drop("last"))
-    member = spread_join(by_key, led.select("key", "rid"), ["key"], counts=led.select("key", "__n"))
+    release(spark)
+    shared = sketch.Membership(led.select("key"))  # most keys belong to copies of one point, and go no further
+    member = spread_join(by_key.where(shared("key")), led.select("key", "rid"), ["key"], counts=led.select("key", "__n"))
     homes = cut(member.groupBy("f1").agg(F.collect_set("rid").alias("rids")))
     release(spark)
     met = sketch.Membership(homes.select("f1"))
