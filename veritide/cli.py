@@ -1,4 +1,4 @@
-"""Command line over a Store: ingest, prune, search, reference, list, verify, revise, citations, evaluate, health, tools."""
+"""Command line over a Store: a table of commands, each a handler that turns options into lines and an exit code."""
 
 from __future__ import annotations
 
@@ -6,8 +6,11 @@ import argparse
 import importlib
 import json
 import sys
+from collections.abc import Callable
+from dataclasses import dataclass, field
 from pathlib import Path
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +21,7 @@ from veritide.operators import store as ops
 from veritide.plans.ingest import ingest, prune
 from veritide.plans.search import search_chunks
 from veritide.plans.verify import cited_works, verify
+from veritide.mcp import serve
 from veritide.shipping import ship
 from veritide.sources.files import check_path, drafts, pdf_listing, revision_markdown, write_atomically, write_json
 from veritide.sources.tables import Store
@@ -83,125 +87,181 @@ class Application:
             "list_documents": lambda: [r.asDict() for r in self.documents_list().collect()],
         }
 
+    def models(self) -> dict[str, str]:
+        """Loads each model by one call: what came of it, by name."""
+        calls = {
+            "embedder": lambda: f"{self.embedder.embed(['warm up']).shape[1]} dimensions",
+            "reranker": lambda: f"{len(self.reranker.score([('warm', 'up')]))} score",
+            "entailment": lambda: f"{len(self.entailment.score([('warm', 'up')])[0])} classes",
+        }
+        out = {}
+        for name, call in calls.items():
+            try:
+                out[name] = call()
+            except Exception as e:  # one model that cannot load must not hide the others
+                out[name] = f"failed: {e}"
+        return out
+
+
+@dataclass
+class Outcome:
+    """What a command says on both channels, and its exit code."""
+
+    lines: list[str] = field(default_factory=list)
+    code: int = 0
+    warnings: list[str] = field(default_factory=list)
+
+
+def _count(text: str) -> int:
+    n = int(text)
+    if n < 1:
+        raise argparse.ArgumentTypeError("must be 1 or more")
+    return n
+
+
+def _issues(rows: list[dict]) -> list[str]:
+    return [f"{issue['failure']}: {issue['message']}" for row in rows for issue in row["issues"]]
+
+
+def _rows(frame: DataFrame) -> list[dict]:
+    return [r.asDict(recursive=True) for r in frame.collect()]
+
+
+def _ingest(app: Application, o: argparse.Namespace) -> Outcome:
+    rows = _rows(app.ingest(o.path).orderBy("source_path"))
+    lines = [f"{r['source_path']}\t{r['status']}\t{r['error'] or r['chunk_count']}" for r in rows]
+    by_status = {s: sum(r["status"] == s for r in rows) for s in ("new", "changed", "unchanged", "failed")}
+    return Outcome([*lines, ", ".join(f"{n} {s}" for s, n in by_status.items())], int(by_status["failed"] > 0))
+
+
+def _prune(app: Application, o: argparse.Namespace) -> Outcome:
+    rows = _rows(app.prune(o.path, o.dry_run))
+    lines = [f"{r['reason']}\t{r['source_path']}\t{r['chunk_count']}" for r in rows]
+    return Outcome([*lines, f"{len(rows)} stale entries{' (dry run: kept)' if o.dry_run else ''}"])
+
+
+def _search(app: Application, o: argparse.Namespace) -> Outcome:
+    return Outcome([r[0] + "\n" for r in app.search(o.query, o.top_k, o.document_filter).select(retrieval.result_line(F.col("relevance_score"))).collect()] or ["no match"])
+
+
+def _reference(app: Application, o: argparse.Namespace) -> Outcome:
+    found = app.reference(o.citation_id)
+    return Outcome([json.dumps(found, ensure_ascii=False, indent=2, default=str)]) if found else Outcome(code=1, warnings=[f"no chunk is cited as {o.citation_id}"])
+
+
+def _verify(app: Application, o: argparse.Namespace) -> Outcome:
+    report = app.verify(o.document, o.strict)
+    claims, structural = _rows(report.claims.orderBy("draft_id", "claim_pos")), _rows(report.structural)
+    failed = any(r["failed"] for r in report.drafts.collect())
+    path = write_json(_beside(app, o.document, "report.json"), {"strict": o.strict, "failed": failed, "structural": structural, "claims": claims})
+    open_claims = [f"{c['verdict']}\t{c['text']}\t{'; '.join(c['reasons'])}" for c in claims if c["claim_type"] == "LITERATURE_CLAIM" and c["verdict"] != "SUPPORTED"]
+    counts = [f"{r['n']} {r['verdict']}" for r in verdicts.histogram(report.claims).collect()]
+    return Outcome([*_issues(structural), *open_claims, ", ".join(counts) or "no claims", str(path)], int(failed))
+
+
+def _revise(app: Application, o: argparse.Namespace) -> Outcome:
+    items = _rows(app.verify(o.document).plan().orderBy("draft_id", "claim_pos"))
+    paths = [
+        write_json(_beside(app, o.document, "revision.json"), {"note": NOTE, "items": items}),
+        write_atomically(_beside(app, o.document, "revision.md"), revision_markdown(items, NOTE)),
+    ]
+    return Outcome([f"{len(items)} suggestions", *map(str, paths)])
+
+
+def _citations(app: Application, o: argparse.Namespace) -> Outcome:
+    entries, results = app.citations(o.document)
+    bad = _issues(_rows(results.where("not valid")))
+    return Outcome([r["entry"] for r in entries.collect()], int(bool(bad)), bad)
+
+
+def _evaluate(app: Application, o: argparse.Namespace) -> Outcome:
+    _, scores = verdicts.evaluation(app.spark.read.json(o.records))
+    return Outcome([f"{r['label']}\t" + "\t".join(f"{r[c]:.3f}" for c in ("precision", "recall", "f1")) for r in scores.collect()])
+
+
+def _list(app: Application, o: argparse.Namespace) -> Outcome:
+    return Outcome([f"{r['source_path']}\t{r['chunk_count']}\t{r['indexed_at']}" for r in app.documents_list().collect()])
+
+
+def _health(app: Application, o: argparse.Namespace) -> Outcome:
+    models = app.models()
+    state = app.health() | {"models": models}
+    return Outcome([json.dumps(state, indent=2)], int(state["status"] != "ok" or any(m.startswith("failed") for m in models.values())))
+
+
+def _models(app: Application, o: argparse.Namespace) -> Outcome:
+    found = app.models()
+    return Outcome([f"{k}\t{v}" for k, v in found.items()], int(any(v.startswith("failed") for v in found.values())))
+
+
+def _mcp(app: Application, o: argparse.Namespace) -> Outcome:
+    serve(app.tools(), sys.stdin, sys.stdout)
+    return Outcome()
+
+
+def _beside(app: Application, document: str, kind: str) -> str:
+    return f"{app.data}/verification/{Path(document).name}.{kind}"
+
+
+PATH, DOCUMENT = ("path", {}), ("document", {})
+#: name: handler and arguments
+COMMANDS: dict[str, tuple[Callable[[Application, argparse.Namespace], Outcome], tuple]] = {
+    "ingest": (_ingest, (PATH,)),
+    "prune": (_prune, (("path", {"nargs": "?"}), ("--dry-run", {"action": "store_true"}))),
+    "search": (_search, (("query", {}), ("--top-k", {"type": _count}), ("--document-filter", {}))),
+    "reference": (_reference, (("citation_id", {}),)),
+    "list": (_list, ()),
+    "verify": (_verify, (DOCUMENT, ("--strict", {"action": "store_true"}))),
+    "revise": (_revise, (DOCUMENT,)),
+    "citations": (_citations, (DOCUMENT,)),
+    "evaluate": (_evaluate, (("records", {"help": "JSON lines with expected and predicted"}),)),
+    "health": (_health, ()),
+    "models": (_models, (("action", {"choices": ["download"], "nargs": "?"}),)),
+    "mcp": (_mcp, ()),
+}
+
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="veritide", description="Evidence retrieval and citation checking on Spark")
-    p.add_argument("--data", default="data")
-    p.add_argument("--documents", default="documents")
+    p.add_argument("-v", "--verbose", action="store_true", help="let Spark log too")
+    for name, default in (("--data", "data"), ("--documents", "documents")):
+        p.add_argument(name, default=default)
     p.add_argument("--extractor", help="module:function that turns a file name and bytes into pages")
     commands = p.add_subparsers(dest="command", required=True)
-    commands.add_parser("ingest").add_argument("path")
-    c = commands.add_parser("prune")
-    c.add_argument("path", nargs="?")
-    c.add_argument("--dry-run", action="store_true")
-    c = commands.add_parser("search")
-    c.add_argument("query")
-    c.add_argument("--top-k", type=int)
-    c.add_argument("--document-filter")
-    commands.add_parser("reference").add_argument("citation_id")
-    c = commands.add_parser("verify")
-    c.add_argument("document")
-    c.add_argument("--strict", action="store_true")
-    for name in ("revise", "citations"):
-        commands.add_parser(name).add_argument("document")
-    c = commands.add_parser("evaluate")
-    c.add_argument("records", help="JSON lines with expected and predicted")
-    for name in ("list", "health", "tools"):
-        commands.add_parser(name)
+    for name, (_, arguments) in COMMANDS.items():
+        own = commands.add_parser(name)
+        for argument, options in arguments:
+            own.add_argument(argument, **options)
     return p
 
 
 def run(app: Application, args: argparse.Namespace) -> int:
-    """One command; the exit code."""
-    if args.command == "ingest":
-        rows = app.ingest(args.path).orderBy("source_path").collect()
-        for r in rows:
-            print(f"{r['status']}: {r['source_path']}" + (f": {r['error']}" if r["error"] else f" ({r['chunk_count']} chunks)" if r["chunk_count"] else ""))
-        print(f"found {len(rows)}; updated {sum(r['chunk_count'] for r in rows if r['status'] in ('new', 'changed'))} chunks")
-        return int(any(r["status"] == "failed" for r in rows))
-    if args.command == "prune":
-        rows = app.prune(args.path, args.dry_run).collect()
-        said = "would remove" if args.dry_run else "removed"
-        for r in rows:
-            print(f"{said} {r['reason']}: {r['source_path']} ({r['chunk_count']} chunks)")
-        print(f"{said} {sum(r['chunk_count'] for r in rows)} chunks from {len(rows)} entries" if rows else "nothing to prune")
-        return 0
-    if args.command == "search":
-        lines = [r[0] for r in app.search(args.query, args.top_k, args.document_filter).select(retrieval.result_line(F.col("relevance_score"))).collect()]
-        print("\n\n".join(lines) or "No references found.")
-        return 0
-    if args.command == "reference":
-        found = app.reference(args.citation_id)
-        if found is None:
-            print("error: reference not found", file=sys.stderr)
-            return 1
-        print(json.dumps(found, ensure_ascii=False, indent=2, default=str))
-        return 0
-    if args.command in ("verify", "revise"):
-        report = app.verify(args.document, args.command == "verify" and args.strict)
-        name = Path(args.document).name
-        claims = [r.asDict(recursive=True) for r in report.claims.orderBy("draft_id", "claim_pos").collect()]
-        if args.command == "revise":
-            items = [r.asDict(recursive=True) for r in report.plan().orderBy("draft_id", "claim_pos").collect()]
-            write_json(f"{app.data}/verification/{name}.revision.json", {"note": NOTE, "items": items})
-            write_atomically(f"{app.data}/verification/{name}.revision.md", revision_markdown(items, NOTE))
-            print(f"revision items: {len(items)}")
-            return 0
-        structural = [r.asDict(recursive=True) for r in report.structural.collect()]
-        failed = any(r["failed"] for r in report.drafts.collect())
-        path = write_json(f"{app.data}/verification/{name}.report.json", {"strict": args.strict, "failed": failed, "structural": structural, "claims": claims})
-        print("claims: " + (", ".join(f"{r['verdict']}={r['n']}" for r in verdicts.histogram(report.claims).collect()) or "none"))
-        for r in structural:
-            for issue in r["issues"]:
-                print(f"{issue['failure']}: {issue['message']}")
-        for r in claims:
-            if r["verdict"] != "SUPPORTED" and r["claim_type"] == "LITERATURE_CLAIM":
-                print(f"{r['verdict']}: {'; '.join(r['reasons'])} — {r['text']}")
-        print(f"report: {path}")
-        return int(failed)
-    if args.command == "citations":
-        entries, results = app.citations(args.document)
-        for r in entries.collect():
-            print(r["entry"])
-        bad = results.where("not valid").collect()
-        for r in bad:
-            for issue in r["issues"]:
-                print(f"{issue['failure']}: {issue['message']}", file=sys.stderr)
-        return int(bool(bad))
-    if args.command == "evaluate":
-        _, scores = verdicts.evaluation(app.spark.read.json(args.records))
-        for r in scores.collect():
-            print(f"{r['label']}: precision {r['precision']:.3f}, recall {r['recall']:.3f}, F1 {r['f1']:.3f}")
-        return 0
-    if args.command == "list":
-        for r in app.documents_list().collect():
-            print(f"{r['source_path']} ({r['chunk_count']} chunks, {r['indexed_at']})")
-        return 0
-    if args.command == "health":
-        state = app.health()
-        print(json.dumps(state, indent=2))
-        return int(state["status"] != "ok")
-    tools = app.tools()  # one JSON request a line: {"tool": name, "arguments": {...}}
-    for line in sys.stdin:
-        request = json.loads(line)
-        print(json.dumps(tools[request["tool"]](**request.get("arguments", {})), ensure_ascii=False, default=str), flush=True)
-    return 0
+    """One command, rendered; the exit code."""
+    done = COMMANDS[args.command][0](app, args)
+    for channel, lines in ((sys.stdout, done.lines), (sys.stderr, done.warnings)):
+        channel.writelines(f"{line}\n" for line in lines)
+    return done.code
+
+
+def application(args: argparse.Namespace) -> Application:
+    spark = SparkSession.builder.appName("veritide").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    spark.sparkContext.setLogLevel("INFO" if args.verbose else "ERROR")
+    module, _, name = (args.extractor or "").partition(":")
+    return Application(spark, args.data, args.documents, extractor=getattr(importlib.import_module(module), name) if module else None)
 
 
 def main(argv: list[str] | None = None) -> int:
+    """Exit codes: 0 fine, 1 findings or failures, 2 wrong usage, 130 broken off."""
     args = parser().parse_args(argv)
-    extractor = None
-    if args.extractor:
-        module, _, name = args.extractor.partition(":")
-        extractor = getattr(importlib.import_module(module), name)
+    code = 130
     try:
-        spark = SparkSession.builder.appName("veritide").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-        return run(Application(spark, args.data, args.documents, extractor=extractor), args)
-    except (KeyboardInterrupt, BrokenPipeError):
-        return 130
-    except Exception as e:
-        print(f"error: {e}", file=sys.stderr)
-        return 1
+        code = run(application(args), args)
+    except (ArithmeticError, LookupError, OSError, RuntimeError, TypeError, ValueError, PySparkException) as problem:
+        code = 130 if isinstance(problem, BrokenPipeError) else 1
+        sys.stderr.write(f"{args.command}: {problem}\n")
+    except KeyboardInterrupt:
+        sys.stderr.write(f"{args.command}: broken off\n")
+    return code
 
 
 if __name__ == "__main__":

@@ -56,11 +56,16 @@ def hard_split(text: Column, target: int) -> Column:
     return F.regexp_extract_all(text, F.lit(piece), 0)
 
 
+def counts_within(text: Column, target: int) -> Column:
+    """token_count(text) <= target; no text has more words and symbols than characters."""
+    return (F.length(text) <= tokens_within(target)) | (token_count(text) <= target)
+
+
 def units(text: Column, target: int) -> Column:
     """Paragraphs; of those that count too much the sentences; of those still too long the hard splits."""
-    fine = lambda s: F.when(token_count(s) <= target, F.array(s)).otherwise(hard_split(s, target))
+    fine = lambda s: F.when(counts_within(s, target), F.array(s)).otherwise(hard_split(s, target))
     by_sentence = lambda x: F.flatten(F.transform(F.filter(F.split(x, p.UNIT_END), lambda s: s != ""), fine))
-    return F.flatten(F.transform(split_after(text, p.PARAGRAPH), lambda x: F.when(token_count(x) <= target, F.array(x)).otherwise(by_sentence(x))))
+    return F.flatten(F.transform(split_after(text, p.PARAGRAPH), lambda x: F.when(counts_within(x, target), F.array(x)).otherwise(by_sentence(x))))
 
 
 def fingerprint(document_id: Column, page: Column, text: Column, length: int = 16) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,10 +18,11 @@ FINDINGS = (
 
 
 def with_forms(pairs: DataFrame, claim: str = "claim", evidence: str = "evidence", mode: str = "compat") -> DataFrame:
-    """pairs with __f: the parts of claim and evidence that the rules read, folded in one Arrow step."""
+    """pairs with __f (the parts of claim and evidence that the rules read, folded in one Arrow step), __best and __window."""
     c, e = F.coalesce(claim, F.lit("")), F.coalesce(evidence, F.lit(""))
     quotes = t.quotes(strip_markers(c, mode))
-    group = lambda i: F.nullif(F.regexp_extract(c, p.ATTRIBUTION, i), F.lit(""))
+    named = c.rlike(p.ATTRIBUTION_HINT)  # the pattern itself tries a name at every place
+    group = lambda i: F.when(named, F.nullif(F.regexp_extract(c, p.ATTRIBUTION, i), F.lit("")))
     rows = pairs.withColumns({"__q": quotes, "__s": t.sentences(e), "__cv": t.value_tokens(c), "__ev": t.value_tokens(e)})
     rows = rows.withColumn("__one", F.array(strip_markers(c, mode), e, F.coalesce(group(1), group(2), group(3))))
     rows = rows.withColumns({f"{n}f": t.fold_all(n) for n in ("__q", "__s", "__cv", "__ev", "__one")})
@@ -31,27 +33,36 @@ def with_forms(pairs: DataFrame, claim: str = "claim", evidence: str = "evidence
         F.col("__onef")[0].alias("claim_folded"), F.col("__onef")[1].alias("evidence_folded"), F.col("__onef")[2].alias("attributed"),
     )
     rows = rows.withColumn("__f", forms).drop("__q", "__s", "__cv", "__ev", "__one", "__qf", "__sf", "__cvf", "__evf", "__onef")
-    return rows.withColumn("__window", _window(F.col("__f")))
+    rows = rows.withColumn("__best", best_sentence(F.col("__f.claim_folded"), F.col("__f.sentences"), F.col("__f.sentences_folded")))
+    return rows.withColumn("__window", _window(F.col("__f"), F.col("__best")))
 
 
-def long_words(folded: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(folded, " "), lambda w: F.length(w) > 2))
+def _long_words(folded: str) -> set[str]:
+    return {w for w in folded.split(" ") if len(w) > 2}
 
 
-def best_sentence(f: Column) -> Column:
-    """struct(overlap, at, sentence) of the first sentence that shares most long words, two at least; else null."""
-    scored = lambda own: F.transform(
-        F.arrays_zip(f["sentences"].alias("s"), f["sentences_folded"].alias("n")),
-        lambda x, i: F.struct(F.size(F.array_intersect(own, long_words(x["n"]))).alias("overlap"), (-i).alias("at"), x["s"].alias("sentence")),
-    )
-    return t.let(long_words(f["claim_folded"]), lambda own: F.array_max(F.filter(scored(own), lambda x: x["overlap"] > 1)))
+def best_sentence(claim_folded: Column, sentences: Column, sentences_folded: Column) -> Column:
+    """struct(overlap, sentence) of the first sentence that shares most long words, two at least; else null.
 
+    One Arrow step: nested higher-order functions would be interpreted for every word, and again in every filter.
+    """
 
-def _window(f: Column) -> Column:
+    def run(claims: pd.Series, texts: pd.Series, folded: pd.Series) -> pd.DataFrame:
+        out = []
+        for claim, said, forms in zip(claims, texts, folded, strict=True):
+            own = _long_words(claim)
+            overlap, at = max(((len(own & _long_words(x)), -i) for i, x in enumerate(forms)), default=(0, 0))
+            out.append((overlap, said[-at]) if overlap > 1 else (None, None))
+        return pd.DataFrame({"overlap": pd.array([x for x, _ in out], dtype="Int32"), "sentence": [s for _, s in out]})
+
+    return F.pandas_udf(run, "overlap int, sentence string")(claim_folded, sentences, sentences_folded)
+
+
+def _window(f: Column, best: Column) -> Column:
     """The sentences with a quoted passage, or else the best matching one; the whole evidence where there is none."""
     holds = F.filter(F.arrays_zip(f["sentences"].alias("s"), f["sentences_folded"].alias("n")), lambda x: F.exists(f["quotes_folded"], lambda q: x["n"].contains(q)))
     quoted = F.when(F.size(holds) > 0, F.array_join(F.transform(holds, lambda x: x["s"]), " ")).otherwise(f["evidence"])
-    return F.when(F.size(f["quotes"]) > 0, quoted).otherwise(F.coalesce(best_sentence(f)["sentence"], f["evidence"]))
+    return F.when(F.size(f["quotes"]) > 0, quoted).otherwise(F.coalesce(best["sentence"], f["evidence"]))
 
 
 def quote_check(f: Column) -> Column:
@@ -106,4 +117,4 @@ def check_pairs(pairs: DataFrame, mode: str = "compat") -> DataFrame:
             "findings": strengthening(f, w), "attribution_ok": attribution, "window": w,
         }
     )
-    return out.drop("__f", "__window", "__authors")
+    return out.drop("__f", "__best", "__window", "__authors")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritide.functions import text as t
+from veritide.functions.patterns import NO_SPACE
 
 
 def unit_windows(counts: list[int], target: int, overlap: int) -> list[tuple[int, int]]:
@@ -58,14 +59,15 @@ def page_chunks(pages: DataFrame, target: int = 512, overlap: int = 64) -> DataF
             "chunk_tokens": F.aggregate(F.slice("__counts", first, size), F.lit(0), lambda a, x: a + x),
         }
     )
-    return rows.where(t.trim(F.col("chunk")) != "").drop("__units", "__counts", "__windows", "__w")
+    return rows.where(F.col("chunk").rlike(NO_SPACE)).drop("__units", "__counts", "__windows", "__w")
 
 
 def own_section(page_text: Column, headings: Column, chunk: Column) -> Column:
     """The last non-blank heading whose first place on the page is not behind the chunk's; null if none."""
-    places = F.transform(F.coalesce(headings, F.array().cast("array<string>")), lambda h: F.struct(F.instr(page_text, h).alias("at"), h.alias("heading")))
-    fit = F.filter(places, lambda x: (x["at"] > 0) & (x["at"] <= F.instr(page_text, chunk)) & (t.trim(x["heading"]) != ""))
-    return t.trim(F.array_max(fit)["heading"])
+    named = F.filter(F.coalesce(headings, F.array().cast("array<string>")), lambda h: t.trim(h) != "")
+    places = F.transform(named, lambda h: F.struct(F.instr(page_text, h).alias("at"), h.alias("heading")))
+    fit = t.let(F.instr(page_text, chunk), lambda own: F.filter(places, lambda x: (x["at"] > 0) & (x["at"] <= own)))
+    return F.when(F.size(named) > 0, t.trim(F.array_max(fit)["heading"]))
 
 
 def chunk_pages(pages: DataFrame, target: int = 512, overlap: int = 64) -> DataFrame:

@@ -54,15 +54,28 @@ def cited_ids(text: Column, mode: str = "compat") -> Column:
     return F.array_distinct(F.transform(sound, lambda m: m["citation_id"]))
 
 
+def first_of_each(chunks: DataFrame, asked: DataFrame) -> DataFrame:
+    """(__id, ref) of the chunks that asked (__id) names, without their vectors: of several, the least by source, page and text.
+
+    Only the cited chunks are shuffled, never the whole store.
+    """
+    order = [c for c in ("source_path", "page", "text") if c in chunks.columns]
+    others = [c for c in chunks.columns if c != "embedding"]
+    cited = chunks.join(asked, F.col("citation_id") == F.col("__id"), "left_semi")
+    ref = F.struct(*[F.col(f"`{c}`") for c in others])
+    return cited.groupBy(F.col("citation_id").alias("__id")).agg(F.min_by(ref, F.struct(*[F.col(c) for c in order])).alias("ref"))
+
+
 def validate_markers(markers: DataFrame, chunks: DataFrame, listing: DataFrame) -> DataFrame:
     """markers (any columns, and marker) with valid and issues, an array of struct(failure, message).
 
     chunks is the store; listing (source_path, current_hash) says which sources exist now and what
     they hold. One join on the citation id, one on the path; a chunk's extra page_count column bounds pages.
     """
-    stored = chunks.select(F.struct(*[F.col(c) for c in chunks.columns]).alias("ref"), F.col("citation_id").alias("__id"))
+    asked = markers.where(~F.col("marker.malformed")).select(F.col("marker.citation_id").alias("__id")).distinct()
+    stored = first_of_each(chunks, asked)
     live = listing.select(F.col("source_path").alias("__path"), F.col("current_hash").alias("__hash"))
-    rows = markers.join(stored.dropDuplicates(["__id"]), (F.col("marker.citation_id") == F.col("__id")) & ~F.col("marker.malformed"), "left")
+    rows = markers.join(stored, (F.col("marker.citation_id") == F.col("__id")) & ~F.col("marker.malformed"), "left")
     rows = rows.join(live, F.col("ref.source_path") == F.col("__path"), "left")
     issue = lambda when, failure, message: F.when(when, F.struct(F.lit(failure).alias("failure"), F.lit(message).alias("message")))
     page = F.col("ref.page")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veritide.functions import text as t
 from veritide.functions.scoring import EntailmentScorer, entailment_of, probabilities
 from veritide.operators import checks
-from veritide.operators.citations import strip_markers
+from veritide.operators.citations import first_of_each, strip_markers
 
 VALUES = "all numeric/date/statistical values match"
 QUOTED = "all quoted wording occurs exactly or after conservative normalization"
@@ -25,7 +25,8 @@ def with_references(claims: DataFrame, chunks: DataFrame) -> DataFrame:
     """
     plain = claims.withColumn("plain", t.trim(strip_markers(F.col("text"))))
     cited = plain.select("draft_id", "claim_pos", F.posexplode("citation_ids").alias("pos", "citation_id"))
-    found = cited.join(chunks.select("citation_id", F.col("text").alias("evidence"), F.col("authors")).dropDuplicates(["citation_id"]), "citation_id")
+    known = first_of_each(chunks, cited.select(F.col("citation_id").alias("__id")).distinct())
+    found = cited.join(known.select(F.col("__id").alias("citation_id"), F.col("ref.text").alias("evidence"), F.col("ref.authors").alias("authors")), "citation_id")
     refs = found.groupBy("draft_id", "claim_pos").agg(F.sort_array(F.collect_list(F.struct("pos", "citation_id", "evidence", "authors"))).alias("refs"))
     rows = plain.join(refs, ["draft_id", "claim_pos"], "left")
     return rows.withColumn("combined", F.array_join(F.transform("refs", lambda r: r["evidence"]), "\n"))

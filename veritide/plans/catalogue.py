@@ -343,8 +343,8 @@ o AS (SELECT conv_id, turn, i, s, len(list_intersect(c, w)) AS overlap FROM f),
 b AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY overlap DESC, i) AS n FROM o WHERE overlap > 1)
 SELECT conv_id, turn, CAST(overlap AS INT) AS overlap, md5(s) AS sentence_md5 FROM b WHERE n = 1""")
 def best_overlap_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = checks.with_forms(turn_pairs(spark, sf_dir), mode="canonical").withColumn("best", checks.best_sentence(F.col("__f"))).where("best is not null")
-    return rows.select("conv_id", "turn", "best.overlap", F.md5("best.sentence").alias("sentence_md5"))
+    rows = checks.with_forms(turn_pairs(spark, sf_dir), mode="canonical").where("__best.overlap is not null")
+    return rows.select("conv_id", "turn", "__best.overlap", F.md5("__best.sentence").alias("sentence_md5"))
 
 
 def word_sql(alternatives: str) -> str:
@@ -550,14 +550,15 @@ def ingest_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered("""
-WITH d AS (SELECT doc_id, 'c' || doc_id % 300 AS citation_id, md5(text) AS body FROM documents),
-o AS (SELECT DISTINCT ON (citation_id) citation_id, body FROM d WHERE doc_id % 2 = 0 ORDER BY citation_id, doc_id),
-n AS (SELECT DISTINCT ON (citation_id) citation_id, body FROM d WHERE doc_id % 3 = 0 ORDER BY citation_id, doc_id DESC)
+WITH o AS (SELECT DISTINCT ON (citation_id) 'c' || doc_id // 2 AS citation_id, md5(text) AS body FROM documents ORDER BY citation_id, doc_id),
+n AS (SELECT DISTINCT ON (citation_id) 'c' || doc_id // 3 AS citation_id, md5(coalesce(text, '') || '+') AS body FROM documents ORDER BY citation_id, doc_id DESC)
 SELECT * FROM n UNION ALL SELECT * FROM o WHERE citation_id NOT IN (SELECT citation_id FROM n)""")
 def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("c"), (F.col("doc_id") % 300).cast("string")).alias("citation_id"), F.md5("text").alias("body"))
-    old = d.where("doc_id % 2 = 0").groupBy("citation_id").agg(F.min_by("body", "doc_id").alias("body"))
-    return store.upsert(old, d.where("doc_id % 3 = 0").withColumnRenamed("doc_id", "batch_pos"))
+    """All documents as a store, two to a key, and all of them changed as arriving, three to a key."""
+    d = table(spark, sf_dir, "documents")
+    key = lambda n: F.concat(F.lit("c"), F.expr(f"doc_id div {n}").cast("string")).alias("citation_id")
+    old = d.groupBy(key(2)).agg(F.min_by(F.md5("text"), "doc_id").alias("body"))
+    return store.upsert(old, d.select(key(3), F.md5(F.concat(F.coalesce("text", F.lit("")), F.lit("+"))).alias("body"), F.col("doc_id").alias("batch_pos")))
 
 
 GROUPED = "WITH g AS (SELECT source AS document_id, lang AS document_hash, doc_id FROM documents)"
