@@ -73,11 +73,13 @@ class OverlapEntailment:
         return out
 
 
-def embedding_of(text: Column, embedder: Embedder) -> Column:
-    """Vectors of a text column, in Arrow batches; null texts embed as empty."""
+def embedding_of(text: Column, embedder: Embedder, batch_size: int | None = None) -> Column:
+    """Vectors of a text column, the model getting batch_size texts at a time (an Arrow batch, if None); null texts embed as empty."""
 
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(embedder.embed([t or "" for t in texts])))
+        plain = [t or "" for t in texts]
+        size = batch_size or len(plain) or 1
+        return pd.Series([v for at in range(0, len(plain), size) for v in embedder.embed(plain[at : at + size])])
 
     return F.pandas_udf(run, "array<double>")(text)
 

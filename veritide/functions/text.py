@@ -81,6 +81,24 @@ def fingerprint_holds(document_id: Column, page: Column, text: Column, expected:
     return F.coalesce(F.length(expected).between(8, 64) & (page >= 1) & same, F.lit(False))
 
 
+def text_fingerprint(text: Column, length: int = 16) -> Column:
+    """The form of fingerprints from before documents and pages were part of them: over the text alone."""
+    if not 8 <= length <= 64:
+        raise ValueError("length must be between 8 and 64")
+    return F.substring(F.sha2(text, 256), 1, length)
+
+
+def plain_citation_id(document_id: Column, page: Column, text: Column) -> Column:
+    """document:pN:fingerprint; null for an empty document id and pages below 1."""
+    made = F.concat_ws(":", document_id, F.concat(F.lit("p"), page.cast("string")), fingerprint(document_id, page, text))
+    return F.when((document_id.cast("string") != "") & (page >= 1), made)
+
+
+def plain_form(text: Column | str) -> Column:
+    """NFKC with every run of blanks as one, none at the ends."""
+    return by_batch(lambda x: " ".join(unicodedata.normalize("NFKC", x).split()), "string")(text)
+
+
 def fold(text: str) -> str:
     """NFKC, case folding, ASCII digits, Persian yeh and kaf, single blanks."""
     text = unicodedata.normalize("NFKC", text).casefold().translate(_DIGITS)

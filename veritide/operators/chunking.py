@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +12,10 @@ from veritide.functions import text as t
 from veritide.functions.patterns import NO_SPACE
 
 
+#: Texts to their token counts.
+Counter = Callable[[list[str]], list[int]]
+
+
 def unit_windows(counts: list[int], target: int, overlap: int) -> list[tuple[int, int]]:
     """Bounds [first, last) of windows: as many units as fit target, one at least; the next starts behind, within overlap of the end, and one unit on at least.
 
@@ -35,6 +41,17 @@ def unit_windows(counts: list[int], target: int, overlap: int) -> list[tuple[int
     return out
 
 
+def unit_counts(units: Column, counter: Counter | None) -> Column:
+    """Token counts of an array of units: a model's own, in Arrow batches, or else the approximate ones."""
+    if counter is None:
+        return F.transform(units, t.token_count)
+
+    def run(arrays: pd.Series) -> pd.Series:
+        return arrays.map(lambda xs: None if xs is None else [int(n) for n in counter(list(xs))])
+
+    return F.pandas_udf(run, "array<int>")(units)
+
+
 def page_windows(counts: Column, target: int, overlap: int) -> Column:
     """Windows over an array of unit counts."""
 
@@ -44,12 +61,12 @@ def page_windows(counts: Column, target: int, overlap: int) -> Column:
     return F.pandas_udf(run, "array<struct<first:int,last:int>>")(counts)
 
 
-def page_chunks(pages: DataFrame, target: int = 512, overlap: int = 64) -> DataFrame:
+def page_chunks(pages: DataFrame, target: int = 512, overlap: int = 64, counter: Counter | None = None) -> DataFrame:
     """pages with one row a window: pos (its place on the page), chunk (exact text) and chunk_tokens (sum of its units' counts)."""
     if not 0 <= overlap < target:
         raise ValueError("overlap must be at least 0 and smaller than target")
     rows = pages.withColumn("__units", t.units(F.coalesce("text", F.lit("")), target))
-    rows = rows.withColumn("__counts", F.transform("__units", t.token_count))
+    rows = rows.withColumn("__counts", unit_counts(F.col("__units"), counter))
     rows = rows.withColumn("__windows", page_windows(F.col("__counts"), target, overlap))
     rows = rows.select("*", F.posexplode("__windows").alias("pos", "__w"))
     first, size = F.col("__w.first") + 1, F.col("__w.last") - F.col("__w.first")
@@ -70,13 +87,14 @@ def own_section(page_text: Column, headings: Column, chunk: Column) -> Column:
     return F.when(F.size(named) > 0, t.trim(F.array_max(fit)["heading"]))
 
 
-def chunk_pages(pages: DataFrame, target: int = 512, overlap: int = 64) -> DataFrame:
+def chunk_pages(pages: DataFrame, target: int = 512, overlap: int = 64, counter: Counter | None = None) -> DataFrame:
     """Chunks of pages (document_id, filename, page, text, headings).
 
     Sections run on from page to page of a document until a heading replaces them; chunk_index counts
-    from 0 in a document. The stored text is the text that the fingerprint covers.
+    from 0 in a document. The stored text is the text that the fingerprint covers. counter, a model's own token
+    counter, sizes windows in place of the approximate count; units are split by the approximate one.
     """
-    rows = page_chunks(pages, target, overlap)
+    rows = page_chunks(pages, target, overlap, counter)
     rows = rows.withColumn("__own", own_section(F.col("text"), F.col("headings"), F.col("chunk")))
     order = Window.partitionBy("document_id").orderBy("page", "pos")
     rows = rows.withColumns(
@@ -87,4 +105,4 @@ def chunk_pages(pages: DataFrame, target: int = 512, overlap: int = 64) -> DataF
         }
     )
     citation = F.concat(t.slugs("filename"), F.lit("_p"), F.col("page").cast("string"), F.lit("_c_"), F.col("fingerprint"))
-    return rows.select("document_id", "filename", "page", "section", "chunk_index", F.col("chunk").alias("text"), citation.alias("citation_id"), "fingerprint", t.token_count(F.col("chunk")).alias("token_count"))
+    return rows.select("document_id", "filename", "page", "section", "chunk_index", F.col("chunk").alias("text"), citation.alias("citation_id"), "fingerprint", unit_counts(F.array("chunk"), counter)[0].alias("token_count"))

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+SCORES = 4_000_000
 QUERY_BLOCK_BYTES = 64_000_000
 
 
@@ -83,7 +84,8 @@ def _scorer(queries: pa.Table, limit: int, schema: str, id_col: str):
         q = unit_rows(vectors)
         best: list[tuple[np.ndarray, list]] = [(np.zeros(0), []) for _ in range(len(q))]
         kind = None
-        for batch in batches:
+        step = max(1, SCORES // len(q))  # a bounded number of scores at a time
+        for batch in (whole.slice(at, step) for whole in batches for at in range(0, len(whole), step)):
             batch = batch.filter(pa.compute.is_valid(batch.column(1)))
             if not len(batch):
                 continue

@@ -42,6 +42,12 @@ def delete_documents(stored: DataFrame, doomed: DataFrame) -> DataFrame:
     return stored.join(d, hit, "left_anti")
 
 
+def document_exists(asked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """asked (document_id) with exists: has the store a chunk of it? The store's ids meet the asked ones before any are made distinct."""
+    known = chunks.join(asked.select("document_id").distinct(), "document_id", "left_semi").select("document_id").distinct()
+    return asked.join(known.withColumn("exists", F.lit(True)), "document_id", "left").withColumn("exists", F.coalesce("exists", F.lit(False)))
+
+
 def indexed_documents(chunks: DataFrame) -> DataFrame:
     """(document_id, document_hash, source_path, chunk_count) of the store; source_path is the smallest, else the file name, else empty."""
     path = F.coalesce(F.min("source_path"), F.min("filename"), F.lit(""))

@@ -318,17 +318,52 @@ def quote_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _checked(spark, sf_dir).select("conv_id", "turn", "quote_ok")
 
 
-@registered()
+FOLD_SQL = "trim(regexp_replace(replace(lower({}), 'ß', 'ss'), '\\s+', ' ', 'g'))"
+
+#: w: conv_id, turn, claim and the window that the rules read: sentences that hold a quotation, or else the best matching one, or else the evidence.
+WINDOW_SQL = TURN_PAIRS + rf"""
+, q AS (SELECT *, list_transform(regexp_extract_all(claim, '(?s)["“].*?["”]|«.*?»'), lambda x: trim(substr(x, 2, length(x) - 2))) AS quotes,
+  list_filter(list_transform(string_split(regexp_replace(evidence, '([.!?؟])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, chr(9) || chr(10) || chr(13) || ' ')), lambda x: x <> '') AS parts FROM p),
+s AS (SELECT conv_id, turn, claim, quotes, unnest(parts) AS s, generate_subscripts(parts, 1) AS i FROM q),
+f AS (SELECT *, {FOLD_SQL.format("s")} AS n,
+  list_distinct(list_filter(string_split({FOLD_SQL.format("claim")}, ' '), lambda x: length(x) > 2)) AS c FROM s),
+o AS (SELECT *, len(list_intersect(c, list_distinct(list_filter(string_split(n, ' '), lambda x: length(x) > 2)))) AS overlap,
+  len(list_filter(quotes, lambda x: contains(n, {FOLD_SQL.format("x")}))) > 0 AS holds FROM f),
+g AS (SELECT conv_id, turn, string_agg(s, ' ' ORDER BY i) FILTER (holds) AS quoted, first(s ORDER BY overlap DESC, i) FILTER (overlap > 1) AS best FROM o GROUP BY conv_id, turn),
+w AS (SELECT q.conv_id, q.turn, q.claim, CASE WHEN len(quotes) > 0 THEN coalesce(quoted, evidence) ELSE coalesce(best, evidence) END AS win FROM q LEFT JOIN g USING (conv_id, turn))
+"""
+
+
+def word_sql(alternatives: str) -> str:
+    return rf"'(?i)(?:^|[^\p{{L}}\p{{N}}_])(?:{alternatives})(?:$|[^\p{{L}}\p{{N}}_])'"
+
+
+def _either(name: str, alternatives: str) -> str:
+    """c_name and w_name: do claim and window hold one of the words?"""
+    return f"regexp_matches(claim, {word_sql(alternatives)}) AS c_{name}, regexp_matches(win, {word_sql(alternatives)}) AS w_{name}"
+
+
+RULES_SQL = WINDOW_SQL + f""", r AS (SELECT conv_id, turn, {_either("not", "no|not|never|without|neither|nor")}, {_either("cause", "causes?|caused|leads? to|results? in")},
+ {_either("assoc", "associated|correlated|related|linked")}, {_either("modal", "may|might|could|possibly|suggests?")}, {_either("only", "only|sole|primary|main|always|all|never")} FROM w)
+"""
+
+
+@registered(RULES_SQL + "SELECT conv_id, turn, CASE WHEN c_not <> w_not THEN false END AS negation_ok FROM r")
 def negation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _checked(spark, sf_dir).select("conv_id", "turn", "negation_ok")
 
 
-@registered()
+@registered(RULES_SQL + f"""SELECT conv_id, turn, concat_ws('; ', CASE WHEN c_cause AND w_assoc AND NOT w_cause THEN '{checks.FINDINGS[0]}' END,
+ CASE WHEN w_modal AND NOT c_modal THEN '{checks.FINDINGS[1]}' END, CASE WHEN c_only AND NOT w_only THEN '{checks.FINDINGS[2]}' END) AS findings FROM r""")
 def strengthening_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _checked(spark, sf_dir).select("conv_id", "turn", F.array_join("findings", "; ").alias("findings"))
 
 
-@registered()
+@registered(r"""
+WITH p AS (SELECT c.conv_id, c.turn, c.text AS claim, lower(e.role) AS author FROM conversations c JOIN conversations e ON e.conv_id = c.conv_id AND e.turn = c.turn - 1),
+x AS (SELECT conv_id, turn, author, regexp_extract(claim, '(?i)(?:according to\s+([\p{L}\p{N}_ .''-]+)|([\p{L}\p{N}_ .''-]+?)\s+(?:reports?|argues?|finds?))', ['a', 'b']) AS g FROM p),
+n AS (SELECT conv_id, turn, author, trim(regexp_replace(lower(coalesce(nullif(g['a'], ''), nullif(g['b'], ''))), '\s+', ' ', 'g')) AS named FROM x)
+SELECT conv_id, turn, contains(author, named) OR len(list_filter(string_split(named, ' '), lambda w: length(w) > 2 AND contains(author, w))) > 0 AS attribution_ok FROM n""")
 def attribution_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _checked(spark, sf_dir).select("conv_id", "turn", "attribution_ok")
 
@@ -347,10 +382,6 @@ def best_overlap_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", "__best.overlap", F.md5("__best.sentence").alias("sentence_md5"))
 
 
-def word_sql(alternatives: str) -> str:
-    return rf"'(?i)(?:^|[^\p{{L}}\p{{N}}_])(?:{alternatives})(?:$|[^\p{{L}}\p{{N}}_])'"
-
-
 @registered(rf"""
 WITH m AS (SELECT conv_id, turn, trim(regexp_replace(text, {MARKER_SQL}, '', 'g'), chr(9) || chr(10) || chr(13) || ' ') AS p FROM conversations),
 n AS (SELECT *, len(list_filter(regexp_split_to_array(p, '\s+'), lambda x: x <> '')) AS n FROM m)

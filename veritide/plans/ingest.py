@@ -8,32 +8,41 @@ from pyspark.sql import functions as F
 from veritide.config import EngineConfig
 from veritide.functions.scoring import Embedder, embedding_of
 from veritide.operators import store as ops
-from veritide.operators.chunking import chunk_pages
+from veritide.operators.chunking import Counter, chunk_pages
+from veritide.operators.layout import parse_metadata
 from veritide.sources.files import Extractor, extract_pages
 from veritide.sources.tables import Store
 
 
+METADATA = ("title", "author", "subject", "keywords", "creation_date")
+
+
 def new_chunks(pages: DataFrame, embedder: Embedder, config: EngineConfig = EngineConfig()) -> DataFrame:
-    """Store rows of pages (document_id, document_hash, source_path, filename, page, text, headings)."""
-    keyed = pages.select("document_id", "document_hash", "source_path").distinct()
-    rows = chunk_pages(pages, config.chunk_size, config.chunk_overlap).join(keyed, "document_id")
-    empty = {"title": "string", "year": "int", "doi": "string", "source_type": "string"}
-    rows = rows.withColumns({c: F.lit(None).cast(k) for c, k in empty.items()} | {"authors": F.array().cast("array<string>")})
-    return rows.withColumn("embedding", embedding_of(F.col("text"), embedder))
+    """Store rows of pages (document_id, document_hash, source_path, filename, page, text, headings, and metadata if the extractor gives any)."""
+    return rows_of(pages, config).withColumn("embedding", embedding_of(F.col("text"), embedder, config.embedding_batch_size))
+
+
+def rows_of(pages: DataFrame, config: EngineConfig = EngineConfig(), counter: Counter | None = None) -> DataFrame:
+    """new_chunks() without vectors: chunks with their document's title, authors, year and DOI."""
+    field = (lambda n: F.element_at("metadata", n)) if "metadata" in pages.columns else (lambda n: F.lit(None).cast("string"))
+    raw = pages.groupBy("document_id", "document_hash", "source_path").agg(*[F.max(field(n)).alias(n) for n in METADATA])
+    described = parse_metadata(raw).select("document_id", "document_hash", "source_path", "meta.*", F.lit("pdf").alias("source_type"))
+    return chunk_pages(pages, config.chunk_size, config.chunk_overlap, counter).join(described, "document_id")
 
 
 def ingest(store: Store, listing: DataFrame, extractor: Extractor, embedder: Embedder, config: EngineConfig = EngineConfig()) -> DataFrame:
     """One ingestion: (source_path, status, document_id, chunk_count, error) of every file of listing (source_path, current_hash, content).
 
     Unchanged files are neither extracted nor embedded. New chunks replace rows of equal citation id; rows
-    of a changed document's other hashes go in the same commit. A file that fails keeps what it had.
+    of a changed document's other hashes go in the same commit. A file that fails keeps what it had. Every file
+    is extracted once and every chunk embedded once: both are staged beside the store, as is the report.
     """
     manifest = store.read("manifest")
-    diff = ops.diff_sources(listing.select("source_path", "current_hash"), manifest)
+    diff = store.stage(ops.diff_sources(listing.select("source_path", "current_hash"), manifest))
     todo = listing.join(diff.where("status <> 'unchanged'").select("source_path"), "source_path", "left_semi")
-    pages = extract_pages(todo, extractor).join(diff.select("source_path", "document_id"), "source_path").withColumn("document_hash", F.col("current_hash"))
+    pages = store.stage(extract_pages(todo, extractor).join(diff.select("source_path", "document_id"), "source_path").withColumn("document_hash", F.col("current_hash")))
     failed = pages.where("error is not null").select("source_path", "error")
-    arriving = new_chunks(pages.where("error is null"), embedder, config)
+    arriving = store.stage(new_chunks(pages.where("error is null"), embedder, config))
     done = diff.where("status <> 'unchanged'").join(failed.select("source_path"), "source_path", "left_anti")
     kept = store.read("chunks").join(done.select("document_id"), "document_id", "left_anti")
     merged = ops.upsert(kept, arriving.withColumn("batch_pos", F.col("chunk_index")))
@@ -45,7 +54,9 @@ def ingest(store: Store, listing: DataFrame, extractor: Extractor, embedder: Emb
     fresh = store.spark.read.parquet(f"{store.root}/manifest-{version}").select("source_path", "chunk_count")
     report = diff.join(failed, "source_path", "left").join(fresh, "source_path", "left")
     status = F.when(F.col("error").isNotNull(), "failed").otherwise(F.col("status"))
-    return report.select("source_path", status.alias("status"), "document_id", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), "error")
+    told = store.stage(report.select("source_path", status.alias("status"), "document_id", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), "error"))
+    store.unstage(keep=1)
+    return told
 
 
 def prune(store: Store, listing: DataFrame, scope: str | None = None, dry_run: bool = False) -> DataFrame:

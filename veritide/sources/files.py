@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PDF_GLOB = "*.[pP][dD][fF]"
-PAGES = "source_path string, current_hash string, filename string, page int, text string, headings array<string>, error string"
-#: An extractor turns (file name, bytes) into pages of (page, text, headings).
-Extractor = Callable[[str, bytes], list[tuple[int, str, list[str]]]]
+PAGES = "source_path string, current_hash string, filename string, page int, text string, headings array<string>, metadata map<string,string>, error string"
+Page = tuple[int, str, list[str]]
+#: An extractor turns (file name, bytes) into pages of (page, text, headings), alone or with the file's metadata by field name.
+Extractor = Callable[[str, bytes], list[Page] | tuple[list[Page], dict[str, str]]]
 
 
 def check_path(path: str | Path) -> Path:
@@ -29,10 +30,14 @@ def check_path(path: str | Path) -> Path:
 
 
 def source_key(path: Column, root: str) -> Column:
-    """The path below root, as POSIX text; a path outside keeps its full form."""
+    """The path relative to root, as POSIX text; a path outside climbs by "..". """
     plain = F.regexp_replace(path, "^file:/+", "/")
-    head = root.rstrip("/") + "/"
-    return F.when(plain.startswith(head), F.substring(plain, len(head) + 1, 1 << 30)).otherwise(plain)
+    steps = [s for s in root.split("/") if s]
+    out = plain
+    for kept in range(len(steps) + 1):  # the longest common folder is tried last and so wins
+        head = "".join(f"/{s}" for s in steps[:kept]) + "/"
+        out = F.when(plain.startswith(head), F.concat(F.lit("../" * (len(steps) - kept)), F.substring(plain, len(head) + 1, 1 << 30))).otherwise(out)
+    return out
 
 
 def pdf_listing(spark: SparkSession, path: str, root: str | None = None) -> DataFrame:
@@ -50,9 +55,11 @@ def extract_pages(listing: DataFrame, extractor: Extractor) -> DataFrame:
             for path, digest, content in batch.itertuples(index=False):
                 name = path.rsplit("/", 1)[-1]
                 try:
-                    rows = [(path, digest, name, p, text, list(heads), None) for p, text, heads in extractor(name, bytes(content))]
+                    found = extractor(name, bytes(content))
+                    pages, metadata = found if isinstance(found, tuple) else (found, {})
+                    rows = [(path, digest, name, p, text, list(heads), dict(metadata), None) for p, text, heads in pages]
                 except Exception as e:  # one bad file must not end the job
-                    rows = [(path, digest, name, None, None, None, f"{type(e).__name__}: {e}")]
+                    rows = [(path, digest, name, None, None, None, None, f"{type(e).__name__}: {e}")]
                 yield pd.DataFrame(rows, columns=names)
 
     return listing.select("source_path", "current_hash", "content").mapInPandas(run, PAGES)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,7 @@ class Store:
         self.spark, self.root, self.dimension = spark, root.rstrip("/"), dimension
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
+        self._staged: list[str] = []
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def version(self) -> str | None:
@@ -45,6 +47,20 @@ class Store:
         self._fs.create(self._path(f"{self.root}/commit-{version}")).close()
         return version
 
+    def stage(self, rows: DataFrame) -> DataFrame:
+        """The rows written once beside the tables and read again, so that no later step computes them anew; see unstage()."""
+        path = f"{self.root}/staged/{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        self._staged.append(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def unstage(self, keep: int = 0) -> None:
+        """Deletes what stage() wrote, but for the last keep."""
+        cut = len(self._staged) - keep
+        for path in self._staged[:cut]:
+            self._fs.delete(self._path(path), True)
+        self._staged = self._staged[cut:]
+
     def check(self, chunks: DataFrame) -> None:
         """Vectors must have the store's dimension, where one is set."""
         if self.dimension is not None and not chunks.where(f"size(embedding) <> {self.dimension}").isEmpty():
