@@ -174,3 +174,10 @@ def test_pipeline_on_an_empty_table_and_nulls(spark, sf):
         for _, stage in corpus_pipeline.STAGES:
             at = spark.createDataFrame((out := stage(spark, at, sf)).collect(), out.schema)
         assert at.count() == 0
+
+
+def test_line_stage_keeps_columns_of_the_operators_names(spark, sf):
+    docs = spark.createDataFrame([(1, "a line\na line", 7, 8), (2, "a line\nother", 9, 10)], "doc_id bigint, text string, n_lines int, n_removed int")
+    out = dict(corpus_pipeline.STAGES)["line dedup"](spark, docs, sf)
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect())) == [(1, "a line", 7, 8), (2, "other", 9, 10)]

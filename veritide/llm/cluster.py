@@ -42,6 +42,28 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_scratch: list[str] = []
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The same rows read from a compressed table in the shared folder: smaller than a checkpoint, and read by column.
+
+    The table stays until clear_scratch() or the folder's own cleaning.
+    """
+    path = fresh_path(df.sparkSession, name)
+    _scratch.append(path)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes what stored() wrote so far; for when the results that read it are written."""
+    paths = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    while _scratch:
+        path = paths(_scratch.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete the shuffle files of steps that nothing refers to any more.
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritide.llm import sketch
-from veritide.llm.cluster import cut, release
+from veritide.llm.cluster import cut, release, spread_join, stored
 from veritide.llm.quality import let
 from veritide.llm.space import class_of_points
 from veritide.llm.words import mix, slices, trim
@@ -34,7 +34,7 @@ SHINGLE, PERCENT, MIN_CHARS = 5, 80, 1
 KINDS = ((1, 30, 4, 12), (24, 1 << 40, 5, 16))
 DEPTH, LEVELS, PER_LINE, PER_KEY, SLICE = 2, (2,), 16, 8, 120_000
 EMPTY = np.uint32(0xFFFFFFFF)
-SCHEMA = "id bigint, n bigint, f1 bigint, f2 bigint, keys array<bigint>, payload binary, doc_id bigint, line int"
+SCHEMA = "id bigint, f1 bigint, f2 bigint, keys array<bigint>, payload binary, doc_id bigint, line int"
 
 
 def windows(codes: np.ndarray, factors: tuple[int, int, int]) -> np.ndarray:
@@ -184,24 +184,26 @@ def repeated_lines(rows: DataFrame) -> DataFrame:
                 f1, f2 = zip(*prints, strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(f1, pa.int64()), pa.array(lines.end[able] - lines.start[able]), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(key_lists, pa.list_(pa.int64())),
+                        pa.array(f1, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(key_lists, pa.list_(pa.int64())),
                         pa.array(payload, pa.binary()), pa.array(ids[lines.doc[able]], pa.int64()), pa.array(lines.place[able].astype(np.int32)),
                     ],
-                    names=["id", "n", "f1", "f2", "keys", "payload", "doc_id", "line"],
+                    names=["id", "f1", "f2", "keys", "payload", "doc_id", "line"],
                 )
         trim()
 
-    found = cut(rows.mapInArrow(points, SCHEMA))
+    found = stored(rows.mapInArrow(points, SCHEMA), "lines")
+    release(rows.sparkSession)
     classes = class_of_points(found, line_set, PERCENT)
     first = found.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "line")).alias("first"))
     winners = cut(first.join(classes, ["f1", "f2"]))
     best = winners.groupBy("component").agg(F.min("first").alias("stays"))
-    verdicts = winners.join(best, "component").select("f1", "f2", "stays")
-    return found.join(verdicts, ["f1", "f2"]).where(F.struct("doc_id", "line") != F.col("stays")).select("doc_id", "line")
+    release(rows.sparkSession)
+    verdicts = cut(winners.join(best, "component").select("f1", "f2", "stays"))
+    return spread_join(found.select("f1", "f2", "doc_id", "line"), verdicts, ["f1", "f2"]).where(F.struct("doc_id", "line") != F.col("stays")).select("doc_id", "line")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with repeated lines cut out of its texts, and two more columns: n_lines and n_removed.
+    """docs with repeated lines cut out of its texts, and two more columns, n_lines and n_removed (in place of any that docs has by these names).
 
     Lines end at LF. Lines without a word are never judged; every other line is, however short. Null texts stay
     null. Only documents that lose lines are shuffled. Rows that repeat a doc_id are edited alike; rows with a null id are left as they are. A
@@ -220,11 +222,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     n_lines = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("bigint")
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     out = joined.select(*others, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(left).alias(text_col), n_lines.alias("__veritide_n"), F.coalesce(F.size(gone), F.lit(0)).cast("bigint").alias("__veritide_r"))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("__veritide_n").alias("n_lines"), F.col("__veritide_r").alias("n_removed"))
+    stay = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return out.select(*stay, F.col("__veritide_n").alias("n_lines"), F.col("__veritide_r").alias("n_removed"))
 
 
 def line_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_lines, n_removed, kept_sha256) for every row."""
+    """(doc_id, n_lines, n_removed, kept_sha256) for every row; null texts have no line and the digest of the empty text. Otherwise as line_dedup()."""
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     edited = line_dedup(narrow)
     return edited.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

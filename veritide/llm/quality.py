@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritide.llm.cluster import cut, fresh_path, spread_join
+from veritide.llm.cluster import cut, spread_join, stored
 
 MIN_WORDS, REPEAT_PERCENT, RATE = 50, 50, 0.2
 SOFT = ("symbols", "word_length", "dup_lines")
@@ -121,13 +121,12 @@ def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Texts are measured once: rows that pass the base rules are written with their failures to the shared folder,
     and those that don't with their failures only. Nulls, repeats and empty tables as in quality_verdicts().
     """
-    mark, path = "__veritide_quality", fresh_path(docs.sparkSession, "quality")
+    mark = "__veritide_quality"
     measured = docs.withColumn(f"{mark}_m", measures(F.col(text_col)))
     own = F.struct(host_of(host_col).alias("host"), *[c.alias(n) for n, c in flags(f"{mark}_m").items()])
     marked = measured.withColumn(mark, own).drop(f"{mark}_m")
     text = F.when(~F.col(f"{mark}.base_failed"), F.col(f"`{text_col}`")).alias(text_col)
-    marked.select(*[text if c == text_col else F.col(f"`{c}`") for c in docs.columns], mark).write.parquet(path)
-    rows = docs.sparkSession.read.parquet(path)
+    rows = stored(marked.select(*[text if c == text_col else F.col(f"`{c}`") for c in docs.columns], mark), "quality")
     bad = host_verdicts(rows.select(f"{mark}.*"))
     rows = rows.where(~F.col(f"{mark}.base_failed"))
     inner = _rejected(rows.select(f"{mark}.*", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(mark)), bad)
