@@ -32,7 +32,7 @@ from veritide.llm.words import mix, slices, trim
 SHINGLE, PERCENT, MIN_CHARS = 5, 80, 1
 #: least and most shingles of a line, minima a band, bands; neighbours overlap by the threshold
 KINDS = ((1, 30, 4, 12), (24, 1 << 40, 5, 16))
-DEPTH, LEVELS, PER_LINE, PER_KEY, SLICE = 2, (2,), 16, 8, 120_000
+DEPTH, LEVELS, PER_LINE, PER_KEY, SLICE = 2, (2,), 16, 4, 120_000
 EMPTY = np.uint32(0xFFFFFFFF)
 SCHEMA = "id bigint, f1 bigint, f2 bigint, keys array<bigint>, payload binary, doc_id bigint, line int"
 
@@ -192,6 +192,8 @@ def repeated_lines(rows: DataFrame) -> DataFrame:
         trim()
 
     found = stored(rows.mapInArrow(points, SCHEMA), "lines")
+    shared.destroy()  # the table is written; the planes need no memory any more, here or there
+    shared = None
     release(rows.sparkSession)
     classes = class_of_points(found, line_set, PERCENT)
     first = found.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "line")).alias("first"))

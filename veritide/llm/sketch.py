@@ -151,7 +151,10 @@ def build(rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarra
                     plane[b * width : (b + 1) * width] = bits
     del parts, merged
     release(rows.sparkSession)
-    return [bytes(p) for p in planes]
+    whole = []
+    while planes:  # one copy at a time
+        whole.insert(0, bytes(planes.pop()))
+    return whole
 
 
 def members(ids: DataFrame) -> tuple[list[bytes], int]:
