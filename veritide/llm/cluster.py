@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veritide.llm.words import trim
 
 BATCH_ROWS = "1000"
 #: A key with more than one row in SHARE is hot; there are SHARE such keys at most.
@@ -68,9 +69,10 @@ def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete the shuffle files of steps that nothing refers to any more.
 
     The cleaner acts on what the driver's garbage collector finds, which on a driver with free memory can take
-    half an hour; until then the files of each finished step stay on the executors' disks.
+    half an hour; until then the files of each finished step stay on the executors' disks, and its plans in the driver.
     """
     gc.collect()
+    trim()
     spark.sparkContext._jvm.System.gc()
 
 
@@ -117,6 +119,7 @@ def components(edges: DataFrame) -> DataFrame:
     pairs = cut(pairs)
     before = None
     while True:
+        release(edges.sparkSession)
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _least(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
         large = cut(large.distinct())

@@ -110,6 +110,7 @@ def join_regions(members: DataFrame, decode: Decode, percent: int, cap: int = CA
     """Links (a, b) of pids, enough to connect all members linked within a region. members: MEMBER, as a checkpoint."""
     links = []
     for depth in range(LEVELS + 1):
+        release(members.sparkSession)
         sizes = cut(members.groupBy("rid").agg(F.count("*").alias("n"), F.count("hint").alias("passive")).where("n > passive").drop("passive"))
         total = sizes.agg(F.count("*").alias("regions"), F.count_if(F.col("n") > cap).alias("big"), F.sum("n").alias("members"), F.sum(F.when(F.col("n") > cap, F.col("n"))).alias("large")).first()
         if trace is not None and total["members"]:
