@@ -118,7 +118,8 @@ def join_regions(members: DataFrame, decode: Decode, percent: int, cap: int = CA
         big = sizes.where(F.col("n") > cap)
         # members of regions without an active member are harmless here: one hint makes them one component
         small = members if not total["big"] else _by_region(members, big, total["big"], "left_anti")
-        links.append(_solve(small.withColumns({"active": F.lit(True), "b": F.lit(0), "t": F.lit(0)}), decode, percent, total["members"] or 0))
+        # a checkpoint a level: the driver holds the plans and broadcasts of one level at a time
+        links.append(cut(_solve(small.withColumns({"active": F.lit(True), "b": F.lit(0), "t": F.lit(0)}), decode, percent, total["members"] or 0)))
         if not total["big"]:
             break
         found, members = _divide(_by_region(members, big, total["big"], "inner"), total, decode, percent, cap, depth)
@@ -180,6 +181,8 @@ def _divide(large: DataFrame, total, decode: Decode, percent: int, cap: int, dep
     facts = counts.groupBy("rid").applyInPandas(decide, "rid bigint, main bigint, first int, known bigint, plan int, live bigint, n_active bigint, n_all bigint")
     hints = pivots.select("rid", F.col("j").alias("first"), "pid")
     facts = cut(facts.join(hints, ["rid", "first"], "left").withColumn("main_pid", F.coalesce("known", "pid")).drop("pid", "known"))
+    plans = {row["plan"] for row in facts.select("plan").distinct().collect()}
+    release(spark)
     rows = _by_region(measured, facts.where("plan > 0"), total["big"], "inner")
     active = F.col("caught").bitwiseAND(F.col("main")) == 0
     rows = rows.withColumns({"active": active, "hint": F.when(~active, F.col("main_pid"))})
@@ -189,14 +192,15 @@ def _divide(large: DataFrame, total, decode: Decode, percent: int, cap: int, dep
     block, part = F.pmod(F.xxhash64("pid"), blocks).cast("int"), F.pmod(F.xxhash64("pid"), parts).cast("int")
     first = flat.where("active").withColumns({"b": block, "t": F.explode(F.sequence(F.lit(0), parts - 1))})
     second = flat.withColumns({"t": part, "b": F.explode(F.sequence(F.lit(0), blocks - 1)), "active": F.lit(False)})
-    links.append(_solve(first.unionByName(second), decode, percent, 2 * total["large"]))
+    if 1 in plans:
+        links.append(cut(_solve(first.unionByName(second), decode, percent, 2 * total["large"])))
     # Voronoi cells with their windows
     cells = F.filter(F.sequence(F.lit(0), F.lit(PIVOTS - 1)), lambda c: _bit("live", c) & _bit("window", c) & (~F.col("active") | (c <= F.col("near"))))
     inner = rows.where("plan = 2").withColumn("c", F.explode(cells)).withColumn("rid", F.xxhash64("rid", "c", F.lit(depth)))
-    # pivots chosen once more, through elements
-    again = _rekeyed(rows.where("plan = 3"), decode, percent, depth)
-    stay = rows.where("plan = 4")
-    return links, cut(inner.select(*COLUMNS).unionByName(again.select(*COLUMNS)).unionByName(stay.select(*COLUMNS)))
+    left = rows.where("plan = 4").select(*COLUMNS).unionByName(inner.select(*COLUMNS))
+    if 3 in plans:  # pivots chosen once more, through elements
+        left = left.unionByName(_rekeyed(rows.where("plan = 3"), decode, percent, depth).select(*COLUMNS))
+    return links, cut(left)
 
 
 def _bit(name: str, c) -> F.Column:
