@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritide.llm import bpe, chat, decontam, jaccard, lines, quality, secretscan, substring, urls, warc
+from veritide.llm import bpe, chat, decontam, jaccard, lines, quality, secretscan, substring, toxicity, urls, warc, whitening
 from veritide.llm.cluster import small_batches
 from veritide.shipping import ship
 
@@ -62,6 +62,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -69,7 +77,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_secret_scan, op3_quality_rules, op4_substring_dedup, op5_warc_round_trip, op6_jaccard_join, op7_chat_perspectives, op8_bpe_automaton, op9_url_filter, op10_line_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_decontamination, op2_secret_scan, op3_quality_rules, op4_substring_dedup, op5_warc_round_trip, op6_jaccard_join, op7_chat_perspectives, op8_bpe_automaton, op9_url_filter, op10_line_dedup, op11_toxicity, op12_whitening, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
