@@ -9,6 +9,7 @@ from veritide.functions import text as t
 from veritide.functions.scoring import EntailmentScorer, entailment_of, probabilities
 from veritide.operators import checks
 from veritide.operators.citations import first_of_each, strip_markers
+from veritide.operators.claims import claim_type
 
 VALUES = "all numeric/date/statistical values match"
 QUOTED = "all quoted wording occurs exactly or after conservative normalization"
@@ -89,6 +90,19 @@ def without_model(decided: DataFrame) -> DataFrame:
     )
 
 
+def pair_verdicts(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, claim_type, verdict, confidence, reasons) of pairs (keys, claim, evidence), each claim judged by the rules against the evidence beside it.
+
+    A claim with evidence counts as cited; one without is judged by its class alone. Null claims count as empty.
+    """
+    plain = t.trim(strip_markers(F.coalesce("claim", F.lit(""))))
+    cited = F.when(F.col("evidence").isNotNull(), F.array(F.lit("evidence"))).otherwise(F.array().cast("array<string>"))
+    ref = F.struct(F.lit(0).alias("pos"), F.lit("evidence").alias("citation_id"), F.col("evidence"), F.array().cast("array<string>").alias("authors"))
+    rows = pairs.select(*keys, "evidence", plain.alias("plain"), cited.alias("citation_ids"))
+    rows = rows.withColumns({"claim_type": claim_type(F.col("plain"), F.col("citation_ids")), "refs": F.when(F.size("citation_ids") > 0, F.array(ref)), "combined": F.col("evidence")})
+    return without_model(rule_verdicts(rows)).select(*keys, "claim_type", "verdict", "confidence", "reasons")
+
+
 def premises(evidence: Column) -> Column:
     """The sentences of more than 8 characters; the whole evidence if there is at most one."""
     long = F.filter(t.sentences(evidence), lambda s: F.length(s) > 8)

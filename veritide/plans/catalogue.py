@@ -304,7 +304,28 @@ def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.check_pairs(turn_pairs(spark, sf_dir), mode="canonical")
 
 
-@registered()
+FOLD_SQL = "trim(regexp_replace(replace(lower({}), 'ß', 'ss'), '\\s+', ' ', 'g'))"
+
+
+def values_sql(text: str) -> str:
+    """The folded numbers, years and statistics of a text, apart from the library's patterns and without lookarounds.
+
+    Every word gets a 1 before and a 2 behind it (as characters), so that whole words can be told by these. A sign right behind
+    a word and a percent sign right before one belong to no number and are hidden.
+    """
+    marked = rf"regexp_replace({text}, '([\p{{L}}\p{{N}}_]+)', chr(1) || '\1' || chr(2), 'g')"
+    marked = rf"regexp_replace(regexp_replace({marked}, '\x02([+-])', chr(2) || chr(3), 'g'), '[%٪]\x01', chr(3) || chr(1), 'g')"
+    number = r"(?i)(?:\x01[np]\x02\s*=\s*)?[+-]?\x01(?:\p{Nd}{1,3}\x02(?:[,٬]\x01\p{Nd}{3}\x02)+|\p{Nd}+\x02)(?:[.٫]\x01\p{Nd}+\x02)?(?:\s*(?:[%٪]|\x01(?:percent|درصد)\x02))?"
+    stat = r"(?i)\x01(?:p|r|β|alpha|or|rr|ci)\x02\s*[=<>≤≥]\s*[+-]?(?:(?:\x010\x02)?\.)?\x01\p{Nd}+"
+    years = rf"list_filter(regexp_extract_all({text}, '\p{{Nd}}+'), lambda y: regexp_matches(y, '^(?:1[34]\p{{Nd}}{{2}}|(?:19|20)\p{{Nd}}{{2}})$'))"
+    found = f"list_concat(regexp_extract_all({marked}, '{number}'), list_concat({years}, regexp_extract_all({marked}, '{stat}')))"
+    return f"list_distinct(list_transform({found}, lambda v: translate({FOLD_SQL.format('translate(v, chr(1) || chr(2) || chr(3), chr(0))')}, '٬٫۰۱۲۳۴۵۶۷۸۹' || chr(0), ',.0123456789')))"
+
+
+NUMBERS_SQL = f"SELECT *, {values_sql('claim')} AS own, {values_sql('evidence')} AS there FROM p"
+
+
+@registered(TURN_PAIRS + f", v AS ({NUMBERS_SQL}) SELECT conv_id, turn, CASE WHEN len(own) > 0 THEN len(list_filter(own, lambda x: NOT list_contains(there, x))) = 0 END AS numeric_ok, array_to_string(list_sort(list_filter(own, lambda x: NOT list_contains(there, x))), ', ') AS missing FROM v")
 def numeric_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _checked(spark, sf_dir).select("conv_id", "turn", "numeric_ok", F.array_join("missing", ", ").alias("missing"))
 
@@ -318,10 +339,8 @@ def quote_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _checked(spark, sf_dir).select("conv_id", "turn", "quote_ok")
 
 
-FOLD_SQL = "trim(regexp_replace(replace(lower({}), 'ß', 'ss'), '\\s+', ' ', 'g'))"
-
 #: w: conv_id, turn, claim and the window that the rules read: sentences that hold a quotation, or else the best matching one, or else the evidence.
-WINDOW_SQL = TURN_PAIRS + rf"""
+WINDOWED_SQL = rf"""
 , q AS (SELECT *, list_transform(regexp_extract_all(claim, '(?s)["“].*?["”]|«.*?»'), lambda x: trim(substr(x, 2, length(x) - 2))) AS quotes,
   list_filter(list_transform(string_split(regexp_replace(evidence, '([.!?؟])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, chr(9) || chr(10) || chr(13) || ' ')), lambda x: x <> '') AS parts FROM p),
 s AS (SELECT conv_id, turn, claim, quotes, unnest(parts) AS s, generate_subscripts(parts, 1) AS i FROM q),
@@ -332,6 +351,7 @@ o AS (SELECT *, len(list_intersect(c, list_distinct(list_filter(string_split(n,
 g AS (SELECT conv_id, turn, string_agg(s, ' ' ORDER BY i) FILTER (holds) AS quoted, first(s ORDER BY overlap DESC, i) FILTER (overlap > 1) AS best FROM o GROUP BY conv_id, turn),
 w AS (SELECT q.conv_id, q.turn, q.claim, CASE WHEN len(quotes) > 0 THEN coalesce(quoted, evidence) ELSE coalesce(best, evidence) END AS win FROM q LEFT JOIN g USING (conv_id, turn))
 """
+WINDOW_SQL = TURN_PAIRS + WINDOWED_SQL
 
 
 def word_sql(alternatives: str) -> str:
@@ -343,9 +363,10 @@ def _either(name: str, alternatives: str) -> str:
     return f"regexp_matches(claim, {word_sql(alternatives)}) AS c_{name}, regexp_matches(win, {word_sql(alternatives)}) AS w_{name}"
 
 
-RULES_SQL = WINDOW_SQL + f""", r AS (SELECT conv_id, turn, {_either("not", "no|not|never|without|neither|nor")}, {_either("cause", "causes?|caused|leads? to|results? in")},
+RULED_SQL = f""", r AS (SELECT conv_id, turn, {_either("not", "no|not|never|without|neither|nor")}, {_either("cause", "causes?|caused|leads? to|results? in")},
  {_either("assoc", "associated|correlated|related|linked")}, {_either("modal", "may|might|could|possibly|suggests?")}, {_either("only", "only|sole|primary|main|always|all|never")} FROM w)
 """
+RULES_SQL = WINDOW_SQL + RULED_SQL
 
 
 @registered(RULES_SQL + "SELECT conv_id, turn, CASE WHEN c_not <> w_not THEN false END AS negation_ok FROM r")
@@ -353,8 +374,11 @@ def negation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _checked(spark, sf_dir).select("conv_id", "turn", "negation_ok")
 
 
-@registered(RULES_SQL + f"""SELECT conv_id, turn, concat_ws('; ', CASE WHEN c_cause AND w_assoc AND NOT w_cause THEN '{checks.FINDINGS[0]}' END,
- CASE WHEN w_modal AND NOT c_modal THEN '{checks.FINDINGS[1]}' END, CASE WHEN c_only AND NOT w_only THEN '{checks.FINDINGS[2]}' END) AS findings FROM r""")
+FINDINGS_SQL = f"""concat_ws('; ', CASE WHEN c_cause AND w_assoc AND NOT w_cause THEN '{checks.FINDINGS[0]}' END,
+ CASE WHEN w_modal AND NOT c_modal THEN '{checks.FINDINGS[1]}' END, CASE WHEN c_only AND NOT w_only THEN '{checks.FINDINGS[2]}' END)"""
+
+
+@registered(RULES_SQL + f"""SELECT conv_id, turn, {FINDINGS_SQL} AS findings FROM r""")
 def strengthening_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _checked(spark, sf_dir).select("conv_id", "turn", F.array_join("findings", "; ").alias("findings"))
 
@@ -382,20 +406,60 @@ def best_overlap_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", "__best.overlap", F.md5("__best.sentence").alias("sentence_md5"))
 
 
-@registered(rf"""
-WITH m AS (SELECT conv_id, turn, trim(regexp_replace(text, {MARKER_SQL}, '', 'g'), chr(9) || chr(10) || chr(13) || ' ') AS p FROM conversations),
-n AS (SELECT *, len(list_filter(regexp_split_to_array(p, '\s+'), lambda x: x <> '')) AS n FROM m)
-SELECT conv_id, turn, CASE WHEN p = '' THEN 'TRANSITION'
-  WHEN regexp_matches(p, '(?i)^(however|therefore|moreover|in conclusion|nevertheless)(?:$|[^\p{{L}}\p{{N}}_])') AND n < 12 THEN 'TRANSITION'
-  WHEN regexp_matches(p, {word_sql("we (?:use|used|calculate|define)|this (?:paper|section) (?:uses|describes)")}) THEN 'PROCEDURAL'
-  WHEN regexp_matches(p, {word_sql("stud(?:y|ies)|research|evidence|reported|found|according to")}) OR regexp_matches(p, '[\p{{Nd}}%٪"“”«»]') THEN 'LITERATURE_CLAIM'
-  WHEN regexp_matches(p, {word_sql("i (?:think|believe)|we argue|in our view")}) THEN 'OPINION'
-  WHEN regexp_matches(p, {word_sql("suggests?|implies?|therefore|thus")}) THEN 'INFERENCE'
-  WHEN n >= 4 THEN 'GENERAL_FACT' ELSE 'UNCERTAIN' END AS claim_type FROM n""")
+def type_sql(p: str, cited: str = "false") -> str:
+    """The class of a claim p without markers, of n words."""
+    return rf"""CASE WHEN {p} = '' THEN 'TRANSITION'
+  WHEN regexp_matches({p}, '(?i)^(however|therefore|moreover|in conclusion|nevertheless)(?:$|[^\p{{L}}\p{{N}}_])') AND n < 12 THEN 'TRANSITION'
+  WHEN regexp_matches({p}, {word_sql("we (?:use|used|calculate|define)|this (?:paper|section) (?:uses|describes)")}) THEN 'PROCEDURAL'
+  WHEN {cited} OR regexp_matches({p}, {word_sql("stud(?:y|ies)|research|evidence|reported|found|according to")}) OR regexp_matches({p}, '[\p{{Nd}}%٪"“”«»]') THEN 'LITERATURE_CLAIM'
+  WHEN regexp_matches({p}, {word_sql("i (?:think|believe)|we argue|in our view")}) THEN 'OPINION'
+  WHEN regexp_matches({p}, {word_sql("suggests?|implies?|therefore|thus")}) THEN 'INFERENCE'
+  WHEN n >= 4 THEN 'GENERAL_FACT' ELSE 'UNCERTAIN' END"""
+
+
+PLAIN_SQL = f"trim(regexp_replace({{}}, {MARKER_SQL}, '', 'g'), chr(9) || chr(10) || chr(13) || ' ')"
+COUNT_SQL = r"len(list_filter(regexp_split_to_array({}, '\s+'), lambda x: x <> ''))"
+
+
+@registered(f"WITH m AS (SELECT conv_id, turn, {PLAIN_SQL.format('text')} AS p FROM conversations), n AS (SELECT *, {COUNT_SQL.format('p')} AS n FROM m) SELECT conv_id, turn, {type_sql('p')} AS claim_type FROM n")
 def claim_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", claims.claim_type(F.col("text"), F.array().cast("array<string>")).alias("claim_type"))
 
 
+#: v: the rule cascade over every turn and the turn before it, from the texts alone.
+TURN_VERDICTS_SQL = f"""
+WITH t AS (SELECT c.conv_id, c.turn, c.role, {PLAIN_SQL.format("coalesce(c.text, '')")} AS claim, e.evidence FROM conversations c
+  LEFT JOIN (SELECT conv_id, turn + 1 AS turn, min(text) AS evidence FROM conversations GROUP BY ALL) e ON e.conv_id = c.conv_id AND e.turn = c.turn),
+p AS (SELECT conv_id, turn, claim, evidence FROM t WHERE evidence IS NOT NULL){WINDOWED_SQL}{RULED_SQL},
+u AS ({NUMBERS_SQL}),
+k AS (SELECT conv_id, turn, list_sort(list_filter(own, lambda x: NOT list_contains(there, x))) AS lacking, len(own) > 0 AS counted FROM u),
+j AS (SELECT q.conv_id, q.turn, len(quotes) > 0 AS quoting, len(list_filter(quotes, lambda x: NOT contains(evidence, x) AND NOT contains({FOLD_SQL.format("evidence")}, {FOLD_SQL.format("x")}))) = 0 AS quoted FROM q),
+a AS (SELECT t.*, {COUNT_SQL.format("t.claim")} AS n, k.* EXCLUDE (conv_id, turn), j.* EXCLUDE (conv_id, turn), r.c_not <> r.w_not AS negated, {FINDINGS_SQL} AS findings
+  FROM t LEFT JOIN k USING (conv_id, turn) LEFT JOIN j USING (conv_id, turn) LEFT JOIN r USING (conv_id, turn)),
+b AS (SELECT *, {type_sql("claim", "evidence IS NOT NULL")} AS claim_type FROM a),
+v AS (SELECT conv_id, turn, role, claim_type,
+  CASE WHEN claim_type <> 'LITERATURE_CLAIM' OR evidence IS NULL THEN 'UNVERIFIABLE' WHEN quoting AND NOT quoted THEN 'QUOTE_MISMATCH' WHEN len(lacking) > 0 OR negated THEN 'CONTRADICTED'
+       WHEN findings <> '' THEN 'PARTIALLY_SUPPORTED' ELSE 'UNVERIFIABLE' END AS verdict,
+  CASE WHEN claim_type <> 'LITERATURE_CLAIM' THEN claim_type || ' is not automatically treated as a cited literature claim' WHEN evidence IS NULL THEN '{verdicts.UNRESOLVED}'
+       WHEN quoting AND NOT quoted THEN '{verdicts.MISQUOTED}' WHEN len(lacking) > 0 THEN 'evidence lacks exact values: ' || array_to_string(lacking, ', ') WHEN negated THEN '{verdicts.NEGATED}'
+       ELSE concat_ws('; ', CASE WHEN quoting THEN '{verdicts.QUOTED}' END, CASE WHEN counted THEN '{verdicts.VALUES}' END, CASE WHEN findings <> '' THEN findings ELSE '{verdicts.NO_MODEL}' END) END AS reason FROM b)
+"""
+CONFIDENCE_SQL = "CASE WHEN verdict IN ('CONTRADICTED', 'QUOTE_MISMATCH') THEN 'HIGH' WHEN verdict = 'UNVERIFIABLE' THEN 'LOW' ELSE 'MEDIUM' END"
+
+
+def answers_with_evidence(turns: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, claim, evidence): every turn with the text of the turn before it; of repeated turns the least text is evidence."""
+    before = turns.groupBy("conv_id", (F.col("turn") + 1).alias("turn")).agg(F.min("text").alias("evidence"))
+    return turns.select("conv_id", "turn", "role", F.col("text").alias("claim")).join(before, ["conv_id", "turn"], "left")
+
+
+@registered(TURN_VERDICTS_SQL + f"SELECT conv_id, turn, role, claim_type, verdict, {CONFIDENCE_SQL} AS confidence, reason FROM v")
+def turn_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole cascade, in the default marker mode, for every turn against the turn before it."""
+    rows = verdicts.pair_verdicts(answers_with_evidence(table(spark, sf_dir, "conversations")), ["conv_id", "turn", "role"])
+    return rows.select("conv_id", "turn", "role", "claim_type", "verdict", "confidence", F.array_join("reasons", "; ").alias("reason"))
+
+
 @registered()
 def claim_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     drafts = marked_turns(spark, sf_dir).select(F.concat_ws("-", "conv_id", "turn").alias("draft_id"), "text")
