@@ -29,6 +29,18 @@ def mark_headings(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("body_size", body).withColumn("heading", F.coalesce(shape & (prominent | numbered), F.lit(False)))
 
 
+def text_pages(documents: DataFrame, lines_per_page: int, heading: str) -> DataFrame:
+    """Pages (document_id, filename, page, text, headings) of plain texts (document_id, filename, text), so many lines each.
+
+    A line that matches heading, a pattern for whole lines, is a heading. A null text has no page, an empty one a blank page.
+    """
+    if lines_per_page < 1:
+        raise ValueError("lines_per_page must be positive")
+    page = F.posexplode(F.transform(F.sequence(F.lit(0), ((F.size("lines") - 1) / lines_per_page).cast("int")), lambda i: F.slice("lines", i * lines_per_page + 1, F.lit(lines_per_page))))
+    rows = documents.where("text is not null").select("document_id", "filename", F.split("text", "\n").alias("lines")).select("document_id", "filename", page.alias("at", "part"))
+    return rows.select("document_id", "filename", (F.col("at") + 1).alias("page"), F.array_join("part", "\n").alias("text"), F.filter("part", lambda x: x.rlike(heading)).alias("headings"))
+
+
 def _cleaned(value: Column) -> Column:
     inner = F.regexp_replace(trim(value), "^\u0000+|\u0000+$", "")
     return F.when(inner != "", inner)
