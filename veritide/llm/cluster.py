@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,26 +45,24 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-_scratch: list[str] = []
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any store that Spark knows."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def stored(df: DataFrame, name: str) -> Iterator[DataFrame]:
     """The same rows read from a compressed table in the shared folder: smaller than a checkpoint, and read by column.
 
-    The table stays until clear_scratch() or the folder's own cleaning.
+    The table is the block's own and goes at its end, so what leaves the block must be a checkpoint.
     """
     path = fresh_path(df.sparkSession, name)
-    _scratch.append(path)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def clear_scratch(spark: SparkSession) -> None:
-    """Deletes what stored() wrote so far; for when the results that read it are written."""
-    paths = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    while _scratch:
-        path = paths(_scratch.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+        yield df.sparkSession.read.schema(df.schema).parquet(path)
+    finally:
+        delete(df.sparkSession, path)
 
 
 def release(spark: SparkSession) -> None:

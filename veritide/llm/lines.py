@@ -150,7 +150,7 @@ def _hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
 
 
 def repeated_lines(rows: DataFrame) -> DataFrame:
-    """(doc_id, line): places, from 0, of the lines that go. rows: doc_id bigint, text."""
+    """(doc_id, lines): places, from 0, of the lines that go, as a checkpoint. rows: doc_id bigint, text."""
     log2 = sketch.log2_cells(sketch.text_size(rows) // 100 * PER_LINE, PER_KEY)
     shared = rows.sparkSession.sparkContext.broadcast(sketch.build(rows, _hashes, log2, DEPTH, LEVELS))
 
@@ -191,17 +191,18 @@ def repeated_lines(rows: DataFrame) -> DataFrame:
                 )
         trim()
 
-    found = stored(rows.mapInArrow(points, SCHEMA), "lines")
-    shared.destroy()  # the table is written; the planes need no memory any more, here or there
-    shared = None
-    release(rows.sparkSession)
-    classes = class_of_points(found, line_set, PERCENT)
-    first = found.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "line")).alias("first"))
-    winners = cut(first.join(classes, ["f1", "f2"]))
-    best = winners.groupBy("component").agg(F.min("first").alias("stays"))
-    release(rows.sparkSession)
-    verdicts = cut(winners.join(best, "component").select("f1", "f2", "stays"))
-    return spread_join(found.select("f1", "f2", "doc_id", "line"), verdicts, ["f1", "f2"]).where(F.struct("doc_id", "line") != F.col("stays")).select("doc_id", "line")
+    with stored(rows.mapInArrow(points, SCHEMA), "lines") as found:
+        shared.destroy()  # the table is written; the planes need no memory any more, here or there
+        shared = None
+        release(rows.sparkSession)
+        classes = class_of_points(found, line_set, PERCENT)
+        first = found.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "line")).alias("first"))
+        winners = cut(first.join(classes, ["f1", "f2"]))
+        best = cut(winners.groupBy("component").agg(F.min("first").alias("stays"), F.count("*").alias("__n")))
+        release(rows.sparkSession)
+        verdicts = cut(spread_join(winners, best.select("component", "stays"), ["component"], counts=best).select("f1", "f2", "stays"))
+        gone = spread_join(found.select("f1", "f2", "doc_id", "line"), verdicts, ["f1", "f2"]).where(F.struct("doc_id", "line") != F.col("stays"))
+        return cut(gone.groupBy("doc_id").agg(F.collect_set("line").alias("lines")))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,7 +214,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     gone, key = "__veritide_gone", "__veritide_id"
-    cuts = cut(repeated_lines(rows).groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("line").alias(gone)))
+    cuts = repeated_lines(rows).select(F.col("doc_id").alias(key), F.col("lines").alias(gone))
     release(docs.sparkSession)
     touched = sketch.Membership(cuts.select(key))
     own = F.col(id_col).cast("bigint")

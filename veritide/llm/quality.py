@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritide.llm.cluster import cut, spread_join, stored
+from veritide.llm.cluster import cut, spread_join
 
 MIN_WORDS, REPEAT_PERCENT, RATE = 50, 50, 0.2
 SOFT = ("symbols", "word_length", "dup_lines")
@@ -126,7 +126,7 @@ def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own = F.struct(host_of(host_col).alias("host"), *[c.alias(n) for n, c in flags(f"{mark}_m").items()])
     marked = measured.withColumn(mark, own).drop(f"{mark}_m")
     text = F.when(~F.col(f"{mark}.base_failed"), F.col(f"`{text_col}`")).alias(text_col)
-    rows = stored(marked.select(*[text if c == text_col else F.col(f"`{c}`") for c in docs.columns], mark), "quality")
+    rows = cut(marked.select(*[text if c == text_col else F.col(f"`{c}`") for c in docs.columns], mark))
     bad = host_verdicts(rows.select(f"{mark}.*"))
     rows = rows.where(~F.col(f"{mark}.base_failed"))
     inner = _rejected(rows.select(f"{mark}.*", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(mark)), bad)

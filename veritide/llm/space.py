@@ -91,10 +91,12 @@ def class_of_points(points: DataFrame, decode: Decode, percent: int, cap: int =
     shared = sketch.Membership(led.select("key"))  # most keys belong to copies of one point, and go no further
     member = spread_join(by_key.where(shared("key")), led.select("key", "rid"), ["key"], counts=led.select("key", "__n"))
     homes = cut(member.groupBy("f1").agg(F.collect_set("rid").alias("rids")))
+    shared.close()
     release(spark)
     met = sketch.Membership(homes.select("f1"))
     payloads = able.where(met("f1")).groupBy("f1", "f2").agg(F.first("payload").alias("payload"))
     base = cut(payloads.join(homes, "f1").withColumn("pid", F.monotonically_increasing_id()))
+    met.close()
     release(spark)
     members = base.select(F.explode("rids").alias("rid"), "pid", "f1", F.lit(None).cast("bigint").alias("hint"), F.lit(False).alias("keyed"), "payload")
     near = components(join_regions(members, decode, percent, cap, trace))
@@ -165,7 +167,8 @@ def _divide(large: DataFrame, total, decode: Decode, percent: int, cap: int, dep
     """Links found in regions above cap (MEMBER and n), and the members of the regions that are left, as a checkpoint."""
     spark, half = large.sparkSession, max(1, cap // 2)
     rank = F.row_number().over(Window.partitionBy("rid").orderBy(F.col("hint").isNotNull(), F.xxhash64("pid", F.lit(depth)), "pid"))
-    pivots = cut(large.withColumn("j", rank - 1).where(F.col("j") < PIVOTS).select("rid", "j", "pid", "n", "payload"))
+    # compared as it is, the rank limits each task's rows before they are shuffled
+    pivots = cut(large.withColumn("rank", rank).where(F.col("rank") <= PIVOTS).select("rid", (F.col("rank") - 1).alias("j"), "pid", "n", "payload"))
     chunks = F.ceil(F.col("n") / half).cast("int")
     one = large.select("rid", F.pmod(F.xxhash64("pid"), chunks).cast("int").alias("chunk"), F.lit(PIVOTS).alias("j"), *[c for c in COLUMNS if c != "rid"])
     two = pivots.select("rid", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), "j", "pid", F.lit(0).cast("bigint").alias("f1"), F.lit(None).cast("bigint").alias("hint"), F.lit(False).alias("keyed"), "payload")
