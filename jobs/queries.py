@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,12 +9,7 @@ from pyspark.sql import functions as F
 
 from jobs import index_documents, review_answers
 from veritide.plans import catalogue
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A folder that no other call uses, under spark.checkpoint.dir; a session without one, as in tests, gets a temporary folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="veritide-jobs-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from veritide.sources.tables import new_folder
 
 
 def job1_index_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

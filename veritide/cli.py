@@ -58,7 +58,7 @@ class Application:
         return search_chunks(self.store.read("chunks"), asked, self.embedder, self.reranker, self.config, top_k, where).orderBy("position")
 
     def reference(self, citation_id: str) -> dict | None:
-        row = self.store.read("chunks").where(F.col("citation_id") == citation_id).drop("embedding").first()
+        row = self.store.find([citation_id]).drop("embedding").first()
         return row.asDict(recursive=True) if row else None
 
     def documents_list(self) -> DataFrame:
@@ -136,8 +136,8 @@ def _ingest(app: Application, o: argparse.Namespace) -> Outcome:
 
 def _prune(app: Application, o: argparse.Namespace) -> Outcome:
     rows = _rows(app.prune(o.path, o.dry_run))
-    lines = [f"{r['reason']}\t{r['source_path']}\t{r['chunk_count']}" for r in rows]
-    return Outcome([*lines, f"{len(rows)} stale entries{' (dry run: kept)' if o.dry_run else ''}"])
+    lines = [f"{r['reason']}\t{r['source_path']}\t{r['error'] or r['chunk_count']}" for r in rows]
+    return Outcome([*lines, f"{len(rows)} stale entries{' (dry run: kept)' if o.dry_run else ''}"], int(any(r["error"] for r in rows)))
 
 
 def _search(app: Application, o: argparse.Namespace) -> Outcome:

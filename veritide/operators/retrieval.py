@@ -75,6 +75,15 @@ def unit_rows(vectors: pa.Array) -> np.ndarray:
         return flat / norm
 
 
+def _best_of(found: pa.Table, limit: int, id_col: str) -> pa.Table:
+    """Of rows (query, id, vector_score) the best of every query, ties by id."""
+    found = found.take(pa.compute.sort_indices(found, [("query", "ascending"), ("vector_score", "descending"), (id_col, "ascending")]))
+    query = found["query"].to_numpy()
+    first = np.flatnonzero(np.append(True, query[1:] != query[:-1])) if len(query) else np.zeros(0, np.int64)
+    rank = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+    return found.filter(pa.array(rank < limit))
+
+
 def _scorer(queries: pa.Table, limit: int, schema: str, id_col: str):
     ids, vectors = queries["query_id"].combine_chunks(), queries["embedding"].combine_chunks()
 
@@ -82,26 +91,27 @@ def _scorer(queries: pa.Table, limit: int, schema: str, id_col: str):
         if not len(ids):
             return
         q = unit_rows(vectors)
-        best: list[tuple[np.ndarray, list]] = [(np.zeros(0), []) for _ in range(len(q))]
-        kind = None
-        step = max(1, SCORES // len(q))  # a bounded number of scores at a time
+        held: list[pa.Table] = []
+        step = max(limit, SCORES // len(q))  # a bounded number of scores at a time
         for batch in (whole.slice(at, step) for whole in batches for at in range(0, len(whole), step)):
             batch = batch.filter(pa.compute.is_valid(batch.column(1)))
             if not len(batch):
                 continue
-            names, kind = batch.column(0).to_pylist(), batch.column(0).type
+            batch = batch.take(pa.compute.sort_indices(batch.column(0)))  # of equal scores the least ids come first
             scores = np.round(q @ unit_rows(batch.column(1)).T, 9)
-            for i in range(len(q)):
-                ok = np.flatnonzero(~np.isnan(scores[i]))
-                if len(ok) > limit:
-                    floor = np.partition(scores[i][ok], -limit)[-limit]
-                    ok = ok[scores[i][ok] >= floor]
-                s, n = np.concatenate([best[i][0], scores[i][ok]]), best[i][1] + [names[j] for j in ok]
-                order = sorted(range(len(s)), key=lambda j: (-s[j], n[j]))[:limit]
-                best[i] = (s[order], [n[j] for j in order])
-        for i, (s, n) in enumerate(best):
-            if len(s):
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i].as_py()] * len(s), ids.type), pa.array(n, kind), pa.array(s)], names=["query_id", id_col, "vector_score"])
+            # one integer a score, unlike all others of its row: the score in units of 1e-9, then the place in the batch
+            key = np.where(np.isnan(scores), -(1 << 62), np.rint(np.nan_to_num(scores) * 1e9).astype(np.int64) * step + (step - 1 - np.arange(len(batch))))
+            top = np.argpartition(-key, limit - 1, axis=1)[:, :limit] if len(batch) > limit else np.broadcast_to(np.arange(len(batch)), scores.shape)
+            who, place = np.repeat(np.arange(len(q)), top.shape[1]), top.ravel()
+            score = scores[who, place]
+            sound = ~np.isnan(score)
+            held.append(pa.table({"query": who[sound], id_col: batch.column(0).take(pa.array(place[sound])), "vector_score": score[sound]}))
+            if sum(map(len, held)) > 4 * limit * len(q):
+                held = [_best_of(pa.concat_tables(held), limit, id_col)]
+        if held:
+            best = _best_of(pa.concat_tables(held), limit, id_col)
+            out = pa.table({"query_id": ids.take(best["query"].combine_chunks()), id_col: best[id_col], "vector_score": best["vector_score"]})
+            yield from out.combine_chunks().to_batches()
 
     return run
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritide.functions import scoring
@@ -656,6 +656,39 @@ def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.upsert(old, d.select(key(3), F.md5(F.concat(F.coalesce("text", F.lit("")), F.lit("+"))).alias("body"), F.col("doc_id").alias("batch_pos")))
 
 
+@registered(PAGES + """, n AS (SELECT *, CAST(document_id AS BIGINT) AS k FROM pg)
+SELECT document_id, page, CASE WHEN k % 3 = 0 THEN 'second' ELSE 'first' END AS document_hash, md5(CASE WHEN k % 3 = 0 THEN 'v2 ' || text ELSE text END) AS text_md5,
+  CASE WHEN k % 3 = 0 THEN 2 ELSE 1 END AS chunk_count FROM n WHERE k % 7 <> 6""")
+def store_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store of all pages on disk, then a commit that changes every third document and one that removes every seventh: what readers find afterwards."""
+    from veritide.sources.tables import CHUNKS, MANIFEST, Store, names_of, new_folder
+
+    at = Store(spark, new_folder(spark, "store"), buckets=8)
+    k = F.col("document_id").cast("bigint")
+
+    def rows(pages: DataFrame, names: list[str], types: str, **values: Column) -> DataFrame:
+        kinds = dict(f.split(" ", 1) for f in types.split(", "))
+        made = pages.withColumns(values)
+        return made.select(*[(F.col(n) if n in made.columns else F.lit(None)).cast(kinds[n]).alias(n) for n in names])
+
+    def write(pages: DataFrame, digest: str, count: int) -> None:
+        mark = F.concat_ws("-", "document_id", "page")
+        chunks = rows(pages, names_of(CHUNKS), CHUNKS, document_hash=F.lit(digest), citation_id=mark, embedding=F.array(F.lit(0.0), F.lit(1.0)))
+        entries = rows(pages.select("document_id", F.col("source").alias("source_path")).distinct(), names_of(MANIFEST), MANIFEST, document_hash=F.lit(digest), chunk_count=F.lit(count))
+        ids = pages.select("document_id").distinct()
+        swap = lambda new: lambda old: old.join(ids, "document_id", "left_anti").unionByName(new)
+        at.check(chunks)
+        at.commit(ids, swap(chunks), swap(entries))
+
+    pages = corpus_pages(spark, sf_dir)
+    write(pages, "first", 1)
+    write(pages.where(k % 3 == 0).withColumn("text", F.concat(F.lit("v2 "), "text")), "second", 2)
+    gone = pages.where(k % 7 == 6).select("document_id").distinct()
+    at.commit(gone, lambda old: old.join(gone, "document_id", "left_anti"), lambda old: old.join(gone, "document_id", "left_anti"))
+    at.vacuum()
+    return at.read("chunks").join(at.read("manifest").select("document_id", "document_hash", "chunk_count"), ["document_id", "document_hash"]).select("document_id", "page", "document_hash", F.md5("text").alias("text_md5"), "chunk_count")
+
+
 GROUPED = "WITH g AS (SELECT source AS document_id, lang AS document_hash, doc_id FROM documents)"
 
 

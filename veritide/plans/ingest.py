@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,8 @@ def ingest(store: Store, listing: DataFrame, extractor: Extractor, embedder: Emb
 
     Unchanged files are neither extracted nor embedded. New chunks replace rows of equal citation id; rows
     of a changed document's other hashes go in the same commit. A file that fails keeps what it had. Every file
-    is extracted once and every chunk embedded once: both are staged beside the store, as is the report.
+    is extracted once and every chunk embedded once: both are staged beside the store, as is the report. The commit
+    rewrites the buckets of new and changed documents only.
     """
     manifest = store.read("manifest")
     diff = store.stage(ops.diff_sources(listing.select("source_path", "current_hash"), manifest))
@@ -44,15 +46,19 @@ def ingest(store: Store, listing: DataFrame, extractor: Extractor, embedder: Emb
     failed = pages.where("error is not null").select("source_path", "error")
     arriving = store.stage(new_chunks(pages.where("error is null"), embedder, config))
     done = diff.where("status <> 'unchanged'").join(failed.select("source_path"), "source_path", "left_anti")
-    kept = store.read("chunks").join(done.select("document_id"), "document_id", "left_anti")
-    merged = ops.upsert(kept, arriving.withColumn("batch_pos", F.col("chunk_index")))
+    store.check(arriving)
     counts = arriving.groupBy("document_id").agg(F.count("*").cast("int").alias("chunk_count"))
     entries = done.join(counts, "document_id", "left").select(
         "source_path", "document_id", F.col("current_hash").alias("document_hash"), F.current_timestamp().alias("indexed_at"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count")
     )
-    version = store.commit(merged, manifest.join(done.select("source_path"), "source_path", "left_anti").unionByName(entries))
-    fresh = store.spark.read.parquet(f"{store.root}/manifest-{version}").select("source_path", "chunk_count")
-    report = diff.join(failed, "source_path", "left").join(fresh, "source_path", "left")
+    gone = done.select("document_id")
+    store.commit(
+        gone,
+        lambda old: ops.upsert(old.join(gone, "document_id", "left_anti"), arriving.withColumn("batch_pos", F.col("chunk_index"))),
+        lambda old: old.join(done.select("source_path"), "source_path", "left_anti").unionByName(entries),
+    )
+    now = manifest.join(done.select("source_path"), "source_path", "left_anti").select("source_path", "chunk_count").unionByName(entries.select("source_path", "chunk_count"))
+    report = diff.join(failed, "source_path", "left").join(now, "source_path", "left")
     status = F.when(F.col("error").isNotNull(), "failed").otherwise(F.col("status"))
     told = store.stage(report.select("source_path", status.alias("status"), "document_id", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), "error"))
     store.unstage(keep=1)
@@ -60,12 +66,34 @@ def ingest(store: Store, listing: DataFrame, extractor: Extractor, embedder: Emb
 
 
 def prune(store: Store, listing: DataFrame, scope: str | None = None, dry_run: bool = False) -> DataFrame:
-    """What was, or in a dry run would be, removed: entries in scope without a source, then chunks that no entry claims."""
-    manifest, chunks = store.read("manifest"), store.read("chunks")
-    report = ops.prune_report(manifest, chunks, listing, scope, dry_run)
+    """What was, or in a dry run would be, removed, with error: entries in scope without a source, then chunks that no entry claims.
+
+    All goes in one commit. If that fails, each bucket is tried on its own: items of buckets that can't be
+    rewritten stay in the store, and have the reason as error.
+    """
+    report = store.stage(ops.prune_report(store.read("manifest"), store.read("chunks"), listing, scope, dry_run))
+    errors: dict[int, str] = {}
     if not dry_run:
-        gone = ops.missing_sources(manifest, listing, scope).select("source_path")
-        left = manifest.join(gone, "source_path", "left_anti")
-        stay = left.select("document_id", "document_hash").distinct()
-        store.commit(chunks.join(stay, ["document_id", "document_hash"], "left_semi"), left)
-    return report
+        missing = report.where("reason = 'missing_source'").select("document_id", "document_hash")
+        doomed = report.select("document_id", "document_hash").distinct()
+        pair = ["document_id", "document_hash"]
+
+        def remove(touched: DataFrame) -> None:
+            store.commit(touched, lambda old: old.join(doomed, pair, "left_anti"), lambda old: old.join(missing, pair, "left_anti"))
+
+        touched = doomed.select("document_id")
+        if not touched.isEmpty():
+            try:
+                remove(touched)
+            except PySparkException:
+                own = store.bucket_of(F.col("document_id"))
+                for bucket in sorted(r[0] for r in touched.select(own).distinct().collect()):
+                    try:
+                        remove(touched.where(own == bucket))
+                    except PySparkException as e:
+                        errors[bucket] = str(e).split("\n")[0]
+    known = store.spark.createDataFrame(list(errors.items()), "__bucket int, error string")
+    told = report.withColumn("__bucket", store.bucket_of(F.col("document_id"))).join(F.broadcast(known), "__bucket", "left").drop("__bucket")
+    told = store.stage(told)
+    store.unstage(keep=1)
+    return told

@@ -10,6 +10,9 @@ from veritide.functions.scoring import Embedder, PairScorer, embedding_of, pair_
 from veritide.operators import retrieval
 
 
+SHORTLIST_ROWS = 500_000
+
+
 def search_chunks(chunks: DataFrame, asked: DataFrame, embedder: Embedder, reranker: PairScorer, config: EngineConfig = EngineConfig(), top_k: int | None = None, where: Column | None = None) -> DataFrame:
     """Results (query_id, position, chunk columns, vector_score, relevance_score) for asked (query_id, query).
 
@@ -20,8 +23,11 @@ def search_chunks(chunks: DataFrame, asked: DataFrame, embedder: Embedder, reran
     asked = asked.where(F.trim("query") != "")
     stored = chunks if where is None else chunks.where(where)
     vectors = asked.select("query_id", embedding_of(F.col("query"), embedder).alias("embedding"))
-    best = retrieval.top_many(stored, vectors, max(top_k, config.vector_candidates))
-    short = best.join(stored.drop("embedding"), "citation_id").join(asked, "query_id")
+    limit = max(top_k, config.vector_candidates)
+    best = retrieval.top_many(stored, vectors, limit)
+    # a shortlist has limit rows a query, so its size is known; while small it goes to the texts, not the texts to it
+    small = asked.count() * limit <= SHORTLIST_ROWS
+    short = stored.drop("embedding").join(F.broadcast(best) if small else best, "citation_id").join(asked, "query_id")
     scored = short.withColumn("relevance_score", pair_score(F.col("query"), F.col("text"), reranker))
     unique = retrieval.near_duplicates_out(retrieval.rerank(scored), config.deduplication_threshold)
     return retrieval.select_results(unique, top_k, config.source_diversity)
