@@ -37,7 +37,7 @@ from veritide.llm.cluster import components, cut, partitions, release, spread_jo
 from veritide.llm.regions import EPS, linked
 from veritide.llm.words import trim
 
-CAP, PIVOTS, LEVELS, SHRINK, STAY, FEW_REGIONS = 256, 6, 8, 0.5, 0.7, 200_000
+CAP, PIVOTS, LEVELS, SHRINK, STAY, FEW_REGIONS = 2048, 6, 8, 0.5, 0.7, 200_000
 MEMBER = "rid bigint, pid bigint, f1 bigint, hint bigint, keyed boolean, payload binary"
 COLUMNS = ("rid", "pid", "f1", "hint", "keyed", "payload")
 Decode = Callable[[bytes], np.ndarray]
