@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import importlib
 import json
+import os
 import sys
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -32,20 +33,20 @@ NOTE = "Suggestions only: no draft is changed."
 class Application:
     """The engine's services over one store and one folder of documents. Models and the extractor can be replaced."""
 
-    def __init__(self, spark: SparkSession, data: str, documents: str, config: EngineConfig = EngineConfig(), embedder=None, reranker=None, entailment=None, extractor=None):
+    def __init__(self, spark: SparkSession, data: str, documents: str, config: EngineConfig = EngineConfig(), embedder=None, reranker=None, entailment=None, extractor=None, recogniser=None):
         self.spark, self.config, self.documents, self.data = ship(spark), config, documents, data
         self.embedder, self.reranker, self.entailment = embedder or HashEmbedder(), reranker or OverlapReranker(), entailment or OverlapEntailment()
-        self.extractor = extractor
+        self.extractor, self.recogniser = extractor, recogniser
         self.store = Store(spark, f"{data}/store", self.embedder.dimension)
 
     def listing(self, path: str | None = None) -> DataFrame:
         return pdf_listing(self.spark, path or self.documents, self.documents)
 
-    def ingest(self, path: str) -> DataFrame:
+    def ingest(self, path: str, on_progress=None) -> DataFrame:
         check_path(path)
         if self.extractor is None:
             raise RuntimeError("no PDF extractor is configured (--extractor module:function)")
-        return ingest(self.store, self.listing(path), self.extractor, self.embedder, self.config)
+        return ingest(self.store, self.listing(path), self.extractor, self.embedder, self.config, recogniser=self.recogniser, on_progress=on_progress)
 
     def prune(self, path: str | None = None, dry_run: bool = False) -> DataFrame:
         return prune(self.store, self.listing().select("source_path", "current_hash"), path, dry_run)
@@ -59,7 +60,12 @@ class Application:
 
     def reference(self, citation_id: str) -> dict | None:
         row = self.store.find([citation_id]).drop("embedding").first()
-        return row.asDict(recursive=True) if row else None
+        if row is None:
+            return None
+        found = row.asDict(recursive=True)
+        if found["source_path"] and not os.path.isabs(found["source_path"]):
+            found["source_path"] = os.path.abspath(os.path.join(self.documents, found["source_path"]))
+        return found
 
     def documents_list(self) -> DataFrame:
         return ops.listed(self.store.read("manifest"))
@@ -128,10 +134,12 @@ def _rows(frame: DataFrame) -> list[dict]:
 
 
 def _ingest(app: Application, o: argparse.Namespace) -> Outcome:
-    rows = _rows(app.ingest(o.path).orderBy("source_path"))
+    say = lambda step, counts: sys.stderr.write(f"{step}: {', '.join(f'{v} {k}' for k, v in counts.items())}\n")
+    rows = _rows(app.ingest(o.path, say).orderBy("source_path"))
     lines = [f"{r['source_path']}\t{r['status']}\t{r['error'] or r['chunk_count']}" for r in rows]
+    warnings = [f"{r['source_path']}: {w}" for r in rows for w in r["warnings"]]
     by_status = {s: sum(r["status"] == s for r in rows) for s in ("new", "changed", "unchanged", "failed")}
-    return Outcome([*lines, ", ".join(f"{n} {s}" for s, n in by_status.items())], int(by_status["failed"] > 0))
+    return Outcome([*lines, ", ".join(f"{n} {s}" for s, n in by_status.items())], int(by_status["failed"] > 0), warnings)
 
 
 def _prune(app: Application, o: argparse.Namespace) -> Outcome:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
@@ -14,7 +15,7 @@ from veritide.functions.text import fold
 
 
 class Embedder(Protocol):
-    """Unit vectors for texts; made once for each Python worker."""
+    """Unit vectors for texts. A models.Lazy stands for one that each Python worker loads once."""
 
     dimension: int
 
@@ -76,10 +77,11 @@ class OverlapEntailment:
 def embedding_of(text: Column, embedder: Embedder, batch_size: int | None = None) -> Column:
     """Vectors of a text column, the model getting batch_size texts at a time (an Arrow batch, if None); null texts embed as empty."""
 
-    def run(texts: pd.Series) -> pd.Series:
-        plain = [t or "" for t in texts]
-        size = batch_size or len(plain) or 1
-        return pd.Series([v for at in range(0, len(plain), size) for v in embedder.embed(plain[at : at + size])])
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            plain = [t or "" for t in texts]
+            size = batch_size or len(plain) or 1
+            yield pd.Series([v for at in range(0, len(plain), size) for v in embedder.embed(plain[at : at + size])])
 
     return F.pandas_udf(run, "array<double>")(text)
 
@@ -87,8 +89,12 @@ def embedding_of(text: Column, embedder: Embedder, batch_size: int | None = None
 def pair_score(query: Column, passage: Column, scorer: PairScorer) -> Column:
     """Scores of pairs, in Arrow batches."""
 
-    def run(queries: pd.Series, passages: pd.Series) -> pd.Series:
-        return pd.Series(scorer.score(list(zip(queries.fillna(""), passages.fillna(""), strict=True))), dtype=float)
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for queries, passages in batches:
+            found = list(scorer.score(list(zip(queries.fillna(""), passages.fillna(""), strict=True))))
+            if len(found) != len(queries):
+                raise RuntimeError("the reranker gave another number of scores than there are pairs")
+            yield pd.Series(found, dtype=float)
 
     return F.pandas_udf(run, "double")(query, passage)
 
@@ -96,8 +102,9 @@ def pair_score(query: Column, passage: Column, scorer: PairScorer) -> Column:
 def entailment_of(premise: Column, hypothesis: Column, scorer: EntailmentScorer) -> Column:
     """array<double> of the three scores, in Arrow batches."""
 
-    def run(premises: pd.Series, hypotheses: pd.Series) -> pd.Series:
-        return pd.Series([list(map(float, x)) for x in scorer.score(list(zip(premises.fillna(""), hypotheses.fillna(""), strict=True)))])
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for premises, hypotheses in batches:
+            yield pd.Series([list(map(float, x)) for x in scorer.score(list(zip(premises.fillna(""), hypotheses.fillna(""), strict=True)))])
 
     return F.pandas_udf(run, "array<double>")(premise, hypothesis)
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Generator, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritide.functions import text as t
-from veritide.functions.patterns import NO_SPACE
+from veritide.functions.patterns import NO_SPACE, PARAGRAPH, UNIT_END
 
 
 #: Texts to their token counts.
@@ -52,6 +52,79 @@ def unit_counts(units: Column, counter: Counter | None) -> Column:
     return F.pandas_udf(run, "array<int>")(units)
 
 
+def _pieces(text: str, target: int) -> Generator[str, int, list[str]]:
+    """A generator that asks for counts: yields texts to count, is sent their counts, and returns the longest prefixes within target.
+
+    Each end is found by bisection, as the longest length whose half-way tests all fit; a counter need not be additive or grow
+    with the text. A piece has one character at least.
+    """
+    out, start = [], 0
+    while start < len(text):
+        low, high = start + 1, len(text)
+        while low < high:
+            middle = (low + high + 1) // 2
+            fits = (yield text[start:middle]) <= target
+            low, high = (middle, high) if fits else (low, middle - 1)
+        out.append(text[start:low])
+        start = low
+    return out
+
+
+def counted_units(paragraphs: list[list[list[str]]], target: int, counter: Counter) -> list[list[str]]:
+    """units() by a model's counter, for many pages at once: each page a list of paragraphs, each of these the list of its sentences.
+
+    Paragraphs that fit stay whole, else sentences that fit, else longest prefixes. Pages advance side by side, so that a
+    call of the counter gets one text from every page that still splits.
+    """
+    whole = ["".join(p) for page in paragraphs for p in page]
+    size = iter(counter(whole)) if whole else iter(())
+    split = [[next(size) > target for _ in page] for page in paragraphs]
+    loose = [s for page, long in zip(paragraphs, split, strict=True) for p, more in zip(page, long, strict=True) if more for s in p]
+    size = iter(counter(loose)) if loose else iter(())
+    out, waiting = [], []
+    for page, long in zip(paragraphs, split, strict=True):
+        units: list = []
+        for p, more in zip(page, long, strict=True):
+            if not more:
+                units.append("".join(p))
+                continue
+            for s in p:
+                if next(size) <= target:
+                    units.append(s)
+                else:
+                    waiting.append((units, len(units), _pieces(s, target)))
+                    units.append(s)
+        out.append(units)
+    asked = [(units, at, split, next(split, None)) for units, at, split in waiting]
+    done: list[tuple[list, int, list[str]]] = []
+    live = []
+    for units, at, pieces, text in asked:
+        live.append((units, at, pieces, text)) if text is not None else done.append((units, at, [units[at]]))
+    while live:
+        counts = counter([text for *_, text in live])
+        following = []
+        for (units, at, pieces, _), n in zip(live, counts, strict=True):
+            try:
+                following.append((units, at, pieces, pieces.send(n)))
+            except StopIteration as end:
+                done.append((units, at, end.value))
+        live = following
+    for units, at, pieces in sorted(done, key=lambda d: -d[1]):  # from the back, so that places stay right
+        units[at : at + 1] = pieces
+    return out
+
+
+def units_by(text: Column, target: int, counter: Counter) -> Column:
+    """Units of a text under a model's counter: cut at paragraphs and sentences in the JVM, counted in Arrow batches."""
+    sentences = F.transform(t.split_after(text, PARAGRAPH), lambda x: F.filter(F.split(x, UNIT_END), lambda s: s != ""))
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for pages in batches:
+            yield pd.Series(counted_units([[list(p) for p in page] if page is not None else [] for page in pages], target, counter))
+
+    return F.pandas_udf(run, "array<string>")(sentences)
+
+
 def page_windows(counts: Column, target: int, overlap: int) -> Column:
     """Windows over an array of unit counts."""
 
@@ -65,7 +138,8 @@ def page_chunks(pages: DataFrame, target: int = 512, overlap: int = 64, counter:
     """pages with one row a window: pos (its place on the page), chunk (exact text) and chunk_tokens (sum of its units' counts)."""
     if not 0 <= overlap < target:
         raise ValueError("overlap must be at least 0 and smaller than target")
-    rows = pages.withColumn("__units", t.units(F.coalesce("text", F.lit("")), target))
+    whole = F.coalesce("text", F.lit(""))
+    rows = pages.withColumn("__units", t.units(whole, target) if counter is None else units_by(whole, target, counter))
     rows = rows.withColumn("__counts", unit_counts(F.col("__units"), counter))
     rows = rows.withColumn("__windows", page_windows(F.col("__counts"), target, overlap))
     rows = rows.select("*", F.posexplode("__windows").alias("pos", "__w"))
@@ -92,7 +166,7 @@ def chunk_pages(pages: DataFrame, target: int = 512, overlap: int = 64, counter:
 
     Sections run on from page to page of a document until a heading replaces them; chunk_index counts
     from 0 in a document. The stored text is the text that the fingerprint covers. counter, a model's own token
-    counter, sizes windows in place of the approximate count; units are split by the approximate one.
+    counter, splits units and sizes windows in place of the approximate count.
     """
     rows = page_chunks(pages, target, overlap, counter)
     rows = rows.withColumn("__own", own_section(F.col("text"), F.col("headings"), F.col("chunk")))

@@ -775,6 +775,45 @@ def metadata_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.parse_metadata(raw).select("page_id", "meta.title", F.array_join("meta.authors", "|").alias("authors"), F.col("meta.year").cast("string").alias("year"), "meta.doi")
 
 
+_UNREAD, _TAG = layout.UNREAD, layout.BLOCK_TAG
+_ENTITIES = "regexp_replace(raw, '<[^>]*>', '', 'g')"
+for _name, _sign in layout.ENTITIES.items():
+    _ENTITIES = f"replace({_ENTITIES}, '{_name}', '{_sign.replace(chr(39), chr(39) * 2)}')"
+HTML_BLOCKS = rf"""
+WITH RECURSIVE hp AS (SELECT page_id, string_split(regexp_replace(regexp_replace(translate(html, chr(1) || chr(2), ''), '{_UNREAD}', ' ', 'g'), '{_TAG}', chr(1) || '\1' || chr(2), 'g'), chr(1)) AS parts FROM pages),
+hx AS (SELECT page_id, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS pos FROM hp),
+hr AS (SELECT page_id, pos, lower(regexp_extract(part, '^([^\x02]*)\x02', 1)) AS tag, regexp_replace(part, '^[^\x02]*\x02', '') AS raw FROM hx),
+hb AS (SELECT page_id, pos, trim(regexp_replace({_ENTITIES}, '[\s\x0b\x85\p{{Z}}]+', ' ', 'g')) AS text,
+  CASE tag {" ".join(f"WHEN '{k}' THEN {v}" for k, v in layout.SIZES.items())} ELSE {layout.BODY_SIZE} END AS size, regexp_matches(raw, '(?i)^\s*<(?:b|strong)\b[^>]*>') AS bold FROM hr),
+hm AS (SELECT *, coalesce(median(CASE WHEN length(text) >= 40 THEN size END) OVER w, median(size) OVER w) AS body FROM hb WHERE text <> '' WINDOW w AS (PARTITION BY page_id)),
+hh AS (SELECT *, length(text) <= 120 AND right(text, 1) NOT IN ('.', '!', '?', '؟', ';', '؛', ',', '،') AND (size >= body * 1.15 OR (bold AND size >= body)
+  OR (regexp_matches(text, '(?i)^\s*(?:\d+(?:\.\d+)*[.)]?|[IVXLC]+[.)])\s+\S') AND size >= body * 0.95)) AS heading FROM hm)
+"""
+
+
+def _page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.html_blocks(table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("document_id"), "html"))
+
+
+@registered(HTML_BLOCKS + "SELECT CAST(page_id AS VARCHAR) AS document_id, CAST(pos AS INT) AS pos, size::DOUBLE AS font_size, bold, heading, md5(text) AS text_md5 FROM hh")
+def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of text of all web pages, with the headings that their layout tells."""
+    return layout.mark_headings(_page_blocks(spark, sf_dir)).select("document_id", "pos", "font_size", "bold", "heading", F.md5("text").alias("text_md5"))
+
+
+@registered(HTML_BLOCKS + """, pg AS (SELECT CAST(page_id AS VARCHAR) AS document_id, CAST(1 AS INT) AS page, string_agg(text, chr(10) || chr(10) ORDER BY pos) AS text, list(text ORDER BY pos) FILTER (heading) AS heads FROM hh GROUP BY page_id),
+pq AS (SELECT CAST(page_id AS VARCHAR) AS document_id, CAST(1 AS INT) AS page, pos AS k, text || CASE WHEN pos < max(pos) OVER (PARTITION BY page_id) THEN chr(10) || chr(10) ELSE '' END AS text FROM hh)"""
++ WINDOWS.removeprefix(PAGES).replace(", 1) AS i FROM pg)", ", 1) + 10000 * k AS i FROM pq)")  # a block is a paragraph
++ """, o AS (SELECT ch.*, list_max(list_filter(list_transform(heads, lambda h: {'at': strpos(text, h), 'h': h}), lambda x: x.at > 0 AND x.at <= strpos(text, chunk))).h AS own FROM ch JOIN pg USING (document_id, page))
+SELECT document_id, CAST(row_number() OVER w - 1 AS INT) AS chunk_index, md5(last_value(own IGNORE NULLS) OVER w) AS section_md5,
+ 'page-' || document_id || '_p1_c_' || substr(sha256(document_id || chr(0) || page || chr(0) || chunk), 1, 16) AS citation_id
+FROM o WINDOW w AS (PARTITION BY document_id ORDER BY page, s ROWS UNBOUNDED PRECEDING)""")
+def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From blocks to sections: web pages' blocks as paragraphs, their headings as sections of the chunks."""
+    pages = layout.block_pages(_page_blocks(spark, sf_dir)).withColumn("filename", F.concat(F.lit("page-"), "document_id", F.lit(".html")))
+    return chunking.chunk_pages(pages).select("document_id", "chunk_index", F.md5("section").alias("section_md5"), "citation_id")
+
+
 def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").select(F.col("quality").cast("string").alias("expected"), (F.col("doc_id") % 2).cast("string").alias("predicted"))
 

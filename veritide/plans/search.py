@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritide.config import EngineConfig
+from veritide.functions.patterns import NO_SPACE
 from veritide.functions.scoring import Embedder, PairScorer, embedding_of, pair_score
 from veritide.operators import retrieval
 
@@ -16,17 +17,21 @@ SHORTLIST_ROWS = 500_000
 def search_chunks(chunks: DataFrame, asked: DataFrame, embedder: Embedder, reranker: PairScorer, config: EngineConfig = EngineConfig(), top_k: int | None = None, where: Column | None = None) -> DataFrame:
     """Results (query_id, position, chunk columns, vector_score, relevance_score) for asked (query_id, query).
 
-    Blank queries are left out. Vectors of the store are read once for all queries; only the shortlists
-    of each query reach the reranker.
+    A null or blank query and a top_k below 1 are refused. Vectors of the store are read once for all queries; only the
+    shortlists of each query reach the reranker.
     """
-    top_k = top_k or config.result_count
-    asked = asked.where(F.trim("query") != "")
+    top_k = config.result_count if top_k is None else top_k
+    if top_k < 1:
+        raise ValueError("top_k must be positive")
+    n, blank = asked.agg(F.count("*"), F.count_if(F.col("query").isNull() | ~F.col("query").rlike(NO_SPACE))).first()
+    if blank:
+        raise ValueError(f"query must not be empty ({blank} of {n} are)")
     stored = chunks if where is None else chunks.where(where)
     vectors = asked.select("query_id", embedding_of(F.col("query"), embedder).alias("embedding"))
     limit = max(top_k, config.vector_candidates)
     best = retrieval.top_many(stored, vectors, limit)
     # a shortlist has limit rows a query, so its size is known; while small it goes to the texts, not the texts to it
-    small = asked.count() * limit <= SHORTLIST_ROWS
+    small = n * limit <= SHORTLIST_ROWS
     short = stored.drop("embedding").join(F.broadcast(best) if small else best, "citation_id").join(asked, "query_id")
     scored = short.withColumn("relevance_score", pair_score(F.col("query"), F.col("text"), reranker))
     unique = retrieval.near_duplicates_out(retrieval.rerank(scored), config.deduplication_threshold)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 CHUNKS = (
     "document_id string, document_hash string, source_path string, filename string, title string, authors array<string>, year int, doi string, source_type string, "
-    "page int, section string, chunk_index int, text string, citation_id string, fingerprint string, embedding array<double>"
+    "page int, section string, chunk_index int, text string, citation_id string, fingerprint string, page_count int, embedding array<double>"
 )
 MANIFEST = "source_path string, document_id string, document_hash string, indexed_at timestamp, chunk_count int"
 SCHEMAS = {"chunks": CHUNKS, "manifest": MANIFEST}
