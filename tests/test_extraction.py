@@ -192,7 +192,7 @@ def test_headings_come_from_blocks(spark, folder):
             if r["page"] == 1 and page.find(heading) <= page.find(r["text"]):
                 section = heading
         want.append(section)
-    assert [r["section"] for r in rows] == want and set(want) == {"Methods", "Bold words"} and {r["page_count"] for r in rows} == {2}
+    assert [r["section"] for r in rows] == want and set(want) == {"Methods", "2. Numbered part"} and {r["page_count"] for r in rows} == {2}
     pages = extract_pages(app.listing(), blocks_extractor)
     assert {tuple(r["headings"]) for r in layout.mark_pages(pages.where("filename = 'laid.pdf' and page = 1")).collect()} == {("Methods", "2. Numbered part", "Bold words")}
 
