@@ -27,9 +27,19 @@ def trim(text: Column) -> Column:
     return F.regexp_replace(text, p.TRIM, "")
 
 
+def word_count(text: Column) -> Column:
+    """Words and single symbols."""
+    return F.regexp_count(text, F.lit(p.TOKEN))
+
+
+def tokens_of(words: Column) -> Column:
+    """The token count of a text of so many words and symbols, unless it is empty."""
+    return F.greatest(F.lit(1), F.rint(words * 1.3).cast("int"))
+
+
 def token_count(text: Column) -> Column:
     """1.3 times the words and single symbols, rounded half to even, at least 1; 0 for the empty text."""
-    return F.when(text == "", F.lit(0)).otherwise(F.greatest(F.lit(1), F.rint(F.regexp_count(text, F.lit(p.TOKEN)) * 1.3).cast("int")))
+    return F.when(text == "", F.lit(0)).otherwise(tokens_of(word_count(text)))
 
 
 def sentences(text: Column) -> Column:
@@ -56,16 +66,18 @@ def hard_split(text: Column, target: int) -> Column:
     return F.regexp_extract_all(text, F.lit(piece), 0)
 
 
-def counts_within(text: Column, target: int) -> Column:
-    """token_count(text) <= target; no text has more words and symbols than characters."""
-    return (F.length(text) <= tokens_within(target)) | (token_count(text) <= target)
+def units_with_words(text: Column, target: int) -> Column:
+    """units() as structs (unit, words): each part's words are counted once, and no word lies across two units."""
+    counted = lambda parts: F.transform(parts, lambda x: F.struct(x.alias("unit"), word_count(x).alias("words")))
+    fits = lambda x: tokens_of(x["words"]) <= target
+    fine = lambda s: F.when(fits(s), F.array(s)).otherwise(counted(hard_split(s["unit"], target)))
+    by_sentence = lambda x: F.flatten(F.transform(counted(F.filter(F.split(x["unit"], p.UNIT_END), lambda s: s != "")), fine))
+    return F.flatten(F.transform(counted(split_after(text, p.PARAGRAPH)), lambda x: F.when(fits(x), F.array(x)).otherwise(by_sentence(x))))
 
 
 def units(text: Column, target: int) -> Column:
     """Paragraphs; of those that count too much the sentences; of those still too long the hard splits."""
-    fine = lambda s: F.when(counts_within(s, target), F.array(s)).otherwise(hard_split(s, target))
-    by_sentence = lambda x: F.flatten(F.transform(F.filter(F.split(x, p.UNIT_END), lambda s: s != ""), fine))
-    return F.flatten(F.transform(split_after(text, p.PARAGRAPH), lambda x: F.when(counts_within(x, target), F.array(x)).otherwise(by_sentence(x))))
+    return F.transform(units_with_words(text, target), lambda x: x["unit"])
 
 
 def fingerprint(document_id: Column, page: Column, text: Column, length: int = 16) -> Column:

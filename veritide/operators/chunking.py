@@ -135,22 +135,24 @@ def page_windows(counts: Column, target: int, overlap: int) -> Column:
 
 
 def page_chunks(pages: DataFrame, target: int = 512, overlap: int = 64, counter: Counter | None = None) -> DataFrame:
-    """pages with one row a window: pos (its place on the page), chunk (exact text) and chunk_tokens (sum of its units' counts)."""
+    """pages with one row a window: pos (its place on the page), chunk (exact text), chunk_tokens (sum of its units' counts) and chunk_words (words and symbols; null under a counter)."""
     if not 0 <= overlap < target:
         raise ValueError("overlap must be at least 0 and smaller than target")
     whole = F.coalesce("text", F.lit(""))
-    rows = pages.withColumn("__units", t.units(whole, target) if counter is None else units_by(whole, target, counter))
-    rows = rows.withColumn("__counts", unit_counts(F.col("__units"), counter))
+    if counter is None:  # the words of each unit, counted while it is cut, give its tokens and the chunk's
+        rows = pages.withColumn("__parts", t.units_with_words(whole, target))
+        rows = rows.withColumn("__counts", F.transform("__parts", lambda x: t.tokens_of(x["words"])))
+    else:
+        parts = F.transform(units_by(whole, target, counter), lambda u: F.struct(u.alias("unit"), F.lit(None).cast("int").alias("words")))
+        rows = pages.withColumn("__parts", parts)
+        rows = rows.withColumn("__counts", unit_counts(F.col("__parts.unit"), counter))
     rows = rows.withColumn("__windows", page_windows(F.col("__counts"), target, overlap))
     rows = rows.select("*", F.posexplode("__windows").alias("pos", "__w"))
     first, size = F.col("__w.first") + 1, F.col("__w.last") - F.col("__w.first")
-    rows = rows.withColumns(
-        {
-            "chunk": F.array_join(F.slice("__units", first, size), ""),
-            "chunk_tokens": F.aggregate(F.slice("__counts", first, size), F.lit(0), lambda a, x: a + x),
-        }
-    )
-    return rows.where(F.col("chunk").rlike(NO_SPACE)).drop("__units", "__counts", "__windows", "__w")
+    total = lambda values: F.aggregate(values, F.lit(0), lambda a, x: a + x)
+    rows = rows.withColumn("__own", F.slice("__parts", first, size))
+    rows = rows.withColumns({"chunk": F.array_join("__own.unit", ""), "chunk_tokens": total(F.slice("__counts", first, size)), "chunk_words": total(F.col("__own.words"))})
+    return rows.where(F.col("chunk").rlike(NO_SPACE)).drop("__parts", "__counts", "__windows", "__w", "__own")
 
 
 def own_section(page_text: Column, headings: Column, chunk: Column) -> Column:
@@ -178,5 +180,6 @@ def chunk_pages(pages: DataFrame, target: int = 512, overlap: int = 64, counter:
             "fingerprint": t.fingerprint(F.col("document_id"), F.col("page"), F.col("chunk")),
         }
     )
+    tokens = t.tokens_of(F.col("chunk_words")) if counter is None else unit_counts(F.array("chunk"), counter)[0]
     citation = F.concat(t.slugs("filename"), F.lit("_p"), F.col("page").cast("string"), F.lit("_c_"), F.col("fingerprint"))
-    return rows.select("document_id", "filename", "page", "section", "chunk_index", F.col("chunk").alias("text"), citation.alias("citation_id"), "fingerprint", unit_counts(F.array("chunk"), counter)[0].alias("token_count"))
+    return rows.select("document_id", "filename", "page", "section", "chunk_index", F.col("chunk").alias("text"), citation.alias("citation_id"), "fingerprint", tokens.alias("token_count"))
