@@ -95,8 +95,7 @@ def host_verdicts(measured: DataFrame) -> DataFrame:
 
 
 def _rejected(rows: DataFrame, bad: DataFrame) -> DataFrame:
-    """rows (host, rule failures, ..., as a checkpoint or a scan) with host_rejected. Host flags are broadcast while few, else joined with hot hosts split off."""
-    bad = cut(bad)
+    """rows (host, rule failures, ..., as a checkpoint or a scan) with host_rejected. bad is a checkpoint; host flags are broadcast while few, else joined with hot hosts split off."""
     joined = rows.join(F.broadcast(bad), "host", "left") if bad.count() <= BROADCAST_HOSTS else spread_join(rows, bad, ["host"], "left")
     fails = F.lit(False)
     for r in SOFT:
@@ -112,22 +111,23 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     measured = cut(document_measures(docs, id_col, text_col, host_col))
     kept = (~F.col("base_failed") & ~F.col("host_rejected")).alias("kept")
-    return _rejected(measured, host_verdicts(measured)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept, "host_rejected")
+    return _rejected(measured, cut(host_verdicts(measured))).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept, "host_rejected")
 
 
 def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The rows that quality_verdicts() keeps, with all their columns.
 
-    Texts are measured once: rows that pass the base rules are written with their failures to the shared folder,
-    and those that don't with their failures only. Nulls, repeats and empty tables as in quality_verdicts().
+    Texts are measured once for the hosts and once more as the result is read, so that no copy of the corpus is written. Only where
+    more than BROADCAST_HOSTS hosts are flagged, rows are checkpointed and joined to them with hot hosts split off. Nulls,
+    repeats and empty tables as in quality_verdicts().
     """
     mark = "__veritide_quality"
     measured = docs.withColumn(f"{mark}_m", measures(F.col(text_col)))
     own = F.struct(host_of(host_col).alias("host"), *[c.alias(n) for n, c in flags(f"{mark}_m").items()])
-    marked = measured.withColumn(mark, own).drop(f"{mark}_m")
-    text = F.when(~F.col(f"{mark}.base_failed"), F.col(f"`{text_col}`")).alias(text_col)
-    rows = cut(marked.select(*[text if c == text_col else F.col(f"`{c}`") for c in docs.columns], mark))
-    bad = host_verdicts(rows.select(f"{mark}.*"))
+    rows = measured.withColumn(mark, own).select(*[F.col(f"`{c}`") for c in docs.columns], mark)
+    bad = cut(host_verdicts(rows.select(f"{mark}.*")))
+    if bad.count() > BROADCAST_HOSTS:
+        rows = cut(rows)
     rows = rows.where(~F.col(f"{mark}.base_failed"))
     inner = _rejected(rows.select(f"{mark}.*", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(mark)), bad)
     return inner.where("not host_rejected").select(f"{mark}.*")
