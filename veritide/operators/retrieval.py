@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -84,32 +84,40 @@ def _best_of(found: pa.Table, limit: int, id_col: str) -> pa.Table:
     return found.filter(pa.array(rank < limit))
 
 
+def best_in(q: np.ndarray, batches: Iterable[pa.RecordBatch], limit: int, id_col: str) -> pa.Table:
+    """(query, id, vector_score): the best of batches (id, vector) for each row of q, which have length one; query counts rows of q."""
+    held: list[pa.Table] = []
+    kind = None
+    step = max(limit, SCORES // max(1, len(q)))  # a bounded number of scores at a time
+    for batch in (whole.slice(at, step) for whole in batches for at in range(0, len(whole), step)):
+        kind = batch.column(0).type
+        batch = batch.filter(pa.compute.is_valid(batch.column(1)))
+        if not len(batch) or not len(q):
+            continue
+        batch = batch.take(pa.compute.sort_indices(batch.column(0)))  # of equal scores the least ids come first
+        scores = np.round(q @ unit_rows(batch.column(1)).T, 9)
+        # one integer a score, unlike all others of its row: the score in units of 1e-9, then the place in the batch
+        key = np.where(np.isnan(scores), -(1 << 62), np.rint(np.nan_to_num(scores) * 1e9).astype(np.int64) * step + (step - 1 - np.arange(len(batch))))
+        top = np.argpartition(-key, limit - 1, axis=1)[:, :limit] if len(batch) > limit else np.broadcast_to(np.arange(len(batch)), scores.shape)
+        who, place = np.repeat(np.arange(len(q)), top.shape[1]), top.ravel()
+        score = scores[who, place]
+        sound = ~np.isnan(score)
+        held.append(pa.table({"query": who[sound], id_col: batch.column(0).take(pa.array(place[sound])), "vector_score": score[sound]}))
+        if sum(map(len, held)) > 4 * limit * len(q):
+            held = [_best_of(pa.concat_tables(held), limit, id_col)]
+    if held:
+        return _best_of(pa.concat_tables(held), limit, id_col)
+    return pa.table({"query": np.zeros(0, np.int64), id_col: pa.array([], kind or pa.null()), "vector_score": np.zeros(0)})
+
+
 def _scorer(queries: pa.Table, limit: int, schema: str, id_col: str):
     ids, vectors = queries["query_id"].combine_chunks(), queries["embedding"].combine_chunks()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(ids):
             return
-        q = unit_rows(vectors)
-        held: list[pa.Table] = []
-        step = max(limit, SCORES // len(q))  # a bounded number of scores at a time
-        for batch in (whole.slice(at, step) for whole in batches for at in range(0, len(whole), step)):
-            batch = batch.filter(pa.compute.is_valid(batch.column(1)))
-            if not len(batch):
-                continue
-            batch = batch.take(pa.compute.sort_indices(batch.column(0)))  # of equal scores the least ids come first
-            scores = np.round(q @ unit_rows(batch.column(1)).T, 9)
-            # one integer a score, unlike all others of its row: the score in units of 1e-9, then the place in the batch
-            key = np.where(np.isnan(scores), -(1 << 62), np.rint(np.nan_to_num(scores) * 1e9).astype(np.int64) * step + (step - 1 - np.arange(len(batch))))
-            top = np.argpartition(-key, limit - 1, axis=1)[:, :limit] if len(batch) > limit else np.broadcast_to(np.arange(len(batch)), scores.shape)
-            who, place = np.repeat(np.arange(len(q)), top.shape[1]), top.ravel()
-            score = scores[who, place]
-            sound = ~np.isnan(score)
-            held.append(pa.table({"query": who[sound], id_col: batch.column(0).take(pa.array(place[sound])), "vector_score": score[sound]}))
-            if sum(map(len, held)) > 4 * limit * len(q):
-                held = [_best_of(pa.concat_tables(held), limit, id_col)]
-        if held:
-            best = _best_of(pa.concat_tables(held), limit, id_col)
+        best = best_in(unit_rows(vectors), batches, limit, id_col)
+        if len(best):
             out = pa.table({"query_id": ids.take(best["query"].combine_chunks()), id_col: best[id_col], "vector_score": best["vector_score"]})
             yield from out.combine_chunks().to_batches()
 

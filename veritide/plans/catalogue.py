@@ -83,6 +83,18 @@ def vector_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _candidates(spark, sf_dir).select("query_id", F.col("vector_rank").cast("bigint").alias("vector_rank"), "vec_id", F.round("vector_score", 6).alias("score"))
 
 
+@registered(SCORED.format(queries=MANY, where="") + "SELECT query_id, vector_rank, vec_id, round(score, 6) AS score FROM k")
+def vector_topk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As vector_topk_batch, from an index of blocks that is written first."""
+    from veritide.operators import blocks
+    from veritide.sources.tables import new_folder
+
+    v = table(spark, sf_dir, "embeddings")
+    index = blocks.write_blocks(v, new_folder(spark, "vectors"), "vec_id", pivots=64)
+    best = blocks.nearest(index, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 20)
+    return best.select("query_id", F.col("vector_rank").cast("bigint").alias("vector_rank"), "vec_id", F.round("vector_score", 6).alias("score"))
+
+
 RERANKED = SCORED.format(queries=MANY, where="") + ", n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 1) DESC, vector_rank) AS rank FROM k)"
 
 

@@ -9,16 +9,18 @@ from veritide.config import EngineConfig
 from veritide.functions.patterns import NO_SPACE
 from veritide.functions.scoring import Embedder, PairScorer, embedding_of, pair_score
 from veritide.operators import retrieval
+from veritide.operators.blocks import VectorBlocks, nearest
 
 
 SHORTLIST_ROWS = 500_000
 
 
-def search_chunks(chunks: DataFrame, asked: DataFrame, embedder: Embedder, reranker: PairScorer, config: EngineConfig = EngineConfig(), top_k: int | None = None, where: Column | None = None) -> DataFrame:
+def search_chunks(chunks: DataFrame, asked: DataFrame, embedder: Embedder, reranker: PairScorer, config: EngineConfig = EngineConfig(), top_k: int | None = None, where: Column | None = None, index: VectorBlocks | None = None) -> DataFrame:
     """Results (query_id, position, chunk columns, vector_score, relevance_score) for asked (query_id, query).
 
     A null or blank query and a top_k below 1 are refused. Vectors of the store are read once for all queries; only the
-    shortlists of each query reach the reranker.
+    shortlists of each query reach the reranker. With an index of the same chunks, which has to keep the columns that where
+    names, only the blocks that queries meet are read.
     """
     top_k = config.result_count if top_k is None else top_k
     if top_k < 1:
@@ -29,7 +31,7 @@ def search_chunks(chunks: DataFrame, asked: DataFrame, embedder: Embedder, reran
     stored = chunks if where is None else chunks.where(where)
     vectors = asked.select("query_id", embedding_of(F.col("query"), embedder).alias("embedding"))
     limit = max(top_k, config.vector_candidates)
-    best = retrieval.top_many(stored, vectors, limit)
+    best = retrieval.top_many(stored, vectors, limit) if index is None else nearest(index, vectors, limit, where)
     # a shortlist has limit rows a query, so its size is known; while small it goes to the texts, not the texts to it
     small = n * limit <= SHORTLIST_ROWS
     short = stored.drop("embedding").join(F.broadcast(best) if small else best, "citation_id").join(asked, "query_id")
