@@ -623,7 +623,8 @@ def nli_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MANIFEST = """
 WITH cur AS (SELECT CAST(doc_id AS VARCHAR) AS source_path, sha256(text) AS current_hash, n_chars, doc_id FROM documents),
-man AS (SELECT source_path, 'id-' || source_path AS document_id, CASE WHEN doc_id % 5 = 2 THEN 'old' ELSE current_hash END AS document_hash, 1 + n_chars // 1000 AS chunk_count FROM cur WHERE doc_id % 4 <> 1),
+entries AS (SELECT doc_id, source_path, 'id-' || source_path AS document_id, CASE WHEN doc_id % 5 = 2 THEN 'old' ELSE current_hash END AS document_hash, 1 + n_chars // 1000 AS chunk_count FROM cur),
+man AS (SELECT * EXCLUDE (doc_id) FROM entries WHERE doc_id % 4 <> 1),
 lst AS (SELECT source_path, current_hash FROM cur WHERE doc_id % 7 <> 3)
 """
 
@@ -632,13 +633,17 @@ def _current(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source_path"), F.sha2("text", 256).alias("current_hash"), F.floor(F.col("n_chars") / 1000).alias("k"), "doc_id", "source")
 
 
-def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _current(spark, sf_dir).where("doc_id % 4 <> 1")
+def _entries(rows: DataFrame) -> DataFrame:
     old = F.when(F.col("doc_id") % 5 == 2, "old").otherwise(F.col("current_hash"))
     when = F.timestamp_seconds(F.lit(1_600_000_000) + F.col("doc_id"))
     return rows.select("source_path", F.concat(F.lit("id-"), "source_path").alias("document_id"), old.alias("document_hash"), (F.col("k") + 1).alias("chunk_count"), when.alias("indexed_at"))
 
 
+def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fourth source is new: it is listed and has no entry yet."""
+    return _entries(_current(spark, sf_dir).where("doc_id % 4 <> 1"))
+
+
 def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _current(spark, sf_dir).where("doc_id % 7 <> 3").select("source_path", "current_hash")
 
@@ -750,9 +755,9 @@ def prune_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.prune_report(manifest, _grouped(spark, sf_dir), listing, scope="s").drop("document_hash")
 
 
-@registered(MANIFEST + "SELECT document_id, source_path, source_path AS filename, chunk_count, strftime(to_timestamp(1600000000 + CAST(source_path AS BIGINT)) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS indexed_at FROM man")
+@registered(MANIFEST + "SELECT document_id, source_path, source_path AS filename, chunk_count, strftime(to_timestamp(1600000000 + CAST(source_path AS BIGINT)) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS indexed_at FROM entries")
 def list_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.listed(_manifest(spark, sf_dir))
+    return store.listed(_entries(_current(spark, sf_dir)))
 
 
 # --- layout, metadata, evaluation --------------------------------------------------------------
