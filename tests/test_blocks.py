@@ -66,6 +66,21 @@ def test_large_blocks_and_many_queries_are_split(made):
     assert index.rows().groupBy(blocks.BLOCK).count().agg(F.max("count")).first()[0] > 3 * 50
 
 
+def test_both_sides_meet_in_one_task_of_many(spark, made):
+    """More tasks than groups, none merged: a key of another type on one side would send it elsewhere."""
+    vectors, asked, index = made
+    settings = {"spark.sql.shuffle.partitions": "97", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = found(blocks.nearest(index, asked, 7))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == found(retrieval.top_many(vectors, asked, 7))
+
+
 def test_filters_come_before_the_cut(made):
     vectors, asked, index = made
     own = F.col("kind") == "b"

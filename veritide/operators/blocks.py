@@ -166,7 +166,8 @@ def nearest(index: VectorBlocks, queries: DataFrame, limit: int, where: Column |
     if not asked:
         return index.spark.createDataFrame([], schema + ", vector_rank int")
     slices = lambda of, block: F.element_at(F.create_map(*[F.lit(int(x)) for p in of.items() for x in p]), block)
-    part = lambda of, block, key: F.pmod(F.xxhash64(key), slices(of, block))
+    # cogroup hashes the keys of both sides as they are: an int and a bigint of the same value would land in different tasks
+    part = lambda of, block, key: F.pmod(F.xxhash64(key), slices(of, block)).cast("int")
     every = lambda of, block: F.explode(F.sequence(F.lit(0), slices(of, block) - 1))
     block = F.col(BLOCK)
     left = rows.where(block.isin(*asked)).select(block.alias("block"), part(sizes, block, id_col).alias("part"), every(asked, block).alias("asked"), id_col, vector)
@@ -177,7 +178,7 @@ def nearest(index: VectorBlocks, queries: DataFrame, limit: int, where: Column |
         ids = queries["query_id"].combine_chunks()
         q = unit_rows(queries["embedding"].combine_chunks()) if len(ids) else np.zeros((0, 1))
         best = best_in(q, stored.select([id_col, vector]).to_batches(), limit, id_col)
-        return pa.table({"query_id": ids.take(best["query"].combine_chunks()), id_col: best[id_col], "vector_score": best["vector_score"]})
+        return pa.table({"query_id": ids.take(best["query"].combine_chunks()), id_col: best[id_col].cast(stored.schema.field(id_col).type), "vector_score": best["vector_score"]})
 
     found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(score, schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("vector_score"), id_col)
