@@ -34,7 +34,7 @@ def rows_of(pages: DataFrame, config: EngineConfig = EngineConfig(), counter: Co
     field = (lambda n: F.element_at("metadata", n)) if "metadata" in pages.columns else (lambda n: F.lit(None).cast("string"))
     raw = pages.groupBy("document_id", "document_hash", "source_path").agg(*[F.max(field(n)).alias(n) for n in METADATA], F.max("page").alias("page_count"))
     described = parse_metadata(raw).select("document_id", "document_hash", "source_path", "meta.*", F.lit("pdf").alias("source_type"), "page_count")
-    return chunk_pages(pages, config.chunk_size, config.chunk_overlap, counter).join(described, "document_id")
+    return chunk_pages(pages, config.chunk_size, config.chunk_overlap, counter, blank=False).join(described, "document_id")
 
 
 def ingest(
