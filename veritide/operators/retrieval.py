@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SCORES = 4_000_000
+#: Scores that a worker holds at a time, in a few arrays of so many numbers.
+SCORES = 500_000
 QUERY_BLOCK_BYTES = 64_000_000
 
 
@@ -95,10 +96,17 @@ def best_in(q: np.ndarray, batches: Iterable[pa.RecordBatch], limit: int, id_col
         if not len(batch) or not len(q):
             continue
         batch = batch.take(pa.compute.sort_indices(batch.column(0)))  # of equal scores the least ids come first
-        scores = np.round(q @ unit_rows(batch.column(1)).T, 9)
-        # one integer a score, unlike all others of its row: the score in units of 1e-9, then the place in the batch
-        key = np.where(np.isnan(scores), -(1 << 62), np.rint(np.nan_to_num(scores) * 1e9).astype(np.int64) * step + (step - 1 - np.arange(len(batch))))
-        top = np.argpartition(-key, limit - 1, axis=1)[:, :limit] if len(batch) > limit else np.broadcast_to(np.arange(len(batch)), scores.shape)
+        scores = q @ unit_rows(batch.column(1)).T
+        np.round(scores, 9, out=scores)
+        # one integer a score, unlike all others of its row, least first: the score in units of 1e-9, then the place in the batch
+        units = scores * -1e9
+        np.rint(units, out=units)
+        units[np.isnan(scores)] = float(1 << 31)  # behind all scores, which are 1e9 at most
+        key = units.astype(np.int64)
+        del units
+        key *= step
+        key += np.arange(len(batch))
+        top = np.argpartition(key, limit - 1, axis=1)[:, :limit].copy() if len(batch) > limit else np.broadcast_to(np.arange(len(batch)), scores.shape)
         who, place = np.repeat(np.arange(len(q)), top.shape[1]), top.ravel()
         score = scores[who, place]
         sound = ~np.isnan(score)
