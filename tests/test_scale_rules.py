@@ -1,8 +1,12 @@
 """Plans that must keep their shape at any size."""
 
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from veritide.operators import retrieval
+from veritide.operators import retrieval, verdicts
 from veritide.plans import catalogue
 
 
@@ -23,3 +27,24 @@ def test_one_query_is_one_top_k_without_a_shuffle_of_vectors(spark, sf):
 
 def test_pages_are_cut_without_a_shuffle(spark, sf):
     assert "Exchange" not in plan(catalogue.corpus_pages(spark, sf))
+
+
+def test_verdicts_on_pairs_take_one_python_step(spark, sf):
+    pairs = catalogue.answers_with_evidence(catalogue.table(spark, sf, "conversations"))
+    assert plan(verdicts.pair_verdicts(pairs, ["conv_id", "turn", "role"])).split("Final Plan")[-1].count("ArrowEvalPython") == 1
+    assert plan(catalogue.best_overlap_sentence(spark, sf)).count("ArrowEvalPython") == 1
+
+
+def test_a_search_of_many_queries_holds_few_scores():
+    rng = np.random.default_rng(1)
+    q, x = rng.normal(size=(2000, 8)), rng.normal(size=(3000, 8))
+    q, unit = q / np.linalg.norm(q, axis=1, keepdims=True), x / np.linalg.norm(x, axis=1, keepdims=True)
+    batch = pa.record_batch({"id": np.arange(3000), "embedding": pa.array(x.tolist())})
+    tracemalloc.start()
+    best = retrieval.best_in(q, [batch], 5, "id")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    score = np.round(q @ unit.T, 9)
+    want = np.lexsort((np.broadcast_to(np.arange(3000), score.shape), -score), axis=1)[:, :5]
+    assert (best["id"].to_numpy().reshape(2000, 5) == want).all()
+    assert peak < 64_000_000

@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pathlib import PurePath
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -129,10 +130,13 @@ def by_batch(f: Callable[[str], object], kind: str) -> Callable[[Column], Column
 def fold_all(texts: Column | str) -> Column:
     """fold() for every element of an array; nulls stay null."""
 
-    def run(arrays: pd.Series) -> pd.Series:
-        return arrays.map(lambda xs: None if xs is None else [None if x is None else fold(x) for x in xs])
+    def run(arrays: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.string())
+        parts = (arrays.slice(at, 256).to_pylist() for at in range(0, len(arrays), 256))  # few rows at a time are Python objects
+        done = [pa.array([None if xs is None else [None if x is None else fold(x) for x in xs] for xs in part], kind) for part in parts]
+        return pa.concat_arrays([pa.array([], kind), *done])
 
-    return F.pandas_udf(run, "array<string>")(texts)
+    return F.arrow_udf(run, "array<string>")(texts)
 
 
 def match_form(text: Column | str) -> Column:
