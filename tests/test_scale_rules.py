@@ -48,3 +48,8 @@ def test_a_search_of_many_queries_holds_few_scores():
     want = np.lexsort((np.broadcast_to(np.arange(3000), score.shape), -score), axis=1)[:, :5]
     assert (best["id"].to_numpy().reshape(2000, 5) == want).all()
     assert peak < 64_000_000
+
+
+def test_search_reads_chunks_that_are_cut_once(spark, sf):
+    text = plan(catalogue.search_end_to_end(spark, sf))
+    assert "documents.parquet" not in text and "citation_id" in text

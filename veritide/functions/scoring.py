@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -34,6 +36,11 @@ class EntailmentScorer(Protocol):
     def score(self, pairs: list[tuple[str, str]]) -> list[tuple[float, float, float]]: ...
 
 
+@lru_cache(maxsize=1 << 17)
+def _hash(gram: str) -> int:
+    return int.from_bytes(hashlib.blake2b(gram.encode(), digest_size=8).digest(), "little")
+
+
 class HashEmbedder:
     """Hashed character trigrams, normalised."""
 
@@ -44,9 +51,9 @@ class HashEmbedder:
         out = np.zeros((len(texts), self.dimension))
         for i, text in enumerate(texts):
             folded = f"  {fold(text)}  "
-            for j in range(len(folded) - 2):
-                h = int.from_bytes(hashlib.blake2b(folded[j : j + 3].encode(), digest_size=8).digest(), "little")
-                out[i, h % self.dimension] += 1 if h >> 63 else -1
+            for gram, n in Counter(folded[j : j + 3] for j in range(len(folded) - 2)).items():
+                h = _hash(gram)
+                out[i, h % self.dimension] += n if h >> 63 else -n
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norm == 0, 1, norm)
 
