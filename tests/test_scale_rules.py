@@ -29,6 +29,10 @@ def test_pages_are_cut_without_a_shuffle(spark, sf):
     assert "Exchange" not in plan(catalogue.corpus_pages(spark, sf))
 
 
+def test_windows_need_no_python_worker(spark, sf):
+    assert "Python" not in plan(catalogue.chunk_windows(spark, sf))
+
+
 def test_verdicts_on_pairs_take_one_python_step(spark, sf):
     pairs = catalogue.answers_with_evidence(catalogue.table(spark, sf, "conversations"))
     assert plan(verdicts.pair_verdicts(pairs, ["conv_id", "turn", "role"])).split("Final Plan")[-1].count("ArrowEvalPython") == 1

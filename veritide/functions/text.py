@@ -154,8 +154,13 @@ def slug_of(filename: str, ascii_only: bool = False) -> str:
 
 
 def slugs(name: Column | str) -> Column:
-    """slug_of() of a file name."""
-    return by_batch(slug_of, "string")(name)
+    """slug_of() of a file name, 256 at a time as Python objects."""
+
+    def run(names: pa.Array) -> pa.Array:
+        done = [pa.array([None if x is None else slug_of(x) for x in names.slice(at, 256).to_pylist()], pa.string()) for at in range(0, len(names), 256)]
+        return pa.concat_arrays([pa.array([], pa.string()), *done])
+
+    return F.arrow_udf(run, "string")(name)
 
 
 def value_tokens(text: Column) -> Column:
