@@ -10,7 +10,7 @@ import pytest
 from compare import same
 
 import corpus_pipeline
-from veritide.llm import bpe, decontam, jaccard, lines, quality, queries, regions, secretscan, sketch, substring
+from veritide.llm import bpe, decontam, jaccard, lines, quality, queries, regions, secretscan, sketch, space, substring
 from veritide.llm.cluster import components
 from veritide.llm.words import Words
 
@@ -307,6 +307,40 @@ def test_lines_of_fifty_characters_link_with_their_variants(spark):
     assert all(out[i] == 0 and out[1000 + i] == 1 for i in range(150))
 
 
+def test_marks_rule_out_most_chance_meetings_and_no_link():
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdef") for _ in range(rng.randint(2, 8))) for _ in range(60)]
+    texts = []
+    for n in [1, 3, 10, 60, 200] * 12:
+        x = " ".join(rng.choice(words) for _ in range(n))
+        texts.append(x)
+        for k in (1, 3, 6, 12):
+            y = list(x)
+            for _ in range(k):
+                y[rng.randrange(len(y))] = rng.choice("xyz ")
+            texts.append("".join(y))
+    texts = [t for t in dict.fromkeys(texts) if t.strip()]
+    found = lines.Lines(pa.array(["\n".join(texts)]))
+    found.keys()
+    marks, sizes, sets = found.marks(list(range(len(texts)))).view(np.uint64), found.sizes(), [lines.line_set(t.encode()) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i)]
+    held = {p for p in pairs if space.possible(marks[list(p)], sizes[list(p)], np.zeros(2, np.int64), 80).all()}
+    both = {p: len(np.intersect1d(sets[p[0]], sets[p[1]], assume_unique=True)) for p in pairs}
+    links = {(i, j) for i, j in pairs if 100 * both[i, j] >= 80 * (len(sets[i]) + len(sets[j]) - both[i, j])}
+    assert links and links <= held and len(held) < 0.1 * len(pairs)
+    region = np.sort(np.arange(len(texts)) % 7)
+    want = [any(region[i] == region[j] and (max(i, j), min(i, j)) in held for j in range(len(texts)) if i != j) for i in range(len(texts))]
+    assert space.possible(marks, sizes, region, 80).tolist() == want
+
+
+def test_runs_of_groups_are_whole():
+    keys = np.sort(np.random.default_rng(2).integers(0, 40, 500))
+    batches = [pa.record_batch({"rid": keys[at : at + 7], "x": np.arange(at, min(at + 7, 500))}) for at in range(0, 500, 7)]
+    groups = [(t["rid"][a].as_py(), t["x"][a:b].to_pylist()) for t, e in space.group_runs(iter(batches), ("rid",), 30) for a, b in zip(e[:-1].tolist(), e[1:].tolist())]
+    assert groups == [(k, np.flatnonzero(keys == k).tolist()) for k in np.unique(keys).tolist()]
+    assert list(space.group_runs(iter([]), ("rid",))) == []
+
+
 def test_short_lines_are_judged(spark):
     docs = {1: "And ornd.\n---\nab\n \nabc", 2: "ab\nAnd ornd.\n\nend of text 12\n \nabcd", 3: "---\nend of text 13\nab \nabc", 4: "And ornd."}
     got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in lines.line_dedup(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")).collect()}
