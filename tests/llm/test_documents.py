@@ -333,6 +333,60 @@ def test_marks_rule_out_most_chance_meetings_and_no_link():
     assert space.possible(marks, sizes, region, 80).tolist() == want
 
 
+def near_lines(rng, n, trials):
+    """Pairs of lines of about n shingles, at the threshold or hardly above it: blocks of new characters replace old ones at places apart."""
+    pairs = []
+    for _ in range(trials):
+        x = [rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n + 4)]
+        y, spoilt = list(x), 0
+        at = 3
+        while spoilt + 5 <= n // 9 and at < len(x) - 5:
+            y[at] = "#"
+            spoilt, at = spoilt + 5, at + 9
+        pairs.append(("".join(x), "".join(y)))
+    return pairs
+
+
+def test_keys_meet_at_the_threshold_and_hardly_by_chance():
+    rng = random.Random(17)
+    for n in (45, 70, 110, 180, 250, 600):
+        pairs = near_lines(rng, n, 500)
+        found = lines.Lines(pa.array(["\n".join(x + "\n" + y for x, y in pairs)]))
+        line, key = found.keys()
+        own = [set(k.tolist()) for k in np.split(key, np.flatnonzero(np.diff(line)) + 1)]
+        assert len(own) == 1000 and sum(bool(own[i] & own[i + 1]) for i in range(0, 1000, 2)) >= 495
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8))) for _ in range(150)]
+    texts = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(400)]
+    line, key = lines.Lines(pa.array(["\n".join(texts)])).keys()
+    _, holders = np.unique(key, return_counts=True)
+    assert (holders - 1).sum() < 400  # chance matches of 79,800 pairs of unlike lines
+
+
+def test_meetings_are_all_lines_with_a_key_in_common(spark):
+    rng = random.Random(23)
+    base = [x for n in (8, 40, 90, 300) for pair in near_lines(rng, n, 12) for x in pair] + ["ab", "---", "a line of its own, and no other"]
+    texts = ["\n".join(rng.choice(base) for _ in range(rng.randint(0, 6))) for _ in range(80)] + [None, ""]
+    found = [lines.Lines(pa.array([t])) for t in texts]
+    holders, times = {}, {}
+    for f in found:
+        ids = f.ids()
+        line, key = f.keys()
+        for i, k in zip(ids[line].tolist(), key.tolist()):
+            holders.setdefault(k, set()).add(i)
+        for i in ids.tolist():
+            times[i] = times.get(i, 0) + 1
+    want = {(i, min(own)) for own in holders.values() if len(own) > 1 for i in own} | {(i, None) for i, n in times.items() if n > 1}
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+    got = {(r["f1"], r["rid"]) for r in lines.meetings(rows).collect()}
+    assert got == want and sum(r is not None for _, r in got) > 20 and sum(r is None for _, r in got) > 20
+
+
+def test_lines_are_decoded_together_as_alone():
+    rng = random.Random(29)
+    payloads = ["".join(rng.choice("abé日 ") for _ in range(rng.choice([1, 2, 4, 5, 6, 40, 300]))).encode() for _ in range(200)]
+    assert all(np.array_equal(a, lines.line_set(b)) for a, b in zip(lines.line_sets(payloads), payloads, strict=True)) and lines.line_sets([]) == []
+
+
 def test_runs_of_groups_are_whole():
     keys = np.sort(np.random.default_rng(2).integers(0, 40, 500))
     batches = [pa.record_batch({"rid": keys[at : at + 7], "x": np.arange(at, min(at + 7, 500))}) for at in range(0, 500, 7)]
