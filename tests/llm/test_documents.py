@@ -359,7 +359,7 @@ def test_keys_meet_at_the_threshold_and_hardly_by_chance():
     texts = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(400)]
     line, key = lines.Lines(pa.array(["\n".join(texts)])).keys()
     _, holders = np.unique(key, return_counts=True)
-    assert (holders - 1).sum() < 400  # chance matches of 79,800 pairs of unlike lines
+    assert (holders - 1).sum() < 10  # chance matches in 79,800 pairs of unlike lines; bands of 5 minima have 19
 
 
 def test_meetings_are_all_lines_with_a_key_in_common(spark):
