@@ -2,6 +2,7 @@ from collections import defaultdict
 from difflib import SequenceMatcher
 from hashlib import md5
 
+import pandas as pd
 import pytest
 import regex
 from compare import same
@@ -251,3 +252,19 @@ def test_the_four_kinds_of_drafts(spark):
         assert {r["draft_id"]: r["failed"] for r in report.drafts.collect()} == {"supported": False, "contradicted": True, "quoted": False, "misquoted": True, "empty": False}
         assert all(r["valid"] for r in report.structural.collect())
     assert {r["draft_id"]: r["failed"] for r in verify(drafts, chunks, listing, strict=True).drafts.collect()}["supported"]
+
+
+@pytest.fixture(scope="module")
+def odd_pages(tmp_path_factory):
+    """Documents with empty pages, alone and behind others, and with blank lines on pages of more than one window."""
+    words = lambda n, x="word": " ".join(f"{x}{i}" for i in range(n))
+    ten = "\n".join(f"Line {i}." for i in range(10))
+    texts = ["", f"{ten}\n", f"{ten}\n{ten}\n", f"{ten}\n{chr(10) * 9}", "\n\n", " ", "\n\n".join(words(150) for _ in range(4)), "\n\n".join(words(300) + ". " + words(200) for _ in range(3)), words(900), "One line."]
+    folder = tmp_path_factory.mktemp("odd")
+    rows = {"doc_id": range(len(texts)), "text": texts, "lang": "en", "source": [f"src{i % 7}" for i in range(len(texts))], "n_chars": [len(x) for x in texts]}
+    pd.DataFrame(rows).to_parquet(folder / "documents.parquet")
+    return str(folder)
+
+
+def test_units_of_empty_pages_and_blank_lines(spark, odd_pages):
+    assert len(same(spark, QUERIES["unit_table"], SQL["unit_table"], odd_pages)) == 14

@@ -67,18 +67,23 @@ def hard_split(text: Column, target: int) -> Column:
     return F.regexp_extract_all(text, F.lit(piece), 0)
 
 
-def units_with_words(text: Column, target: int) -> Column:
+def units_with_words(text: Column, target: int, paragraphs: bool = True, empty: bool = False) -> Column:
     """units() as structs (unit, words): each part's words are counted once, and no word lies across two units."""
     counted = lambda parts: F.transform(parts, lambda x: F.struct(x.alias("unit"), word_count(x).alias("words")))
     fits = lambda x: tokens_of(x["words"]) <= target
     fine = lambda s: F.when(fits(s), F.array(s)).otherwise(counted(hard_split(s["unit"], target)))
     by_sentence = lambda x: F.flatten(F.transform(counted(F.filter(F.split(x["unit"], p.UNIT_END), lambda s: s != "")), fine))
-    return F.flatten(F.transform(counted(split_after(text, p.PARAGRAPH)), lambda x: F.when(fits(x), F.array(x)).otherwise(by_sentence(x))))
+    parts = split_after(text, p.PARAGRAPH) if paragraphs else F.filter(F.array(text), lambda x: x != "")
+    found = F.flatten(F.transform(counted(parts), lambda x: F.when(fits(x), F.array(x)).otherwise(by_sentence(x))))
+    return F.when(text == "", F.array(F.struct(F.lit("").alias("unit"), F.lit(0).alias("words")))).otherwise(found) if empty else found
 
 
-def units(text: Column, target: int) -> Column:
-    """Paragraphs; of those that count too much the sentences; of those still too long the hard splits."""
-    return F.transform(units_with_words(text, target), lambda x: x["unit"])
+def units(text: Column, target: int, paragraphs: bool = True, empty: bool = False) -> Column:
+    """Paragraphs; of those that count too much the sentences; of those still too long the hard splits.
+
+    Without paragraphs a text is one paragraph, whatever its blank lines. An empty text has no unit, or an empty one if empty.
+    """
+    return F.transform(units_with_words(text, target, paragraphs, empty), lambda x: x["unit"])
 
 
 def fingerprint(document_id: Column, page: Column, text: Column, length: int = 16) -> Column:
