@@ -39,7 +39,10 @@ PASSAGES = (
 
 @dataclass(frozen=True)
 class Config:
-    """Sizes of pages and passages, and of the job's batches and output."""
+    """Sizes of pages and passages, and of the job's batches and output.
+
+    paragraphs: whether blank lines part the units of passages. empty_pages: whether a page without characters has a passage, an empty one.
+    """
 
     lines_per_page: int = 10
     chunk_size: int = 512
@@ -47,6 +50,8 @@ class Config:
     heading: str = r"^(?:#+\s|\d+(?:\.\d+)*[.)]?\s|\p{Lu})[^.!?;,]{1,118}$"
     buckets: int = 16
     files_per_batch: int = 1000
+    paragraphs: bool = True
+    empty_pages: bool = False
 
     def __post_init__(self) -> None:
         for name in ("lines_per_page", "chunk_size", "buckets", "files_per_batch"):
@@ -81,7 +86,8 @@ def index_batch(rows: DataFrame, batch: int, output: str, config: Config) -> Non
     taken = read_if_there(spark, f"{output}/documents", TAKEN).where(F.col("batch") < batch)
     fresh = fresh_documents(rows, taken).persist(StorageLevel.DISK_ONLY)
     try:
-        passages = chunk_pages(text_pages(fresh, config.lines_per_page, config.heading), config.chunk_size, config.chunk_overlap)
+        pages = text_pages(fresh, config.lines_per_page, config.heading)
+        passages = chunk_pages(pages, config.chunk_size, config.chunk_overlap, paragraphs=config.paragraphs, empty=config.empty_pages)
         hashes = fresh.select("document_id", "document_hash")
         bucket = F.pmod(F.xxhash64("document_id"), F.lit(config.buckets)).cast("int")
         placed = passages.join(hashes, "document_id").withColumns({"batch": F.lit(batch).cast("bigint"), "bucket": bucket})

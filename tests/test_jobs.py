@@ -143,3 +143,13 @@ def test_command_line(spark, sf, tmp_path):
     assert done.returncode == 0, done.stderr[-2000:]
     assert "batch 0: read 200 rows" in done.stderr
     assert index_documents.current(spark, str(tmp_path / "o")).count() > 200
+
+
+def test_registered_index_of_empty_pages_and_blank_lines(spark, tmp_path):
+    """As its SQL has it: an empty page is an empty passage, and blank lines part no units."""
+    words = lambda n: " ".join(f"word{i}" for i in range(n))
+    texts = ["", "a\n" * 10, "\n\n".join([words(150)] * 4), "\n\n".join([words(300) + ". " + words(200)] * 3), "One line"]
+    rows = [(i, x, "en", f"src{i}", len(x)) for i, x in enumerate(texts)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).toPandas().to_parquet(tmp_path / "documents.parquet")
+    got = same(spark, queries()["job1_index_documents"], oracle_sql()["job1_index_documents"], str(tmp_path))
+    assert (got["token_count"] == 0).sum() == 2
