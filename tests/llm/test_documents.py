@@ -247,6 +247,21 @@ def test_copies_in_any_order_stay_linked(spark):
     assert {r["component"] for r in dealt} >= {3} and not {r["component"] for r in dealt} & {5, 7, 10}
 
 
+def test_sets_are_moved_once_for_all_copies(spark, monkeypatch):
+    """Copies in six partitions: no checkpoint of points holds sets, and texts are hashed again for one id of each point that shares a region with another."""
+    rng = random.Random(7)
+    near, alone = [t for _ in range(5) for t in family(rng, 4, 60, 3)], [" ".join(f"a{i}x{k}" for i in range(40)) for k in range(10)]
+    texts = [*near, *alone] * 6
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartitionByRange(6, "doc_id")
+    kept, fetched, cut, fetch = [], [], jaccard.cut, jaccard.payloads_of
+    monkeypatch.setattr(jaccard, "cut", lambda df: kept.append(cut(df)) or kept[-1])
+    monkeypatch.setattr(jaccard, "payloads_of", lambda *a: fetched.append(cut(fetch(*a))) or fetched[-1], raising=False)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(frame).collect()}
+    assert got == by_links({i: shingles(t) for i, t in enumerate(texts)}, jaccard_at(75))
+    assert not sum(df.where("payload is not null").count() for df in kept if "payload" in df.columns)
+    assert 1 < sum(df.count() for df in fetched) <= len(set(near))
+
+
 @pytest.mark.parametrize("leaf", [2, 6, 48])
 def test_regions_find_all_components(leaf, monkeypatch):
     monkeypatch.setattr(regions, "LEAF", leaf)
